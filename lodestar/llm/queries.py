@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, ngram_join, packing
 
 QUERIES = {
+    "op6_ngram_join": ngram_join.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_mixing": mixing.query,
     "op10_packing": packing.query,
@@ -12,6 +13,7 @@ QUERIES = {
 
 #: Where SQL can express the operator.
 ORACLE_SQL = {
+    "op6_ngram_join": ngram_join.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
 }
