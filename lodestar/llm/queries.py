@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing
+from . import exact_dedup, mixing, ngram_join, packing, quality
 
 QUERIES = {
+    "op5_quality": quality.query,
     "op6_ngram_join": ngram_join.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_mixing": mixing.query,
