@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing, quality
+from . import exact_dedup, mixing, ngram_join, packing, pii, quality
 
 QUERIES = {
+    "op1_pii": pii.query,
     "op5_quality": quality.query,
     "op6_ngram_join": ngram_join.query,
     "op8_exact_dedup": exact_dedup.query,
