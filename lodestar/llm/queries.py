@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, ngram_join, packing, pii, quality
+from . import exact_dedup, langid, licenses, mixing, ngram_join, ogg, packing, pii, quality
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_licenses": licenses.query,
+    "op3_ogg": ogg.query,
+    "op4_langid": langid.query,
     "op5_quality": quality.query,
     "op6_ngram_join": ngram_join.query,
     "op8_exact_dedup": exact_dedup.query,
