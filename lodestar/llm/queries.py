@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, licenses, mixing, ngram_join, ogg, packing, pii, quality
+from . import exact_dedup, langid, licenses, mixing, ngram_join, ogg, packing, pii, quality, suffix_dedup
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_langid": langid.query,
     "op5_quality": quality.query,
     "op6_ngram_join": ngram_join.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_mixing": mixing.query,
     "op10_packing": packing.query,
@@ -18,6 +19,7 @@ QUERIES = {
 
 #: Where SQL can express the operator.
 ORACLE_SQL = {
+    "op7_suffix_dedup": suffix_dedup.SQL,
     "op6_ngram_join": ngram_join.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
