@@ -91,7 +91,7 @@ def _grouped(owner: np.ndarray):
 
 def _send_sets(batches, n: int, parts: int):
     for batch in batches:
-        for at, column in text.slices(batch.column("text"), 16 << 20):
+        for at, column in text.slices(batch.column("text")):
             grams, first = text.row_sets(*text.ngrams(text.Words(column), n))
             size = np.diff(first)
             sig = signatures(grams, first)
@@ -269,7 +269,7 @@ def candidates(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndar
         a, b = d[live[ok]], d[other[ok]]
         found.append(np.minimum(a, b).astype(np.uint64) * docs + np.maximum(a, b).astype(np.uint64))
         held += len(a)
-        if held > 8_000_000:
+        if held > 4_000_000:
             found = [np.unique(np.concatenate(found))]
             held = len(found[0]) // 2
         step += 1
@@ -476,15 +476,15 @@ def _found(docs: DataFrame, n: int, threshold: float, forest: bool, id_col: str,
     spark = docs.sparkSession
     parts = util.parts(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    sent = util.exchange(slim.mapInArrow(lambda b: _send_sets(b, n, parts), _PACK))
-    counted = util.exchange(sent.mapInArrow(lambda b: _count(b, parts), _PACK))
-    sets = util.spool(counted.mapInArrow(lambda b: _order(b, threshold), _SETS), "sets")
+    sent = util.exchange(slim.mapInArrow(util.frugal(lambda b: _send_sets(b, n, parts)), _PACK))
+    counted = util.exchange(sent.mapInArrow(util.frugal(lambda b: _count(b, parts)), _PACK))
+    sets = util.spool(counted.mapInArrow(util.frugal(lambda b: _order(b, threshold)), _SETS), "sets")
     may = sets.where("gram IS NOT NULL")
-    entries = util.exchange(may.select("sig", "size", "own", "gram").mapInArrow(lambda b: _send_prefixes(b, threshold, parts), _PACK))
-    near = util.exchange(entries.mapInArrow(lambda b: _neighbours(b, threshold, parts), _PACK))
-    homes = near.mapInArrow(_homes, "sig bigint, home bigint, mine boolean").groupBy("sig", "home").agg(F.max("mine").alias("mine"))
+    entries = util.exchange(may.select("sig", "size", "own", "gram").mapInArrow(util.frugal(lambda b: _send_prefixes(b, threshold, parts)), _PACK))
+    near = util.exchange(entries.mapInArrow(util.frugal(lambda b: _neighbours(b, threshold, parts)), _PACK))
+    homes = near.mapInArrow(util.frugal(_homes), "sig bigint, home bigint, mine boolean").groupBy("sig", "home").agg(F.max("mine").alias("mine"))
     meet = homes.join(may.select("sig", "size", "ids", "df", "gram"), "sig").repartition(parts, "home").sortWithinPartitions("home")
-    return sets, meet.mapInArrow(lambda b: _join(b, threshold, forest), _FOUND)
+    return sets, meet.mapInArrow(util.frugal(lambda b: _join(b, threshold, forest)), _FOUND)
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -220,7 +220,7 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
     """
     model = train(*labelled(docs, labels, train_docs))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(lambda b: _scored(b, model), "doc_id bigint, score double, keep boolean")
+    return slim.mapInArrow(util.frugal(lambda b: _scored(b, model)), "doc_id bigint, score double, keep boolean")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -234,7 +234,7 @@ def accepted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
                 ok.append(model.score(*features(part)) >= model.threshold)
             yield b.filter(pa.array(np.concatenate(ok)))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(util.frugal(kept), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

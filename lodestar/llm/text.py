@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 WORD_RE = r"[a-z0-9_\x80-\U0010FFFF]+"
 #: Texts are handled in slices of about this many bytes to bound the scratch arrays.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
