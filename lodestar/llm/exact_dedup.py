@@ -188,7 +188,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     pairs = util.spool(canonical(docs, id_col, text_col), "exact")
     drop = pairs.where("doc_id <> keep_id").select(F.col("doc_id").alias("__drop")).distinct()
     twice = pairs.where("doc_id = keep_id").groupBy("doc_id").count().where("count > 1")
-    out = docs.join(util.small_side(util.spool(drop, "drop"), 16), docs[id_col] == F.col("__drop"), "left_anti")
+    drop = util.small_side(util.spool(drop, "drop"), 16)
+    out = docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
     if twice.isEmpty():
         return out
     return _once(out, twice.select(F.col("doc_id").alias("__twice")), id_col, text_col)
@@ -196,8 +197,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def _once(docs: DataFrame, twice: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of each (identifier, text) among the identifiers in twice."""
-    again = docs.join(twice, docs[id_col] == F.col("__twice"), "left_semi")
-    rest = docs.join(twice, docs[id_col] == F.col("__twice"), "left_anti")
+    again = docs.join(twice, docs[id_col] == twice["__twice"], "left_semi")
+    rest = docs.join(twice, docs[id_col] == twice["__twice"], "left_anti")
     return rest.unionByName(again.dropDuplicates([id_col, text_col]))
 
 

@@ -68,11 +68,13 @@ class Model:
         self.temperature, self.threshold = 1.0, 0.0
         self.table: np.ndarray | None = None
 
-    def fit(self, lists: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 16, rate: float = 2.0, sample: int = 400, seed: int = SEED) -> None:
+    def fit(self, lists: list[np.ndarray], y: np.ndarray, epochs: int = 6, least_steps: int = 600, batch: int = 16, rate: float = 2.0, sample: int = 400, seed: int = SEED) -> None:
         """Stochastic gradient descent; each step sees a random part of the subwords of some documents."""
         r = np.random.default_rng(seed)
         order_all = [i for i in range(len(y)) if len(lists[i])]
-        steps = max(1, epochs * -(-len(order_all) // batch))
+        each = max(1, -(-len(order_all) // batch))
+        epochs = max(epochs, -(-least_steps // each)) if order_all else 0
+        steps = epochs * each
         t = 0
         for _ in range(epochs):
             order = r.permutation(order_all)
@@ -155,6 +157,7 @@ def train(texts: pa.Array, langs: list[str], seed: int = SEED) -> Model | None:
 
 def labelled(docs: DataFrame, limit: int) -> tuple[pa.Array, list[str]]:
     """At most ``limit`` whole texts with a language, spread by a hash of the identifier."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     some = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64(F.lit("langid"), "doc_id").alias("__h"))
     some = some.orderBy("__h", "doc_id", "lang").limit(limit).select(F.col("doc_id").alias("__d")).distinct()
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").join(F.broadcast(some), F.col("doc_id") == F.col("__d")).select("doc_id", "text", "lang").toArrow()

@@ -90,7 +90,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that mix() chooses, with all their columns; the identifiers should be distinct and not null (a null one is kept)."""
     kept = util.spool(mix(docs, **options).select(F.col("doc_id").alias("__kept")), "mixed")
     dropped = docs.select(F.col("doc_id").alias("__drop")).join(kept, F.col("__drop") == F.col("__kept"), "left_anti").where("__drop IS NOT NULL")
-    return docs.join(util.small_side(util.spool(dropped, "unmixed"), 16), docs["doc_id"] == F.col("__drop"), "left_anti")
+    dropped = util.small_side(util.spool(dropped, "unmixed"), 16)
+    return docs.join(dropped, docs["doc_id"] == dropped["__drop"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

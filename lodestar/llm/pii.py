@@ -123,7 +123,7 @@ def _number(t: str, at: int):
         return None
     raw, b = m.group(0), m.end()
     before, after = t[a - 1 : a], t[b : b + 1]
-    if before.isalnum() or before in ("_",):
+    if before.isalnum() or before == "_" or before in (".", "-") and t[a - 2 : a - 1].isalnum():
         return None
     first = raw.split()[0]
     end = a + len(first)

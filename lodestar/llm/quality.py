@@ -159,7 +159,8 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[pa.Array,
     """At most ``limit`` whole labelled texts, spread by a hash of the identifier, and their labels."""
     some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__q"))
     some = some.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(limit).withColumnRenamed("doc_id", "__d")
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(some), docs["doc_id"] == F.col("__d")).select("__d", "text", "__q").toArrow()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = rows.join(F.broadcast(some), F.col("doc_id") == F.col("__d")).select("__d", "text", "__q").toArrow()
     rows = rows.sort_by([("__d", "ascending"), ("text", "ascending")])
     return rows.column("text").combine_chunks(), rows.column("__q").to_numpy()
 

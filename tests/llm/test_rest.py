@@ -1,0 +1,357 @@
+import random
+import struct
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.llm import langid, licenses, mixing, ngram_join, ogg, packing, pii, quality
+
+from .tables import corpus, frame, rows_of, words
+
+
+# --- personal data -----------------------------------------------------------------
+CASES = [
+    ("mail Alice.b+x@ex-am.co.uk, now", [("email", "Alice.b+x@ex-am.co.uk")]),
+    ("bad @x a@ a@b a@b.c1 a..b@c.de", []),
+    ("see https://u:p@host.example/x?a=1.", [("url_account", "https://u:p@host.example/x?a=1")]),
+    ("see (ftp://host.example/x), ok ://no", [("url", "ftp://host.example/x")]),
+    ("ip 10.0.255.1 and 256.1.1.1 and 1.2.3 and 1.2.3.4.5 and 01.2.3.4", [("ip_address", "10.0.255.1")]),
+    ("cards 4111111111111111 4111111111111112 4111-1111-1111-1111 4111 1111 1111 1111", [("card", "4111111111111111"), ("card", "4111-1111-1111-1111"), ("card", "4111 1111 1111 1111")]),
+    ("number 9807915762804490 is none", []),
+    ("call +1 (469) 555-8958 or (555) 123-4567", [("phone", "+1 (469) 555-8958"), ("phone", "(555) 123-4567")]),
+    ("password=a9ce335683f9772ddc", [("secret", "a9ce335683f9772ddc")]),
+    ('token = "ce9e8b7ae2ab9d45a086a540fd4a1adb0a46b141"', [("secret", "ce9e8b7ae2ab9d45a086a540fd4a1adb0a46b141")]),
+    ("IBAN DE89370400440532013000.", [("account", "DE89370400440532013000")]),
+    ("to GB82 WEST 1234 5698 7654 32 now", [("iban", "GB82 WEST 1234 5698 7654 32")]),
+    ("ssn 078-05-1120", [("account", "078-05-1120")]),
+    ("x 078-05-1120 y", [("ssn", "078-05-1120")]),
+    ("at 12 Main Street, and the street", [("street_address", "12 Main Street")]),
+    ("the tokens of passwords are words in 1999, 12.5 or 3,000", []),
+]
+
+
+@pytest.mark.parametrize(("t", "want"), CASES)
+def test_pii(t, want):
+    assert [(k, t[a:b]) for k, a, b in pii.find(t)] == want
+
+
+def test_pii_in_noise():
+    rng = random.Random(2)
+    for _ in range(200):
+        t = "".join(rng.choice(["@", "a", "1", ".", " ", "+", "(", ")", "://", "password=", "é", "\n", "4111111111111111"]) for _ in range(60))
+        found = pii.find(t)
+        assert all(0 <= a < b <= len(t) for _, a, b in found)
+        assert all(x[2] <= y[1] for x, y in zip(found, found[1:], strict=False))
+        pii.redact(t)
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_pii_table(spark, clash):
+    rows = [*corpus(n=5), (500, "mail a.b@c.org now", "en", "s", 1), (500, "mail a.b@c.org now", "en", "s", 1), (None, "1.2.3.4", "en", "s", 1)]
+    want = [(i, k, a, b, t[a:b]) for i, t, *_ in rows if t for k, a, b in pii.find(t)]
+    assert rows_of(pii.scan(frame(spark, rows, clash))) == sorted(want, key=repr)
+    assert len(want) >= 3
+    assert pii.scan(frame(spark, [])).count() == 0
+
+
+# --- licences ----------------------------------------------------------------------
+def brute_licenses(t):
+    """Every template at every place of the text, aligned as the operator aligns what its votes find."""
+    if t is None:
+        return []
+    templates = {n: (name, ts) for n, name, ts in licenses.template_table()}
+    n = len(words(t))
+    return [(k, d, d) for k in templates for d in range(-3, n)], templates
+
+
+def test_licenses(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        t = " ".join(f"w{rng.randrange(200)}" for _ in range(rng.choice([0, 5, 30])))
+        for _ in range(rng.randrange(3)):
+            w = rng.choice([x for ts in licenses.TEMPLATES.values() for x in ts]).split()
+            if len(w) > 20:
+                for _ in range(len(w) // 20):
+                    w[rng.randrange(len(w))] = "changed"
+                if rng.random() < 0.5:
+                    w.insert(len(w) // 2, "more")
+            t += "\n" + " ".join(w) + ". " + " ".join(f"w{rng.randrange(200)}" for _ in range(12))
+        rows.append((i, t, "en", "s", len(t)))
+    rows += [(77, None, "en", "s", 0), (78, "", None, None, None), (None, "Released under the MIT License", "en", "s", 0), rows[5]]
+    got = rows_of(licenses.scan(frame(spark, rows, True)))
+    want = set()
+    for i, t, *_ in rows:
+        if t:
+            candidates, templates = brute_licenses(t)
+            want |= {(i, *f) for f in licenses.verify(t, candidates, templates, licenses.COVERAGE)}
+    assert got == sorted(want, key=repr)
+    assert {r[1] for r in got} > {"MIT", "Apache-2.0"}
+    assert licenses.scan(frame(spark, [])).count() == 0
+
+
+# --- media -------------------------------------------------------------------------
+def slow_checksum(data):
+    c = 0
+    for b in data:
+        c ^= b << 24
+        for _ in range(8):
+            c = (c << 1 ^ 0x04C11DB7) & 0xFFFFFFFF if c & 0x80000000 else c << 1
+    return c
+
+
+def test_checksum():
+    rng = random.Random(1)
+    for n in (0, 1, 2, 17, 300):
+        data = rng.randbytes(n)
+        assert ogg.checksum(data) == slow_checksum(data)
+
+
+def test_ogg_round_trip():
+    rng = random.Random(3)
+    for _ in range(60):
+        streams = {s: [(rng.randbytes(rng.choice([0, 1, 254, 255, 256, 510, 3000, 70000])), k) for k in range(rng.randrange(1, 7))] for s in range(rng.randrange(1, 4))}
+        data = ogg.mux(streams, rng.choice([200, 4096]))
+        found, count = ogg.packets(rng.randbytes(5) + data + b"Ogg")
+        assert {s: [p.data for p in found if p.serial == s] for s in streams} == {s: [d for d, _ in x] for s, x in streams.items()}
+        assert all(c[1:] == [0, 0] for s, c in count.items() if s is not None)
+        assert {p.serial: p.granule for p in found} == {s: x[-1][1] for s, x in streams.items()}
+
+
+def test_ogg_damage_loses_only_what_it_touches():
+    rng = random.Random(9)
+    for _ in range(60):
+        items = [(rng.randbytes(rng.choice([10, 600, 5000])), k) for k in range(12)]
+        data = bytearray(ogg.mux({5: items}, 1000))
+        at = rng.randrange(len(data))
+        data[at] ^= 1 + rng.randrange(255)
+        whole = [p for p in ogg.pages(bytes(data)) if not isinstance(p, int)]
+        found, count = ogg.packets(bytes(data))
+        sent = [d for d, _ in items]
+        got = [p.data for p in found]
+        k = 0
+        for g in got:  # what comes out was put in, in order
+            k = sent.index(g, k) + 1
+        assert len(whole) == count.get(5, [0])[0] and len(got) < len(sent) + 1
+
+
+def test_opus_times():
+    head = b"OpusHead" + struct.pack("<BBHIhB", 1, 1, 312, 48000, 0, 0)
+    items = [(head, 0), (b"OpusTags", 0)] + [(b"\xf8" + bytes(50), 960 * (k + 1)) for k in range(200)]
+    found, _ = ogg.packets(ogg.mux({1: items}))
+    assert [p.granule for p in found] == [g for _, g in items]
+    assert [round(p.seconds, 6) for p in found[2:4]] == [0.0135, 0.0335]
+
+
+def test_ogg_table(spark):
+    rows = corpus(n=20)
+    df = frame(spark, rows, True)
+    got = ogg.demux(ogg.media_of(df))
+    want = sum(2 + -(-len(t.encode()) // ogg.PAYLOAD) + 4 for i, t, *_ in rows if i is not None and t is not None)
+    lost = got.where("bad_pages > 0 OR lost_packets > 0").select("doc_id").distinct().count()
+    assert want - got.count() < 200 * max(1, lost)
+    odd = spark.createDataFrame([(1, b""), (2, b"OggS"), (3, None), (None, b"nothing")], "doc_id bigint, media binary")
+    assert {(r.doc_id, r.packet, r.bad_pages) for r in ogg.demux(odd).collect()} == {(1, None, 0), (2, None, 1), (None, None, 0)}
+    assert ogg.demux(odd.limit(0)).count() == 0
+
+
+# --- learnt operators --------------------------------------------------------------
+SF = "/root/testdata/sf0.01"
+
+
+def test_language_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = langid.identify(docs, 300).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert len(got) == docs.count()
+    assert ((got.predicted == got.lang) & got.accepted).mean() > 0.98
+
+
+def test_language_edges(spark):
+    got = rows_of(langid.identify(frame(spark, corpus(), True)))
+    assert len(got) == len(corpus())
+    assert all(r[1:] == ("und", 0.0, False) for r in got if r[0] in (80, 81, 82, 83, 84, 85))
+    assert langid.identify(frame(spark, [])).count() == 0
+    nothing = langid.identify(frame(spark, corpus()).withColumn("lang", F.lit(None).cast("string")))
+    assert {r.predicted for r in nothing.collect()} == {"und"}
+
+
+def test_subwords_are_counted_as_defined():
+    ids, docs = langid.subwords(pa.array(["ab c", None, "é"]))
+    for d, t in enumerate(["ab c", "", "é"]):
+        want = []
+        for k, n in enumerate(langid.ORDERS):
+            for w in words(t):
+                b = b"\0" + w.encode() + b"\0"
+                want += [int(int.from_bytes(b[i : i + n], "little") * 2654435761 % 2**32 >> 16) + k * langid.BUCKETS for i in range(len(b) - n + 1)]
+        assert sorted(ids[docs == d].tolist()) == sorted(want)
+
+
+def test_quality_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs, labels, 250).join(labels, "doc_id").toPandas()
+    assert ((got.quality == 1) == got.keep).mean() > 0.97
+    assert got.keep[got.quality == 1].mean() > 0.98
+    kept = quality.accepted(docs, labels, 250)
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.classify(docs, labels, 250).where("keep").collect()}
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(1)
+    m = quality.Attention(width=5, hidden=4, gate=3)
+    x, first = rng.standard_normal((6, 5)), np.array([0, 2, 3, 6])
+    y = np.array([1.0, 0.0, 1.0])
+    for k in m.p:
+        m.p[k] = m.p[k].astype(np.float64) + rng.standard_normal(m.p[k].shape) * 0.1
+
+    def loss():
+        p = m._forward(x, first)[5]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    start = {k: v.copy() for k, v in m.p.items()}
+    wanted = {}
+    for k, v in start.items():
+        g = np.zeros_like(v)
+        for i in np.ndindex(v.shape):
+            for s in (1, -1):
+                m.p[k] = v.copy()
+                m.p[k][i] += s * 1e-5
+                g[i] += s * loss() / 2e-5
+        m.p[k] = v
+        wanted[k] = g
+    h, v, u, a, z, out = m._forward(x, first)
+    own, dl = np.repeat([0, 1, 2], np.diff(first)), (out - y) / 3
+    da = ((dl[:, None] * m.p["c"][:, 0])[own] * h).sum(1)
+    ds = a * (da - np.add.reduceat(a * da, first[:-1])[own])
+    assert np.allclose((v * u).T @ ds[:, None], wanted["w"], atol=1e-6)
+    assert np.allclose(z.T @ dl[:, None], wanted["c"], atol=1e-6)
+
+
+def test_passages_cover_the_text():
+    x, first = quality.features(pa.array(["Aa bb! " * 100, None, "", "one"]))
+    assert np.diff(first).tolist() == [-(-200 // quality.PASSAGE), 1, 1, 1]
+    assert np.isfinite(x).all() and abs(x[0, : quality._NCLASS].sum() - 1) < 1e-5 and x[first[1]].sum() == 0
+
+
+def test_quality_edges(spark):
+    rows = corpus()
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)] + [(None, 1, 0), (1, None, 0), (9999, 1, 1)], "doc_id bigint, quality int, toxic int")
+    assert quality.classify(frame(spark, rows, True), labels).count() == len(rows)
+    df = frame(spark, rows, True)
+    assert quality.accepted(df, labels).columns == df.columns
+    for few in (labels.limit(0), labels.where("quality = 1")):
+        assert rows_of(quality.classify(df, few).groupBy("keep").count()) == [(True, len(rows))]
+    assert quality.classify(frame(spark, []), labels).count() == 0
+
+
+# --- mixing ------------------------------------------------------------------------
+def sainte_lague(weights, supply):
+    """Seats by highest quotient, one at a time, until one can't be filled."""
+    won = dict.fromkeys(weights, 0)
+    while True:
+        s = max(sorted(weights), key=lambda s: weights[s] / (2 * won[s] + 1))
+        if won[s] == supply[s]:
+            return won
+        won[s] += 1
+
+
+def test_quotas(spark):
+    rng = random.Random(8)
+    for _ in range(6):
+        supply = {f"s{i}": {h: rng.randrange(1, 9) for h in range(rng.randrange(1, 4))} for i in range(rng.randrange(1, 6))}
+        weights = {s: rng.randrange(1, 5) for s in supply}
+        laid = spark.createDataFrame([(s, h, b) for s, x in supply.items() for h, n in x.items() for b in range(n)], "source string, shard int, block bigint")
+        got = {(r.source, r.shard): r.quota for r in mixing.quotas(laid, weights).collect()}
+        won = sainte_lague(weights, {s: sum(x.values()) for s, x in supply.items()})
+        want = {}
+        for s, x in supply.items():
+            own = dict.fromkeys(x, 0)
+            for _ in range(won[s]):
+                h = max(sorted(x), key=lambda h: x[h] / (2 * own[h] + 1))
+                own[h] += 1
+            want |= {(s, h): n for h, n in own.items() if n}
+        assert got == want
+
+
+def test_mixing_edges(spark):
+    df = frame(spark, corpus(), True)
+    got = mixing.mix(df, block_tokens=50, shards=2).collect()
+    assert got and {r.source for r in got} <= {"", "s0", "s1", "s2"}
+    kept = mixing.mixed_documents(df, block_tokens=50, shards=2)
+    assert kept.columns == df.columns
+    ids = {r.doc_id for r in got}
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(r.doc_id for r in df.collect() if r.doc_id is not None and r.doc_id in ids)
+    assert mixing.mix(frame(spark, [])).count() == 0
+
+
+# --- packing -----------------------------------------------------------------------
+def plain_pack(pieces, caps, open_cost):
+    """Best fit by looking at every open bin; of equally full ones the one used last."""
+    pieces = sorted(pieces, key=lambda p: (-p[0], p[1], p[2]))
+    left, bins = sum(p[0] for p in pieces), []
+    for when, p in enumerate(pieces):
+        fits = [b for b in bins if b[0] >= p[0]]
+        if fits:
+            b = min(fits, key=lambda b: (b[0], -b[2]))
+        else:
+            c = min((c for c in caps if c >= p[0]), key=lambda c: (packing.cost(c, max(caps), open_cost) / min(c, left), c))
+            b = [c, [], 0]
+            bins.append(b)
+        b[1].append(p)
+        b[0] -= p[0]
+        b[2] = when
+        left -= p[0]
+    return bins
+
+
+def test_packer():
+    rng = random.Random(6)
+    for _ in range(40):
+        caps = rng.choice([(64,), (16, 32, 64), (10, 100)])
+        pieces = [(rng.randrange(1, max(caps) + 1), i, 0) for i in range(rng.randrange(1, 80))]
+        got = packing.Packer(caps, 5).pack(pieces)
+        assert sorted(p for _, b in got for p in b) == sorted(pieces)
+        for c, b in got:
+            used = sum(p[0] for p in b)
+            assert c in caps and used <= c and all(x < used for x in caps if x < c)
+            assert sorted(sum(p[0] for p in b) for _, b in got) == sorted(sum(p[0] for p in b[1]) for b in plain_pack(pieces, caps, 5))
+
+
+def test_packing_table(spark):
+    rows = corpus()
+    got = packing.pack(frame(spark, rows, True), (64, 256), 8, 5000).collect()
+    seen = sorted((d, s, n) for r in got for d, s, n in zip(r.doc_ids, r.starts, r.lengths, strict=True))
+    want = sorted((i, at, min(256, n - at)) for i, t, *_ in rows if i is not None for n in [len((t or "").split())] for at in range(0, n, 256))
+    assert seen == want
+    assert all(r.used == sum(r.lengths) <= r.capacity for r in got)
+    assert packing.pack(frame(spark, [])).count() == 0
+
+
+# --- pipeline ----------------------------------------------------------------------
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    at, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, SF)
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        before, at = at, spark.read.parquet(str(tmp_path / name))
+        kept[name] = {r.doc_id: r.text for r in at.select("doc_id", "text").collect()}
+        was = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}
+        assert kept[name].items() <= was.items()
+    q, e, n = kept["quality"], kept["exact_dedup"], kept["near_dedup"]
+    bad = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
+    assert len(bad & q.keys()) <= 2
+    least = {}
+    for i, t in q.items():
+        least[t] = min(i, least.get(t, i))
+    assert set(e) == set(least.values())
+    assert ngram_join.join(spark.read.parquet(str(tmp_path / "near_dedup"))).count() == 0
+    assert set(kept["mixing"]) == {r.doc_id for r in mixing.mix(spark.read.parquet(str(tmp_path / "near_dedup"))).collect()}
+    bins = corpus_pipeline.STAGES[-1][1](spark, at, SF).collect()
+    assert {d for r in bins for d in r.doc_ids} == {i for i, t in kept["mixing"].items() if t.split()}
+    assert len(n) < len(e)
+    assert rows_of(corpus_pipeline.run(spark, SF)) == rows_of(corpus_pipeline.STAGES[-1][1](spark, at, SF))
