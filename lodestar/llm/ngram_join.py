@@ -299,17 +299,32 @@ def _neighbours(batches, threshold: float, parts: int):
     out = []
     for p in np.flatnonzero(np.diff(cut)).tolist():
         owner, run = _grouped(x[cut[p] : cut[p + 1]])
-        out.append((p, 0, 0, sig[owner].tobytes(), b"", run.astype(np.uint32).tobytes(), sig[y[cut[p] : cut[p + 1]]].tobytes()))
+        # neighbours are numbers in a list of those of this message, as steps: alike for near copies, they pack well
+        named, at = np.unique(y[cut[p] : cut[p + 1]], return_inverse=True)
+        step = np.diff(at, prepend=0)
+        begin = np.cumsum(run) - run
+        step[begin] = at[begin]
+        step = step.astype(np.uint16 if len(named) < 65536 else np.uint32)
+        out.append((p, step.itemsize, 0, sig[owner].tobytes(), step.tobytes(), run.astype(np.uint32).tobytes(), sig[named].tobytes()))
     yield _rows(out, _PACK_NAMES, _TYPES)
 
 
+def _numbers(width: int, raw: bytes, run: np.ndarray) -> np.ndarray:
+    """The numbers whose steps are given, starting anew with each run."""
+    step = np.frombuffer(raw, f"<u{width}").astype(np.int64)
+    total = np.cumsum(step)
+    begin = np.cumsum(run) - run
+    return total - np.repeat(total[begin] - step[begin], run)
+
+
 def _homes(batches):
     table = util.gather(batches)
     if table is None:
         return
     rows = table.to_pydict()
-    x = np.repeat(_cat(rows["sig"], np.uint64), _cat(rows["cnt"], np.uint32)).view(np.int64)
-    y = _cat(rows["gram"], np.int64)
+    runs = [np.frombuffer(c, np.uint32).astype(np.int64) for c in rows["cnt"]]
+    x = np.repeat(_cat(rows["sig"], np.uint64), np.concatenate(runs)).view(np.int64)
+    y = np.concatenate([np.frombuffer(g, np.int64)[_numbers(w, n, r)] for g, w, n, r in zip(rows["gram"], rows["kind"], rows["num"], runs, strict=True)])
     least = np.minimum(x, y)
     order = np.argsort(x, kind="stable")
     x, y, least = x[order], y[order], least[order]
@@ -499,7 +514,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str
     pairs = found.select(F.explode("a").alias("x"), "b", (F.col("overlap") / F.col("either")).alias("jaccard")).select("x", F.explode("b").alias("y"), "jaccard")
     same = sets.where("size(ids) > 1").select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).where("x < y").withColumn("jaccard", F.lit(1.0))
     both = pairs.where("x <> y").unionByName(same)
-    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -531,8 +546,8 @@ def representatives(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, i
     sets, found = _found(docs, n, threshold, True, id_col, text_col)
     edges = found.select(F.array_min("a").alias("u"), F.array_min("b").alias("v"))
     same = sets.where("size(ids) > 1").select(F.explode("ids").alias("u"), F.array_min("ids").alias("v"))
-    drop = util.spool(components(edges.unionByName(same)).select(F.col("node").alias("__drop")), "near")
-    return docs.join(util.small_side(drop, 16), docs[id_col] == F.col("__drop"), "left_anti")
+    drop = util.small_side(util.spool(components(edges.unionByName(same)).select(F.col("node").alias("__drop")), "near"), 16)
+    return docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -545,6 +560,6 @@ g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {N} THEN list_transform
        ELSE [array_to_string(w, ' ')] END) AS g FROM w WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(o / (x.n + y.n - o), 6) AS jaccard FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
+SELECT doc_a, doc_b, o / (x.n + y.n - o) AS jaccard FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
 WHERE o / (x.n + y.n - o) >= {THRESHOLD}
 """
