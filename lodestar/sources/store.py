@@ -64,8 +64,8 @@ def read_vector_file(spark: SparkSession, path: str, dim: int) -> DataFrame:
     def rows(frames):
         for f in frames:
             for p, c in zip(f["path"], f["content"], strict=True):
-                x = np.frombuffer(c, "<f4")
-                x = x[: len(x) // dim * dim].reshape(-1, dim)
+                n = len(c) // (4 * dim)  # a row cut off at the end isn't one
+                x = np.frombuffer(c, "<f4", n * dim).reshape(n, dim)
                 yield pd.DataFrame({"path": p, "slot": np.arange(len(x)), "embedding": list(x)})
 
     return files.mapInPandas(rows, "path string, slot bigint, embedding array<float>")
