@@ -9,13 +9,13 @@ from pyspark.sql.types import StringType
 
 MAX_CHARS = 1500
 MAX_TAGS = 10
-ID_STOP_WORDS = ("the", "and", "a", "an", "in", "on", "at", "for", "of", "to", "is", "it", "that", "this")
+ID_STOP_WORDS = tuple("a an and at for in is it of on that the this to".split())
 TAG_STOP_WORDS = tuple(
     (
-        "about above after again against also among another before being below between both been because cannot could dure "
-        "each either even from further have having here however into itself just like many more most much need neither none "
-        "only onto other otherwise over own same should since some such than that them then there therefore these they this "
-        "those through thus time under until upon used very well were what when where which while will with within without would your yours"
+        "own need used like same time some none here were more dure have each much such with both well will them from than been then when "
+        "even upon also into onto over your this thus that what most just they only many very could would since while there where these "
+        "those above being among which until again under other after yours about below should before itself having within either cannot "
+        "because through between neither another further however against without therefore otherwise "
     ).split()
 )
 #: Split pattern between words, and marks trimmed off their ends, of the content signature.
@@ -100,8 +100,8 @@ def sanitize(t: Column) -> Column:
 
 
 # --- HTML ---------------------------------------------------------------------------
-DROPPED = ("script", "style", "head", "noscript", "nav", "footer")
-BLOCKS = ("p", "div", "section", "article", "main", "header", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "blockquote", "pre", "figure", "figcaption", "br", "hr")
+DROPPED = "script style head noscript nav footer".split()
+BLOCKS = "article blockquote br div figcaption figure h1 h2 h3 h4 h5 h6 header hr li main p pre section tr".split()
 ENTITIES = (
     ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("mdash", "—"), ("ndash", "–"), ("lsquo", "‘"),
     ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("hellip", "…"), ("copy", "©"), ("reg", "®"), ("trade", "™"),
