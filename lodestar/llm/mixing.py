@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 from . import util
 
-#: Tokens in a block, shards of a source, seed of the order of documents and of the choice of blocks.
+#: Tokens in a block, documents to a shard of the corpus, seed of the order of documents and of the choice of blocks.
 BLOCK_TOKENS = 4096
-SHARDS = 16
+SHARD_DOCS = 20_000
 SEED = 20240229
-#: Integer target weights by source; a source that isn't named has DEFAULT_WEIGHT.
-WEIGHTS = {"src0": 8}
-DEFAULT_WEIGHT = 1
+#: Without a table of target weights a source's is its number of blocks to the power of 3/4, in parts of TEMPER: large sources are held back, small ones kept.
+TEMPER = 16
 
 
 def tokens(text: Column) -> Column:
@@ -22,35 +21,45 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def _weight(weights: dict[str, int], default: int) -> Column:
+def _weight(weights: dict[str, int] | None, default: int) -> Column:
+    if weights is None:
+        n = F.col("supply").cast("double")
+        return F.floor(TEMPER * F.sqrt(n * F.sqrt(n)) + 0.5).cast("long")
     out = F.lit(default)
     for name, w in sorted(weights.items()):
         out = F.when(F.col("source") == name, F.lit(w)).otherwise(out)
     return out.cast("long")
 
 
-def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, tokens, shard, block): each shard of a source is laid out in a seeded order and cut every block_tokens tokens.
 
-    A document belongs to the block in which its first token lies.
+    There is a shard for every shard_docs documents of the corpus, so that no
+    source's part of one has more than about that many, whatever the size. A
+    document belongs to the block in which its first token lies.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), tokens(F.col("text")).alias("tokens"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = d.withColumn("key", key).withColumn("shard", (F.conv(F.substring("key", 1, 4), 16, 10).cast("long") % shards).cast("int"))
+    d = util.spool(d.withColumn("key", key), "tokens")
+    shards = max(1, -(-d.count() // shard_docs))
+    d = d.withColumn("shard", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % shards).cast("int"))
     w = W.partitionBy("source", "shard").orderBy("key", "tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
     before = F.sum("tokens").over(w) - F.col("tokens")
     return d.withColumn("block", F.floor(before / block_tokens).cast("long")).drop("key")
 
 
-def quotas(laid: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAULT_WEIGHT) -> DataFrame:
+def quotas(laid: DataFrame, weights: dict[str, int] | None = None, default: int = 1) -> DataFrame:
     """(source, shard, quota): blocks each shard of each source gives.
 
-    First over sources: seats go by highest quotient weight / (2k + 1) for as
+    weights are integers by source, with a default for those that aren't named;
+    without any they are tempered sizes (see TEMPER). First over sources: seats go by highest quotient weight / (2k + 1) for as
     long as every source still has the block it wins; a tie goes to the source
     first by name. The number of a source's quotients before the first seat that
     can't be filled has a closed form, so no list of seats is made. A source of
     weight 0 gives none. Then within a source by the same rule over its shards,
-    weighted by the blocks they have, which never asks a shard for more than that.
+    weighted by the blocks they have, which never asks a shard for more than that:
+    of n shards one gets its proportional share to within n / 2 times its part,
+    and one for rounding, so only seats about that place are ranked.
     """
     supply = laid.groupBy("source", "shard").agg((F.max("block") + 1).alias("blocks"))
     per = supply.groupBy("source").agg(F.sum("blocks").alias("supply")).withColumn("weight", _weight(weights, default)).where("weight > 0")
@@ -61,13 +70,20 @@ def quotas(laid: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DE
     reach = F.col("weight") * (2 * F.col("n") + 1)
     seats = (F.floor((reach - F.col("v") - 1 + F.when(F.col("source") < F.col("s"), 1).otherwise(0)) / (2 * F.col("v"))) + 1).cast("long")
     won = per.crossJoin(F.broadcast(stop)).select("source", F.greatest(F.lit(0), F.least(seats, F.col("supply"))).alias("won"))
-    seat = supply.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc(F.col("blocks") / (2 * F.col("k") + 1)), "shard"))
-    given = seat.withColumn("rank", rank).join(won, "source").where(F.col("rank") <= F.col("won"))
-    return given.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("quota"))
-
-
-def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAULT_WEIGHT, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    all_of = W.partitionBy("source")
+    near = supply.join(won, "source").withColumn("total", F.sum("blocks").over(all_of)).withColumn("n", F.count(F.lit(1)).over(all_of))
+    share = F.floor(F.col("won") * F.col("blocks") / F.col("total"))
+    slack = F.ceil(F.col("n") * F.col("blocks") / (2 * F.col("total"))) + 2
+    near = near.withColumn("sure", F.greatest(F.lit(0), share - slack).cast("long")).withColumn("last", F.least(F.col("blocks"), share + slack + 1).cast("long"))
+    near = near.withColumn("open", F.col("won") - F.sum("sure").over(all_of))
+    seat = near.withColumn("k", F.explode(F.filter(F.sequence("sure", "last"), lambda k: k < F.col("last"))))
+    rank = F.row_number().over(all_of.orderBy(F.desc(F.col("blocks") / (2 * F.col("k") + 1)), "shard"))
+    given = seat.withColumn("rank", rank).where(F.col("rank") <= F.col("open")).groupBy("source", "shard").agg(F.count(F.lit(1)).alias("more"))
+    both = near.join(given, ["source", "shard"], "left").withColumn("quota", F.col("sure") + F.coalesce("more", F.lit(0)))
+    return both.where("quota > 0").select("source", "shard", "quota")
+
+
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, tokens, shard, block) of the documents in the chosen blocks.
 
     As many blocks are taken as the weights allow before a source runs out. A
@@ -77,7 +93,7 @@ def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default: int = DEFAU
     themselves that decides nothing but the block. An empty table gives no rows;
     other columns are not looked at.
     """
-    laid = util.spool(blocks(docs, block_tokens, shards, seed), "mix")
+    laid = util.spool(blocks(docs, block_tokens, shard_docs, seed), "mix")
     quota = quotas(laid, weights, default)
     have = laid.groupBy("source", "shard", "block").agg(F.count(F.lit(1)).alias("n"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "source", F.col("shard").cast("string"), F.col("block").cast("string")))
@@ -98,15 +114,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(util.table(spark, sf_dir, "documents"))
 
 
-_CASE = " ".join(f"WHEN source = '{k}' THEN {v}" for k, v in sorted(WEIGHTS.items()))
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS tokens,
        md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
-s AS (SELECT *, (('0x' || key[1:4])::BIGINT % {SHARDS})::INTEGER AS shard FROM d),
+s AS (SELECT *, (('0x' || key[1:8])::BIGINT % greatest(1, ceil((SELECT count(*) FROM documents) / {SHARD_DOCS})::BIGINT))::INTEGER AS shard FROM d),
 laid AS (SELECT doc_id, source, tokens, shard,
        ((sum(tokens) OVER (PARTITION BY source, shard ORDER BY key, tokens ROWS UNBOUNDED PRECEDING) - tokens) // {BLOCK_TOKENS})::BIGINT AS block FROM s),
 supply AS (SELECT source, shard, max(block) + 1 AS blocks FROM laid GROUP BY ALL),
-per AS (SELECT source, sum(blocks)::BIGINT AS supply, CASE {_CASE} ELSE {DEFAULT_WEIGHT} END AS weight FROM supply GROUP BY source),
+per AS (SELECT source, sum(blocks)::BIGINT AS supply, floor({TEMPER} * sqrt(sum(blocks)::DOUBLE * sqrt(sum(blocks)::DOUBLE)) + 0.5)::BIGINT AS weight FROM supply GROUP BY source),
 seat AS (SELECT source, supply, k, weight / (2 * k + 1) AS q FROM (SELECT *, unnest(range(0, supply + 1)) AS k FROM per)),
 ranked AS (SELECT *, row_number() OVER (ORDER BY q DESC, source) AS r FROM seat),
 won AS (SELECT source, count(*) AS won FROM ranked WHERE r < (SELECT min(r) FROM ranked WHERE k = supply) GROUP BY source),

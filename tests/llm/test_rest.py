@@ -259,7 +259,7 @@ def sainte_lague(weights, supply):
 def test_quotas(spark):
     rng = random.Random(8)
     for _ in range(6):
-        supply = {f"s{i}": {h: rng.randrange(1, 9) for h in range(rng.randrange(1, 4))} for i in range(rng.randrange(1, 6))}
+        supply = {f"s{i}": {h: rng.choice([1, 2, 3, rng.randrange(1, 90)]) for h in range(rng.randrange(1, 9))} for i in range(rng.randrange(1, 6))}
         weights = {s: rng.randrange(1, 5) for s in supply}
         laid = spark.createDataFrame([(s, h, b) for s, x in supply.items() for h, n in x.items() for b in range(n)], "source string, shard int, block bigint")
         got = {(r.source, r.shard): r.quota for r in mixing.quotas(laid, weights).collect()}
@@ -276,9 +276,9 @@ def test_quotas(spark):
 
 def test_mixing_edges(spark):
     df = frame(spark, corpus(), True)
-    got = mixing.mix(df, block_tokens=50, shards=2).collect()
+    got = mixing.mix(df, block_tokens=50, shard_docs=40).collect()
     assert got and {r.source for r in got} <= {"", "s0", "s1", "s2"}
-    kept = mixing.mixed_documents(df, block_tokens=50, shards=2)
+    kept = mixing.mixed_documents(df, block_tokens=50, shard_docs=40)
     assert kept.columns == df.columns
     ids = {r.doc_id for r in got}
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(r.doc_id for r in df.collect() if r.doc_id is not None and r.doc_id in ids)
