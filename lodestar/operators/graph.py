@@ -59,7 +59,7 @@ def neighbours(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None)
         nodes = nodes.join(F.broadcast(ids.select("partition_id")), "partition_id", "left_semi")
     lists = e.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda s: s["dst"]).alias("neighbours"))
     out = nodes.select("partition_id").join(lists, nodes["partition_id"] == lists["src"], "left")
-    return out.select("partition_id", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
+    return out.select("partition_id", F.coalesce("neighbours", F.array().cast(dict(lists.dtypes)["neighbours"])).alias("neighbours"))
 
 
 def entry_points(nodes: DataFrame) -> DataFrame:

@@ -90,13 +90,15 @@ def train(vectors: DataFrame, by: str, width: int, seed: int = 0) -> DataFrame:
     return vectors.select(by, "embedding").groupBy(by).applyInPandas(fit, f"{by} {key}, sub int, code int, centroid array<float>")
 
 
-def diversity_floor(adc: DataFrame, represented: DataFrame, views, limit: int) -> DataFrame:
+def diversity_floor(adc: DataFrame, represented: DataFrame, views, limit: int, groups: list[str] | None = None) -> DataFrame:
     """(query_id, group_id, partition_id, distance): for available groups without a hit, by identifier and at most ``limit``, their best partition.
 
-    adc: (query_id, partition_id, document_id, distance); represented: (query_id, group_id).
+    adc: (query_id, partition_id, document_id, distance); represented: (query_id, group_id); groups: the only ones wanted, if any are named.
     """
     free = views.document_access.where("access = 'available'").select("document_id")
     members = views.document_group.select("group_id", "document_id").distinct().join(free, "document_id", "left_semi")
+    if groups:
+        members = members.where(F.col("group_id").isin(groups))
     wanted = adc.join(members, "document_id").join(represented, ["query_id", "group_id"], "left_anti")
     best = wanted.groupBy("query_id", "group_id").agg(F.min(F.struct("distance", "partition_id")).alias("m")).select("query_id", "group_id", "m.partition_id", "m.distance")
     return best.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("group_id"))).where(F.col("n") <= limit).drop("n")

@@ -64,7 +64,7 @@ class Registry:
             links = links.withColumn("earned", F.lit(0.0))
         per = links.groupBy("group_id").agg(F.array_sort(F.collect_set("document_id")).alias("documents"), F.sum(F.coalesce("earned", F.lit(0.0))).alias("total_earnings"))
         return groups.where("owner_id IS NOT NULL").join(per, "group_id", "left").select(
-            "group_id", "label", "owner_id", "access", F.coalesce("documents", F.array().cast("array<bigint>")).alias("documents"), F.coalesce("total_earnings", F.lit(0.0)).alias("total_earnings")
+            "group_id", "label", "owner_id", "access", F.coalesce("documents", F.array().cast(f"array<{dict(self.document_group.dtypes)['document_id']}>")).alias("documents"), F.coalesce("total_earnings", F.lit(0.0)).alias("total_earnings")
         )
 
     def page(self, owner: str, after: str | None, limit: int, include_available: bool = False) -> DataFrame:

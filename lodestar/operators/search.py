@@ -134,7 +134,7 @@ def scope_documents(views, owner: str, scope: str, groups: list[str] | None = No
 
 
 def search(views, queries: DataFrame, owner: str, scope: str = "personal", groups: list[str] | None = None, group: str | None = None, aggregate: bool = False, tags: Column | None = None,
-           rerank=lambda distance: distance, live: DataFrame | None = None) -> DataFrame:
+           rerank=lambda distance: distance, live: DataFrame | None = None, adc: DataFrame | None = None, per_shard: int = PER_SHARD) -> DataFrame:
     """Two-level top-k: (query_id, partition_id, document_id, distance, adjusted, threshold, norm, position).
 
     Documents are filtered by scope, group and tag before the scan, candidates
@@ -142,11 +142,16 @@ def search(views, queries: DataFrame, owner: str, scope: str = "personal", group
     owner's private documents in global scope, pooled, reranked and cut. The order
     of the answer is by adjusted distance; norm and boost only decide who is in
     the pool.
+
+    With ``adc`` (query_id, partition_id, document_id, distance), in global scope,
+    available groups without any candidate get their best partition injected, at
+    most K a query, at its quantized distance, which is of another scale; such a
+    query's pool is then chosen by norm alone, without boost.
     """
     nodes = live if live is not None else views.partition
     seen = scope_documents(views, owner, scope, groups, group, aggregate)
     seen = tag_filter(seen.join(views.tags, "document_id", "left"), tags).select("document_id")
-    found = candidates(nodes.join(seen, "document_id", "left_semi"), queries, PER_SHARD, ("shard_id",))
+    found = candidates(nodes.join(seen, "document_id", "left_semi"), queries, per_shard, ("shard_id",))
     bound = thresholds(views.partition)
     rows = found.join(F.broadcast(bound), "shard_id", "left").withColumn("norm", V.threshold_norm(F.col("distance"), F.coalesce("threshold", F.lit(float("inf")))))
     best = F.row_number().over(W.partitionBy("query_id", "partition_id").orderBy("norm", "shard_id"))
@@ -157,6 +162,8 @@ def search(views, queries: DataFrame, owner: str, scope: str = "personal", group
         mine = views.owner_document.where(F.col("owner_id") == owner).select("document_id", F.lit(True).alias("mine")).distinct()
         rows = rows.join(free, "document_id", "left").join(mine, "document_id", "left")
         key = F.when(F.col("mine") & F.col("free").isNull(), F.col("norm") * OWNER_BOOST).otherwise(F.col("norm"))
+        if adc is not None:
+            rows, key = _diverse(views, rows, key, adc, groups or ([group] if group and not aggregate else []))
     pool = rows.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(key, "partition_id"))).where(F.col("place") <= POOL)
     limit = bound.agg(F.coalesce(F.max("threshold"), F.lit(float("inf"))).alias("limit"))
     pool = pool.withColumn("adjusted", rerank(F.col("distance"))).crossJoin(F.broadcast(limit))
@@ -165,6 +172,19 @@ def search(views, queries: DataFrame, owner: str, scope: str = "personal", group
     return kept.select("query_id", "partition_id", "document_id", "distance", "adjusted", F.col("limit").alias("threshold"), "norm", position.alias("position"))
 
 
+def _diverse(views, rows: DataFrame, key: Column, adc: DataFrame, groups: list[str]) -> tuple[DataFrame, Column]:
+    from lodestar.operators.quantize import diversity_floor
+
+    have = rows.select("query_id", "document_id").join(views.document_group.select("document_id", "group_id"), "document_id").select("query_id", "group_id").distinct()
+    new = diversity_floor(adc, have, views, K, groups)
+    new = new.join(views.partition.select("partition_id", "document_id"), "partition_id").select("query_id", "partition_id", "document_id", "distance", F.col("distance").alias("norm"))
+    changed = new.select("query_id").distinct().withColumn("changed", F.lit(True))
+    rows = rows.withColumn("key", key).join(F.broadcast(changed), "query_id", "left").withColumn("key", F.when(F.col("changed"), F.col("norm")).otherwise(F.col("key")))
+    cols = ["query_id", "partition_id", "document_id", "distance", "norm"]
+    both = rows.select(*cols, "key").unionByName(new.withColumn("key", F.col("norm")))
+    return both.withColumn("best", F.lit(1)), F.col("key")
+
+
 def adjustments(pool: DataFrame) -> DataFrame:
     """What reranking did to each row of (distance, adjusted, threshold)."""
     a, b, t = F.col("distance"), F.col("adjusted"), F.col("threshold")

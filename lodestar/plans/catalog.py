@@ -226,6 +226,23 @@ def diversity_floor(v: Views) -> DataFrame:
     return quantize.diversity_floor(adc, hit, v, 3).select("query_id", "group_id", "partition_id", r6("distance"))
 
 
+@query(PQ + f""", c AS (SELECT query_id, shard_id, partition_id, document_id, {QD} AS d FROM v_partition p, v_query q WHERE ({OWNED} OR {PUBLIC})),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, shard_id ORDER BY d, partition_id) AS r FROM c),
+n AS (SELECT t.query_id, t.partition_id, t.document_id, d, CASE WHEN threshold > 0 THEN d / threshold ELSE d END AS norm FROM t LEFT JOIN v_threshold USING (shard_id) WHERE r <= 2),
+hit AS (SELECT DISTINCT query_id, group_id FROM n JOIN v_document_group USING (document_id)),
+w AS (SELECT a.query_id, m.group_id, a.partition_id, a.document_id, round(a.distance, 9) AS distance FROM adc a JOIN (SELECT DISTINCT group_id, document_id FROM v_document_group) m USING (document_id)
+  WHERE document_id IN (SELECT document_id FROM v_document_access WHERE access = 'available') AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.query_id = a.query_id AND h.group_id = m.group_id)),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY group_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY distance, partition_id) AS r FROM w) WHERE r = 1),
+u AS (SELECT *, CASE WHEN query_id IN (SELECT query_id FROM g) THEN norm WHEN {OWNED.replace('p.', 'n.')} AND NOT {PUBLIC.replace('p.', 'n.')} THEN norm * 0.9 ELSE norm END AS k FROM n
+  UNION ALL SELECT query_id, partition_id, document_id, distance, distance, distance FROM g WHERE n <= 3),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k, partition_id) AS place FROM u) WHERE place <= 9),
+z AS (SELECT *, d < (SELECT max(threshold) FROM v_threshold) AS keep FROM pool)
+SELECT query_id, partition_id, document_id, round(d, 6) AS distance FROM (SELECT *, bool_or(keep) OVER (PARTITION BY query_id) AS any_keep FROM z) WHERE keep OR NOT any_keep""")
+def search_global_diverse(v: Views) -> DataFrame:
+    adc = _adc(v).join(v.partition.select("partition_id", "document_id"), "partition_id").withColumn("distance", F.round("distance", 9))
+    return search.search(v, v.queries(), OWNER, "global", adc=adc, per_shard=2).select("query_id", "partition_id", "document_id", r6("distance"))
+
+
 @query()
 def pq_train_kmeans(v: Views) -> DataFrame:
     return quantize.train(v.partition, "shard_id", WIDTH)
