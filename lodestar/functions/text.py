@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +38,33 @@ def tag_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_ALNUM), lambda w: (F.length(w) > 3) & ~w.isin(*TAG_STOP_WORDS))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once, as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def top_words(words: Column, n: int = MAX_TAGS) -> Column:
+    """array<struct<n, word>>: the n most frequent words, by name on a tie. Sorted runs are counted inside the row, so nothing is shuffled."""
+
+    def count(s: Column) -> Column:
+        size = F.size(s)
+        heads = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def pairs(h: Column) -> Column:
+            runs = F.transform(h, lambda i, k: F.struct((i - F.coalesce(F.get(h, k + 1), size)).alias("less"), F.get(s, i).alias("word")))
+            return F.transform(F.slice(F.array_sort(runs), 1, n), lambda r: F.struct((-r["less"]).cast("bigint").alias("n"), r["word"].alias("word")))
+
+        return F.when(size > 0, let(heads, pairs)).otherwise(F.array().cast("array<struct<n:bigint,word:string>>"))
+
+    return let(F.array_sort(words), count)
+
+
+def signature(text: Column) -> Column:
+    """The ten most frequent words in order of name."""
+    top = F.transform(top_words(signature_words(F.coalesce(text, F.lit("")))), lambda r: r["word"])
+    return F.array_join(F.array_sort(top), " ")
+
+
 def numeric_hash(text: Column) -> Column:
     """SHA-256 with each byte in decimal, two digits at least; 64 to 96 digits."""
     n = lambda i: F.conv(F.substr(F.sha2(text, 256), i, F.lit(2)), 16, 10)

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
@@ -16,23 +15,15 @@ DIM = 64
 TOKENS = 512
 
 
-def top_words(words: DataFrame, key: str, n: int = 10) -> DataFrame:
-    """(key, word, n): the n most frequent words of each key, by name on a tie. words: (key, word)."""
-    counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "word"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= n)
-
-
 def tags(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, rank, word, n): the tags of each text, most frequent first."""
-    return top_words(docs.select(key, F.explode(T.tag_words(F.col(text))).alias("word")), key, T.MAX_TAGS)
+    """(key, rank, word, n): the tags of each text, most frequent first; one projection of the scan."""
+    top = docs.select(key, F.posexplode(T.top_words(T.tag_words(F.col(text)))).alias("pos", "t"))
+    return top.select(key, (F.col("pos") + 1).alias("rank"), "t.word", "t.n")
 
 
 def content_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, signature, content_id): identity by the ten most frequent words, so texts with the same ones are the same document."""
-    best = top_words(docs.select(key, F.explode(T.signature_words(F.col(text))).alias("word")), key)
-    sig = best.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("signature"))
-    return docs.select(key).join(sig, key, "left").select(key, F.coalesce("signature", F.lit("")).alias("signature")).withColumn("content_id", T.numeric_hash(F.col("signature")))
+    return docs.select(key, T.signature(F.col(text)).alias("signature")).withColumn("content_id", T.let(F.col("signature"), T.numeric_hash))
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", clean: bool = True, limit: int = T.MAX_CHARS) -> DataFrame:

@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.functions import text as T
 from lodestar.functions import vector as V
 
 SUB = V.SUBVECTORS
 STATIC_THRESHOLD = 0.5 * SUB
 
 
+def _book(codebook: DataFrame) -> DataFrame:
+    """One row, (book): the centroids by subvector and code. Codes are 0 .. k - 1."""
+    per = codebook.groupBy("sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "centroid"))), lambda s: s["centroid"]).alias("cs"))
+    return per.agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", "cs"))), lambda s: s["cs"]).alias("book"))
+
+
 def exploded(vectors: DataFrame, key: str, width: int) -> DataFrame:
     """(key, sub, part): the subvectors of each vector."""
     return vectors.select(key, F.posexplode(V.subvectors(F.col("embedding"), width)).alias("sub", "part"))
@@ -26,31 +33,33 @@ def first_codebook(vectors: DataFrame, k: int, width: int) -> DataFrame:
 
 
 def encode(vectors: DataFrame, codebook: DataFrame, width: int) -> DataFrame:
-    """(partition_id, codes): the nearest centroid of each subvector, the lower code on a tie."""
-    d = V.squared_l2(F.col("part"), F.col("centroid"))
-    near = exploded(vectors, "partition_id", width).join(F.broadcast(codebook), "sub").groupBy("partition_id", "sub").agg(F.min(F.struct(d.alias("d"), "code")).alias("best"))
-    return near.groupBy("partition_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", F.col("best.code").alias("code")))), lambda s: s["code"]).alias("codes"))
+    """(partition_id, codes): the nearest centroid of each subvector, the lower code on a tie. Inside the row, against the broadcast codebook."""
+
+    def code(i):
+        d = F.transform(F.get("book", i), lambda c: V.squared_l2(F.slice("embedding", i * width + 1, width), c))
+        return T.let(d, lambda ds: (F.array_position(ds, F.array_min(ds)) - 1).cast("int"))
+
+    rows = vectors.select("partition_id", "embedding").crossJoin(F.broadcast(_book(codebook)))
+    return rows.select("partition_id", F.transform(F.sequence(F.lit(0), F.lit(SUB - 1)), code).alias("codes"))
 
 
 def lookup_table(queries: DataFrame, codebook: DataFrame, width: int) -> DataFrame:
-    """(query_id, sub, code, d): distance, not squared, from each query's subvector to each centroid."""
-    q = queries.select("query_id", F.col("query").alias("embedding"))
-    return exploded(q, "query_id", width).join(F.broadcast(codebook), "sub").select("query_id", "sub", "code", V.l2(F.col("part"), F.col("centroid")).alias("d"))
+    """(query_id, lut): by subvector and code, the distance, not squared, from each query's subvector to the centroid."""
+    row = lambda i: F.transform(F.get("book", i), lambda c: V.l2(F.slice("query", i * width + 1, width), c))
+    return queries.crossJoin(F.broadcast(_book(codebook))).select("query_id", F.transform(F.sequence(F.lit(0), F.lit(SUB - 1)), row).alias("lut"))
 
 
 def asymmetric(codes: DataFrame, lut: DataFrame) -> DataFrame:
-    """(query_id, partition_id, distance): the sum over subvectors of the table's entries, a sum of norms."""
-    each = codes.select("partition_id", F.posexplode("codes").alias("sub", "code"))
-    return each.join(F.broadcast(lut), ["sub", "code"]).groupBy("query_id", "partition_id").agg(F.sum("d").alias("distance"))
+    """(query_id, partition_id, distance): the sum over subvectors of the table's entries, a sum of norms. Tables are broadcast, codes only scanned."""
+    d = F.aggregate(F.zip_with("codes", "lut", lambda c, t: F.get(t, c)), F.lit(0.0), lambda s, x: s + x)
+    return codes.crossJoin(F.broadcast(lut)).select("query_id", "partition_id", d.alias("distance"))
 
 
 def threshold(vectors: DataFrame, codes: DataFrame, codebook: DataFrame, width: int, by: str | None = None) -> DataFrame:
     """Mean + 1.5 standard deviations of each vector's distance to its own code, and the static one at least."""
-    each = codes.select("partition_id", F.posexplode("codes").alias("sub", "code"))
-    parts = exploded(vectors, "partition_id", width)
-    err = each.join(parts, ["partition_id", "sub"]).join(F.broadcast(codebook), ["sub", "code"]).groupBy("partition_id").agg(F.sum(V.l2(F.col("part"), F.col("centroid"))).alias("err"))
-    if by:
-        err = err.join(vectors.select("partition_id", by), "partition_id")
+    rows = codes.join(vectors, "partition_id").crossJoin(F.broadcast(_book(codebook)))
+    each = F.transform("codes", lambda c, i: V.l2(F.slice("embedding", i * width + 1, width), F.get(F.get("book", i), c)))
+    err = rows.withColumn("err", F.aggregate(each, F.lit(0.0), lambda s, x: s + x))
     stat = F.greatest(F.avg("err") + 1.5 * F.stddev_pop("err"), F.lit(STATIC_THRESHOLD)).alias("threshold")
     return err.groupBy(by).agg(stat) if by else err.agg(stat)
 

@@ -134,14 +134,14 @@ def scope_documents(views, owner: str, scope: str, groups: list[str] | None = No
 
 
 def search(views, queries: DataFrame, owner: str, scope: str = "personal", groups: list[str] | None = None, group: str | None = None, aggregate: bool = False, tags: Column | None = None,
-           rerank=lambda distance: distance, live: DataFrame | None = None, adc: DataFrame | None = None, per_shard: int = PER_SHARD) -> DataFrame:
+           rerank=lambda distance: distance, live: DataFrame | None = None, adc: DataFrame | None = None, per_shard: int = PER_SHARD, bound: DataFrame | None = None) -> DataFrame:
     """Two-level top-k: (query_id, partition_id, document_id, distance, adjusted, threshold, norm, position).
 
     Documents are filtered by scope, group and tag before the scan, candidates
     are taken per shard, made comparable by the shard's threshold, boosted for the
     owner's private documents in global scope, pooled, reranked and cut. The order
     of the answer is by adjusted distance; norm and boost only decide who is in
-    the pool.
+    the pool. ``bound`` is the table of thresholds(), if it is kept, as it should be for a large index.
 
     With ``adc`` (query_id, partition_id, document_id, distance), in global scope,
     available groups without any candidate get their best partition injected, at
@@ -152,7 +152,7 @@ def search(views, queries: DataFrame, owner: str, scope: str = "personal", group
     seen = scope_documents(views, owner, scope, groups, group, aggregate)
     seen = tag_filter(seen.join(views.tags, "document_id", "left"), tags).select("document_id")
     found = candidates(nodes.join(seen, "document_id", "left_semi"), queries, per_shard, ("shard_id",))
-    bound = thresholds(views.partition)
+    bound = thresholds(views.partition) if bound is None else bound
     rows = found.join(F.broadcast(bound), "shard_id", "left").withColumn("norm", V.threshold_norm(F.col("distance"), F.coalesce("threshold", F.lit(float("inf")))))
     best = F.row_number().over(W.partitionBy("query_id", "partition_id").orderBy("norm", "shard_id"))
     rows = rows.withColumn("best", best).where("best = 1").join(nodes.select("partition_id", "document_id"), "partition_id")

@@ -215,14 +215,14 @@ def search_linear_scan(v: Views) -> DataFrame:
     return rows.withColumn("r", rank).where("r <= 3").select("query_id", "document_id", "partition_id", r6("distance"))
 
 
-@query(PQ + """, hit AS (SELECT DISTINCT query_id, group_id FROM v_query, v_document_group WHERE (document_id + query_id) % 9 < 3),
+@query(PQ + """, hit AS (SELECT DISTINCT query_id, group_id FROM v_query, v_document_group WHERE (document_id + query_id) % 23 = 0),
 w AS (SELECT a.query_id, m.group_id, a.partition_id, round(a.distance, 9) AS distance FROM adc a JOIN (SELECT DISTINCT group_id, document_id FROM v_document_group) m USING (document_id)
   WHERE document_id IN (SELECT document_id FROM v_document_access WHERE access = 'available') AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.query_id = a.query_id AND h.group_id = m.group_id)),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY distance, partition_id) AS r FROM w), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY group_id) AS n FROM b WHERE r = 1)
 SELECT query_id, group_id, partition_id, round(distance, 6) AS distance FROM g WHERE n <= 3""")
 def diversity_floor(v: Views) -> DataFrame:
     adc = _adc(v).join(v.partition.select("partition_id", "document_id"), "partition_id").withColumn("distance", F.round("distance", 9))
-    hit = v.document_group.crossJoin(F.broadcast(v.queries().select("query_id"))).where("(document_id + query_id) % 9 < 3").select("query_id", "group_id").distinct()
+    hit = v.document_group.crossJoin(F.broadcast(v.queries().select("query_id"))).where("(document_id + query_id) % 23 = 0").select("query_id", "group_id").distinct()
     return quantize.diversity_floor(adc, hit, v, 3).select("query_id", "group_id", "partition_id", r6("distance"))
 
 
