@@ -22,14 +22,15 @@ TAG_STOP_WORDS = tuple(
 )
 #: Split pattern between words, and marks trimmed off their ends, of the content signature.
 SPACE = r"[\p{Z}\n-\r\x85\t]+"
-EDGES = r"^\p{P}+|\p{P}+$"
+#: Punctuation with white space or an end of the text on one side.
+EDGES = r"(?<![^\p{Z}\n-\r\x85\t])\p{P}+|\p{P}+(?![^\p{Z}\n-\r\x85\t])"
 NOT_ALNUM = r"[^\p{L}\p{M}\p{N}]+"
 
 
 # --- content identity ---------------------------------------------------------------
 def signature_words(text: Column) -> Column:
     """Words between white space, lower-cased and trimmed of punctuation, without empty and stop words."""
-    words = F.transform(F.split(F.lower(text), SPACE), lambda w: F.regexp_replace(w, EDGES, ""))
+    words = F.split(F.regexp_replace(F.lower(text), EDGES, ""), SPACE)
     return F.filter(words, lambda w: (w != "") & ~w.isin(*ID_STOP_WORDS))
 
 
@@ -52,11 +53,11 @@ def top_words(words: Column, n: int = MAX_TAGS) -> Column:
 
         def pairs(h: Column) -> Column:
             runs = F.transform(h, lambda i, k: F.struct((i - F.coalesce(F.get(h, k + 1), size)).alias("less"), F.get(s, i).alias("word")))
-            return F.transform(F.slice(F.array_sort(runs), 1, n), lambda r: F.struct((-r["less"]).cast("bigint").alias("n"), r["word"].alias("word")))
+            return F.transform(F.slice(F.sort_array(runs), 1, n), lambda r: F.struct((-r["less"]).cast("bigint").alias("n"), r["word"].alias("word")))
 
         return F.when(size > 0, let(heads, pairs)).otherwise(F.array().cast("array<struct<n:bigint,word:string>>"))
 
-    return let(F.array_sort(words), count)
+    return let(F.sort_array(words), count)
 
 
 def signature(text: Column) -> Column:
@@ -67,8 +68,11 @@ def signature(text: Column) -> Column:
 
 def numeric_hash(text: Column) -> Column:
     """SHA-256 with each byte in decimal, two digits at least; 64 to 96 digits."""
-    n = lambda i: F.conv(F.substr(F.sha2(text, 256), i, F.lit(2)), 16, 10)
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(63), F.lit(2)), lambda i: F.lpad(n(i), F.greatest(F.lit(2), F.length(n(i))), F.lit("0"))), "")
+
+    def byte(h: Column, i: Column) -> Column:
+        return let(F.conv(F.substr(h, i, F.lit(2)), 16, 10), lambda n: F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n))
+
+    return let(F.sha2(text, 256), lambda h: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(63), F.lit(2)), lambda i: byte(h, i)), ""))
 
 
 def scoped_id(node: Column | str, local: Column) -> Column:
