@@ -355,3 +355,21 @@ def test_pipeline(spark, tmp_path):
     assert {d for r in bins for d in r.doc_ids} == {i for i, t in kept["mixing"].items() if t.split()}
     assert len(n) < len(e)
     assert rows_of(corpus_pipeline.run(spark, SF)) == rows_of(corpus_pipeline.STAGES[-1][1](spark, at, SF))
+
+
+@pytest.mark.parametrize("rows", [corpus(), [], corpus()[60:62] * 3])
+def test_pipeline_edges(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    frame(spark, rows, True).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i % 4 > 0), 0) for i in range(50)] + [(None, 1, 0), (7, None, None), (99999, 0, 1)]
+    spark.createDataFrame(labels if rows else [], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    bins = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [d for r in bins for d in r.doc_ids]
+    assert set(ids) <= {r[0] for r in rows} and (not rows or ids)
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == at.columns
+        out.write.parquet(str(tmp_path / f"stage{k}"))
+        at = spark.read.schema(out.schema).parquet(str(tmp_path / f"stage{k}"))
