@@ -9,7 +9,7 @@ same place in all its copies, and nothing is missed.
    can't lie in a repeat, the others go back to their texts;
 2. each task sorts the suffixes at those anchors and sends every partition its
    part as a front-coded run: the length shared with the suffix before, and the
-   rest. A suffix is as long as it can matter, MIN_WORDS words, and takes along
+   rest. Equal ones are sent once a task. A suffix is as long as it can matter, MIN_WORDS words, and takes along
    hashes of the words before it;
 3. a partition merges its runs with a loser tree that keeps, for each contender,
    the prefix it shares with the last suffix put out, and compares from there.
@@ -218,14 +218,20 @@ def merge(texts: list[list[bytes]], shared: list[list[int]]) -> tuple[list[tuple
     return order, lcp
 
 
-_RUN = "part int, shared binary, size binary, rests binary, key binary, doc binary, pos binary, left binary, lefts binary"
+_RUN = "part int, shared binary, size binary, rests binary, key binary, doc binary, pos binary, left binary, lefts binary, twin binary"
 _RUN_NAMES = [x.split()[0] for x in _RUN.split(", ")]
-_RUN_TYPES = [pa.int32()] + [pa.binary()] * 8
+_RUN_TYPES = [pa.int32()] + [pa.binary()] * 9
 _NO_ID = np.iinfo(np.int64).max
 
 
 class _Runs:
-    """Suffixes of a task, by partition."""
+    """Suffixes of a task, by partition.
+
+    Of suffixes that agree with all that goes along with them only the first is
+    sent. The others repeat in every window they reach, and have an earlier
+    occurrence there whatever other tasks hold, so their spans are known here. A
+    passage that very many texts share thus comes once a task to its partition.
+    """
 
     def __init__(self, k: int, least: int, parts: int):
         self.k, self.least, self.parts = k, least, parts
@@ -261,13 +267,39 @@ class _Runs:
             return
         part, key, doc, pos, left, lefts = (np.concatenate(c) for c in zip(*self.columns, strict=True))
         texts, self.texts, self.columns = self.texts, [], []
-        order = np.argsort(part, kind="stable")
+        raw, wide = left.tobytes(), left.shape[1] * 4
+        places = list(zip(doc.tolist(), pos.tolist(), strict=True))
+        first: dict[tuple, int] = {}
+        twin = np.zeros(len(texts), np.uint8)
+        rest = []
+        for i, (t, n) in enumerate(zip(texts, lefts.tolist(), strict=True)):
+            j = first.setdefault((t, n, raw[i * wide : (i + 1) * wide]), i)
+            if j != i:
+                if places[i] < places[j]:
+                    first[t, n, raw[i * wide : (i + 1) * wide]], i, j = i, j, i
+                twin[j] = 1
+                rest.append(i)
+        sent = np.array([*first.values()])
+        del first, places
+        order = sent[np.argsort(part[sent], kind="stable")]
         for p, x, y in _bounds(part[order], self.parts):
             own = sorted(order[x:y].tolist(), key=texts.__getitem__)
             shared, size, rests = front_code([texts[i] for i in own])
             o = np.array(own)
-            row = (p, shared.tobytes(), size.tobytes(), rests, key[o].tobytes(), doc[o].tobytes(), pos[o].tobytes(), left[o].tobytes(), lefts[o].tobytes())
+            row = (p, shared.tobytes(), size.tobytes(), rests, *(c[o].tobytes() for c in (key, doc, pos, left, lefts, twin)))
             yield _batch([row], _RUN_NAMES, _RUN_TYPES)
+        if rest:
+            o = np.array(rest)
+            high = np.maximum(0, self.least - np.array([texts[i].count(b" ") for i in rest]))
+            low = lefts[o].astype(np.int64)
+            ok = low >= high
+            o, low, high = o[ok], pos[o[ok]] - low[ok], pos[o[ok]] - high[ok]
+            home = (key[o].view(np.uint64) % np.uint64(self.parts)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            o, low, high = o[order], low[order].astype(np.int32), high[order].astype(np.int32)
+            for p, x, y in _bounds(home[order], self.parts):
+                row = (p, None, None, None, key[o[x:y]].tobytes(), doc[o[x:y]].tobytes(), low[x:y].tobytes(), high[x:y].tobytes(), None, None)
+                yield _batch([row], _RUN_NAMES, _RUN_TYPES)
 
 
 def _send_runs(batches, k: int, least: int, parts: int):
@@ -314,12 +346,22 @@ def repeats(shared_words: np.ndarray, right: np.ndarray, left: np.ndarray, lefts
     return out
 
 
+def _span_batch(key, doc, low, high, later) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc, mask=doc == _NO_ID), pa.array(low), pa.array(high), pa.array(later)], ["key", "doc_id", "low", "high", "later"])
+
+
 def _merge(batches, least: int, k: int):
     table = util.gather(batches)
     if table is None:
         return
     runs = table.to_pylist()
     del table
+    known, runs = [r for r in runs if r["rests"] is None], [r for r in runs if r["rests"] is not None]
+    for r in known:
+        key, doc, low, high = (np.frombuffer(r[c], t) for c, t in (("key", np.int64), ("doc", np.int64), ("pos", np.int32), ("left", np.int32)))
+        yield _span_batch(key, doc, low, high, np.ones(len(key), np.bool_))
+    if not runs:
+        return
     texts, shared = [], []
     for r in runs:
         s, size = np.frombuffer(r["shared"], np.uint32), np.frombuffer(r["size"], np.uint32)
@@ -336,9 +378,13 @@ def _merge(batches, least: int, k: int):
     del texts, order
     key, doc, pos, lefts = (np.frombuffer(b"".join(r[c] for r in runs), t)[flat] for c, t in (("key", np.int64), ("doc", np.int64), ("pos", np.uint32), ("lefts", np.uint8)))
     left = np.frombuffer(b"".join(r["left"] for r in runs), np.uint32).reshape(-1, least - k)[flat]
+    twin = np.frombuffer(b"".join(r["twin"] for r in runs), np.uint8)[flat]
     del runs
-    pos = pos.astype(np.int64)
-    flags = repeats(np.array(words), np.array(right), left, lefts, doc, pos, least)
+    pos, right = pos.astype(np.int64), np.array(right)
+    flags = repeats(np.array(words), right, left, lefts, doc, pos, least)
+    before = np.arange(flags.shape[1])
+    reached = (before <= lefts[:, None]) & (right[:, None] + before >= least)
+    flags[(twin[:, None] > 0) & reached & (flags == 0)] = 1
     wide = np.zeros((len(pos), flags.shape[1] + 2), np.int8)
     wide[:, 1:-1] = flags
     step = wide[:, 1:] != wide[:, :-1]
@@ -351,10 +397,7 @@ def _merge(batches, least: int, k: int):
     for s in range(0, len(at), 50_000):
         p = slice(s, s + 50_000)
         a = at[p]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[a]), pa.array(doc[a], mask=doc[a] == _NO_ID), pa.array((pos[a] - last[p]).astype(np.int32)), pa.array((pos[a] - first[p]).astype(np.int32)), pa.array(flag[p] == 2)],
-            ["key", "doc_id", "low", "high", "later"],
-        )
+        yield _span_batch(key[a], doc[a], (pos[a] - last[p]).astype(np.int32), (pos[a] - first[p]).astype(np.int32), flag[p] == 2)
 
 
 _OUT = "doc_id bigint, start_word int, end_word int, copy boolean"
