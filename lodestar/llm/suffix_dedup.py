@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from . import text, util
 
 MIN_WORDS = 50
-K = 8
+#: Words in an anchor: a phrase shorter than this never brings texts together, however many have it; anchors get more frequent with it.
+K = 20
 #: Suffixes a task holds before it sorts and sends them.
 HELD = 40_000
 
