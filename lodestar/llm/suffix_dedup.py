@@ -3,7 +3,8 @@
 A window of MIN_WORDS words that occurs more than once marks its words. Only
 suffixes at anchors are sorted: of every run of MIN_WORDS - K + 1 word k-grams
 the one of least hash is an anchor, so each repeated window has an anchor at the
-same place in all its copies, and nothing is missed.
+same place in all its copies, and nothing is missed. A k-gram of one word over and
+over comes after all others; a window of nothing else has its first word as anchor.
 
 1. anchors go to partitions by the hash of their k-gram; those that occur once
    can't lie in a repeat, the others go back to their texts;
@@ -57,6 +58,16 @@ def anchors(h: np.ndarray, row: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero((high[:n] == h) & (h > 0))
 
 
+def equal_run(words: text.Words) -> np.ndarray:
+    """For each word, how many words from it on, in its row, are the same word."""
+    n = len(words.hash)
+    last = np.ones(n, np.bool_)
+    row = words.row_of()
+    last[:-1] = (words.hash[1:] != words.hash[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(last)
+    return np.repeat(at, np.diff(at, prepend=-1)) - np.arange(n) + 1
+
+
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
 
@@ -83,7 +94,10 @@ def _send_anchors(batches, k: int, least: int, parts: int):
             if not len(h):
                 continue
             row = words.row_of()[pos]
-            a = anchors(h, row, least - k + 1)
+            # one word over and over: no anchor beside any other k-gram, and in a window of nothing else its first word is
+            same = equal_run(words)[pos]
+            a = anchors(np.where(same >= k, _TOP, np.clip(h, np.uint64(1), _TOP - np.uint64(1))), row, least - k + 1)
+            a = a[(same[a] < k) | (same[a] >= least)]
             if not len(a):
                 continue
             h, row, pos = h[a], row[a], (pos[a] - words.first[row[a]]).astype(np.uint32)
@@ -222,6 +236,7 @@ def merge(texts: list[list[bytes]], shared: list[list[int]]) -> tuple[list[tuple
 _RUN = "part int, shared binary, size binary, rests binary, key binary, doc binary, pos binary, left binary, lefts binary, twin binary"
 _RUN_NAMES = [x.split()[0] for x in _RUN.split(", ")]
 _RUN_TYPES = [pa.int32()] + [pa.binary()] * 9
+_TOP = np.uint64(2**64 - 1)
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -257,7 +272,7 @@ class _Runs:
         end = np.minimum(a + self.least, words.first[row + 1])
         self.texts += [raw[x:y] for x, y in zip(begin[a].tolist(), begin[end].tolist(), strict=True)]
         reach = self.least - self.k
-        lefts = np.minimum(reach, pos).astype(np.uint8)
+        lefts = np.where(equal_run(words)[a] < self.least, np.minimum(reach, pos), 0).astype(np.uint8)
         back = np.maximum(a[:, None] - 1 - np.arange(reach), 0)
         left = (words.hash[back] >> np.uint64(32)).astype(np.uint32)
         left[np.arange(reach) >= lefts[:, None]] = 0
