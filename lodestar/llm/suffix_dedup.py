@@ -69,7 +69,8 @@ def equal_run(words: text.Words) -> np.ndarray:
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    return (((h >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
+    """Anchors have small hashes, so they are scattered once more."""
+    return (((text.mix(h) >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
 
 
 _SEEN = "part int, key binary, pos binary, hash binary"
