@@ -48,9 +48,16 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_docs: int =
     return d.withColumn("block", F.floor(before / block_tokens).cast("long")).drop("key")
 
 
-def quotas(laid: DataFrame, weights: dict[str, int] | None = None, default: int = 1) -> DataFrame:
+def supplies(laid: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(source, shard, blocks): blocks that the tokens of a shard fill, the last one perhaps in part; one where it has none."""
+    return laid.groupBy("source", "shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("tokens") / block_tokens)).cast("long").alias("blocks"))
+
+
+def quotas(laid: DataFrame, weights: dict[str, int] | None = None, default: int = 1, supply: DataFrame | None = None) -> DataFrame:
     """(source, shard, quota): blocks each shard of each source gives.
 
+    supply is what supplies() returns; without it a shard has the blocks up to
+    the last in which a document begins.
     weights are integers by source, with a default for those that aren't named;
     without any they are tempered sizes (see TEMPER). First over sources: seats go by highest quotient weight / (2k + 1) for as
     long as every source still has the block it wins; a tie goes to the source
@@ -61,7 +68,8 @@ def quotas(laid: DataFrame, weights: dict[str, int] | None = None, default: int
     of n shards one gets its proportional share to within n / 2 times its part,
     and one for rounding, so only seats about that place are ranked.
     """
-    supply = laid.groupBy("source", "shard").agg((F.max("block") + 1).alias("blocks"))
+    if supply is None:
+        supply = laid.groupBy("source", "shard").agg((F.max("block") + 1).alias("blocks"))
     per = supply.groupBy("source").agg(F.sum("blocks").alias("supply")).withColumn("weight", _weight(weights, default)).where("weight > 0")
     # the first unfilled seat is that of the largest weight / (2 supply + 1), by name on a tie
     stop = per.orderBy(F.desc(F.col("weight") / (2 * F.col("supply") + 1)), "source").limit(1)
@@ -83,9 +91,15 @@ def quotas(laid: DataFrame, weights: dict[str, int] | None = None, default: int
     return both.where("quota > 0").select("source", "shard", "quota")
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS, seed: int = SEED, hollow: bool = True) -> DataFrame:
     """(doc_id, source, tokens, shard, block) of the documents in the chosen blocks.
 
+    A block in which no document begins, because a long one runs through it, is
+    chosen like any other and gives no rows, so that a source keeps the part of
+    its tokens that its seats are of its blocks, to within chance. With hollow=False
+    seats are counted over the blocks up to the last beginning of a document but
+    spent only on those in which one begins, which keeps too much of long documents.
+
     As many blocks are taken as the weights allow before a source runs out. A
     null source counts as the source ''; null and empty texts have no tokens and
     go with the block where they lie; null identifiers are kept apart as one
@@ -94,8 +108,15 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1
     other columns are not looked at.
     """
     laid = util.spool(blocks(docs, block_tokens, shard_docs, seed), "mix")
-    quota = quotas(laid, weights, default)
-    have = laid.groupBy("source", "shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    if hollow:
+        supply = util.spool(supplies(laid, block_tokens), "supply")
+        # a document without tokens behind the last one that has any goes with the last block
+        laid = laid.join(supply, ["source", "shard"]).withColumn("block", F.least("block", F.col("blocks") - 1)).drop("blocks")
+        quota = quotas(laid, weights, default, supply)
+        have = supply.select("source", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    else:
+        quota = quotas(laid, weights, default)
+        have = laid.select("source", "shard", "block").distinct()
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "source", F.col("shard").cast("string"), F.col("block").cast("string")))
     rank = F.row_number().over(W.partitionBy("source", "shard").orderBy(key, "block"))
     chosen = have.withColumn("rank", rank).join(quota, ["source", "shard"]).where(F.col("rank") <= F.col("quota")).select("source", "shard", "block")
@@ -111,7 +132,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(util.table(spark, sf_dir, "documents"))
+    """mix() by the rule that SQL states, which counts seats as hollow=False does."""
+    return mix(util.table(spark, sf_dir, "documents"), hollow=False)
 
 
 SQL = f"""

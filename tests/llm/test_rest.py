@@ -285,6 +285,19 @@ def test_mixing_edges(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixing_counts_hollow_blocks(spark):
+    rows = [(i, "w " * 500, "en", "long", 0) for i in range(200)] + [(1000 + i, "w " * 10, "en", "short", 0) for i in range(2000)]
+    weights = {"long": 1, "short": 1}
+    got = mixing.mix(frame(spark, rows), weights, block_tokens=100, shard_docs=10**6).groupBy("source").agg(F.sum("tokens").alias("n")).collect()
+    # 1000 blocks of long documents and 200 of short ones: each source gives 200, of which a fifth of long's begin a document
+    kept = {r.source: r.n for r in got}
+    assert kept["short"] == 20_000 and 10_000 <= kept["long"] <= 32_000
+    one = spark.createDataFrame([(1, "a", 1_000_000, 0, 0)], "doc_id long, source string, tokens long, shard int, block long")
+    assert mixing.supplies(one).collect()[0].blocks == 245
+    ends = [(i, "w " * 50, "en", "s", 0) for i in range(4)] + [(9, "", "en", "s", 0)]
+    assert mixing.mix(frame(spark, ends), {}, block_tokens=50, shard_docs=10**6).count() == 5
+
+
 # --- packing -----------------------------------------------------------------------
 def plain_pack(pieces, caps, open_cost):
     """Best fit by looking at every open bin; of equally full ones the one used last."""
