@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,11 @@ SHARD_DOCS = 20_000
 SEED = 20240229
 #: Without a table of target weights a source's is its number of blocks to the power of 3/4, in parts of TEMPER: large sources are held back, small ones kept.
 TEMPER = 16
+#: Target weights by source, and the weight of those that aren't named. No table gives any, so all sources count alike.
+TARGET_WEIGHTS: dict[str, int] = {}
+TARGET_DEFAULT = 1
+#: Tokens the mix is to have, where the corpus has as many.
+BUDGET_TOKENS = 100_000_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -53,16 +60,65 @@ def supplies(laid: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     return laid.groupBy("source", "shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("tokens") / block_tokens)).cast("long").alias("blocks"))
 
 
-def quotas(laid: DataFrame, weights: dict[str, int] | None = None, default: int = 1, supply: DataFrame | None = None) -> DataFrame:
+def apportion(names: list[str], supply: np.ndarray, weight: np.ndarray, budget: int) -> np.ndarray:
+    """Seats each source wins of ``budget``, by highest quotient weight / (2k + 1), a tie to the first by name.
+
+    A source that has no more blocks drops out and the others go on, so all
+    seats are filled while any source of positive weight has a block. A
+    bisection finds the quotient of the last seat; only seats about it are ranked.
+    """
+    supply = np.where(weight > 0, supply, 0).astype(np.int64)
+    weight = np.where(weight > 0, weight, 1).astype(np.float64)
+    if supply.sum() <= budget:
+        return supply
+
+    def above(q: float) -> np.ndarray:
+        return np.minimum(supply, np.floor(np.minimum(weight / q + 1, 2.0**62) / 2).astype(np.int64))
+
+    low, high = weight.min() / (4 * float(supply.max()) + 4), 2 * weight.max()
+    while (mid := (low + high) / 2) not in (low, high):
+        if above(mid).sum() >= budget:
+            low = mid
+        else:
+            high = mid
+    won, more = above(high * (1 + 1e-9)), above(low * (1 - 1e-9))
+    near = np.flatnonzero(more > won)
+    seats = [(-weight[i] / (2 * k + 1), names[i].encode(), i) for i in near.tolist() for k in range(won[i], more[i])]
+    for _, _, i in sorted(seats)[: budget - int(won.sum())]:
+        won[i] += 1
+    return won
+
+
+def _apportion(batches, budget: int):
+    held = [b for b in batches if b.num_rows]
+    if held:
+        t = pa.Table.from_batches(held)
+        won = apportion(t.column("source").to_pylist(), t.column("supply").to_numpy(), t.column("weight").to_numpy(), budget)
+        yield pa.RecordBatch.from_arrays([t.column("source").combine_chunks(), pa.array(won, pa.int64())], ["source", "won"])
+
+
+def _until_one_runs_out(per: DataFrame) -> DataFrame:
+    """(source, won): seats for as long as every source still has the block it wins, in closed form, so no list of seats is made."""
+    # the first unfilled seat is that of the largest weight / (2 supply + 1), by name on a tie
+    stop = per.orderBy(F.desc(F.col("weight") / (2 * F.col("supply") + 1)), "source").limit(1)
+    stop = stop.select(F.col("source").alias("s"), F.col("supply").alias("n"), F.col("weight").alias("v"))
+    # seat k of a source comes before it where (2k + 1) v < weight (2n + 1), or both are equal and its name is first
+    reach = F.col("weight") * (2 * F.col("n") + 1)
+    seats = (F.floor((reach - F.col("v") - 1 + F.when(F.col("source") < F.col("s"), 1).otherwise(0)) / (2 * F.col("v"))) + 1).cast("long")
+    return per.crossJoin(F.broadcast(stop)).select("source", F.greatest(F.lit(0), F.least(seats, F.col("supply"))).alias("won"))
+
+
+def quotas(laid: DataFrame, weights: dict[str, int] | None = None, default: int = 1, supply: DataFrame | None = None, budget: int | None = None) -> DataFrame:
     """(source, shard, quota): blocks each shard of each source gives.
 
     supply is what supplies() returns; without it a shard has the blocks up to
     the last in which a document begins.
     weights are integers by source, with a default for those that aren't named;
-    without any they are tempered sizes (see TEMPER). First over sources: seats go by highest quotient weight / (2k + 1) for as
-    long as every source still has the block it wins; a tie goes to the source
-    first by name. The number of a source's quotients before the first seat that
-    can't be filled has a closed form, so no list of seats is made. A source of
+    without any they are tempered sizes (see TEMPER). First over sources: seats
+    go by highest quotient weight / (2k + 1), a tie to the source first by name,
+    until there are budget of them; a source that runs out drops out and the
+    others go on. Without a budget they go for as long as every source still
+    has the block it wins, so that the smallest source stops all. A source of
     weight 0 gives none. Then within a source by the same rule over its shards,
     weighted by the blocks they have, which never asks a shard for more than that:
     of n shards one gets its proportional share to within n / 2 times its part,
@@ -71,13 +127,11 @@ def quotas(laid: DataFrame, weights: dict[str, int] | None = None, default: int
     if supply is None:
         supply = laid.groupBy("source", "shard").agg((F.max("block") + 1).alias("blocks"))
     per = supply.groupBy("source").agg(F.sum("blocks").alias("supply")).withColumn("weight", _weight(weights, default)).where("weight > 0")
-    # the first unfilled seat is that of the largest weight / (2 supply + 1), by name on a tie
-    stop = per.orderBy(F.desc(F.col("weight") / (2 * F.col("supply") + 1)), "source").limit(1)
-    stop = stop.select(F.col("source").alias("s"), F.col("supply").alias("n"), F.col("weight").alias("v"))
-    # seat k of a source comes before it where (2k + 1) v < weight (2n + 1), or both are equal and its name is first
-    reach = F.col("weight") * (2 * F.col("n") + 1)
-    seats = (F.floor((reach - F.col("v") - 1 + F.when(F.col("source") < F.col("s"), 1).otherwise(0)) / (2 * F.col("v"))) + 1).cast("long")
-    won = per.crossJoin(F.broadcast(stop)).select("source", F.greatest(F.lit(0), F.least(seats, F.col("supply"))).alias("won"))
+    if budget is None:
+        won = _until_one_runs_out(per)
+    else:
+        # one small row a source, in one task
+        won = per.select("source", "supply", "weight").coalesce(1).mapInArrow(lambda b: _apportion(b, budget), "source string, won long")
     all_of = W.partitionBy("source")
     near = supply.join(won, "source").withColumn("total", F.sum("blocks").over(all_of)).withColumn("n", F.count(F.lit(1)).over(all_of))
     share = F.floor(F.col("won") * F.col("blocks") / F.col("total"))
@@ -91,7 +145,16 @@ def quotas(laid: DataFrame, weights: dict[str, int] | None = None, default: int
     return both.where("quota > 0").select("source", "shard", "quota")
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS, seed: int = SEED, hollow: bool = True) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: dict[str, int] | None = TARGET_WEIGHTS,
+    default: int = TARGET_DEFAULT,
+    block_tokens: int = BLOCK_TOKENS,
+    shard_docs: int = SHARD_DOCS,
+    seed: int = SEED,
+    hollow: bool = True,
+    budget_tokens: int | None = BUDGET_TOKENS,
+) -> DataFrame:
     """(doc_id, source, tokens, shard, block) of the documents in the chosen blocks.
 
     A block in which no document begins, because a long one runs through it, is
@@ -100,7 +163,9 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1
     seats are counted over the blocks up to the last beginning of a document but
     spent only on those in which one begins, which keeps too much of long documents.
 
-    As many blocks are taken as the weights allow before a source runs out. A
+    As many blocks are taken as budget_tokens fill, or all there are if fewer; a
+    source that runs out leaves its seats to the others. With budget_tokens=None
+    they are as many as the weights allow before a source runs out. A
     null source counts as the source ''; null and empty texts have no tokens and
     go with the block where they lie; null identifiers are kept apart as one
     position of the order; repeated rows are rows of their own, in an order among
@@ -108,14 +173,15 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1
     other columns are not looked at.
     """
     laid = util.spool(blocks(docs, block_tokens, shard_docs, seed), "mix")
+    budget = None if budget_tokens is None else -(-budget_tokens // block_tokens)
     if hollow:
         supply = util.spool(supplies(laid, block_tokens), "supply")
         # a document without tokens behind the last one that has any goes with the last block
         laid = laid.join(supply, ["source", "shard"]).withColumn("block", F.least("block", F.col("blocks") - 1)).drop("blocks")
-        quota = quotas(laid, weights, default, supply)
+        quota = quotas(laid, weights, default, supply, budget)
         have = supply.select("source", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     else:
-        quota = quotas(laid, weights, default)
+        quota = quotas(laid, weights, default, budget=budget)
         have = laid.select("source", "shard", "block").distinct()
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "source", F.col("shard").cast("string"), F.col("block").cast("string")))
     rank = F.row_number().over(W.partitionBy("source", "shard").orderBy(key, "block"))
@@ -123,6 +189,14 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, default: int = 1
     return laid.join(chosen, ["source", "shard", "block"], "left_semi").select("doc_id", "source", "tokens", "shard", "block")
 
 
+def shares(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(source, tokens, kept, share): tokens of each source in docs and those of them in mixed, which mix() returned."""
+    have = docs.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("source")).agg(F.sum(tokens(F.col("text"))).alias("tokens"))
+    kept = mixed.groupBy("source").agg(F.sum("tokens").alias("kept"))
+    out = have.join(kept, "source", "left").select("source", "tokens", F.coalesce("kept", F.lit(0)).alias("kept"))
+    return out.withColumn("share", F.when(F.col("tokens") > 0, F.col("kept") / F.col("tokens")))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that mix() chooses, with all their columns; the identifiers should be distinct and not null (a null one is kept)."""
     kept = util.spool(mix(docs, **options).select(F.col("doc_id").alias("__kept")), "mixed")
@@ -132,8 +206,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mix() by the rule that SQL states, which counts seats as hollow=False does."""
-    return mix(util.table(spark, sf_dir, "documents"), hollow=False)
+    """mix() by the rule that SQL states: tempered weights, until a source runs out, seats counted as hollow=False does."""
+    return mix(util.table(spark, sf_dir, "documents"), weights=None, hollow=False, budget_tokens=None)
 
 
 SQL = f"""

@@ -288,7 +288,7 @@ def test_mixing_edges(spark):
 def test_mixing_counts_hollow_blocks(spark):
     rows = [(i, "w " * 500, "en", "long", 0) for i in range(200)] + [(1000 + i, "w " * 10, "en", "short", 0) for i in range(2000)]
     weights = {"long": 1, "short": 1}
-    got = mixing.mix(frame(spark, rows), weights, block_tokens=100, shard_docs=10**6).groupBy("source").agg(F.sum("tokens").alias("n")).collect()
+    got = mixing.mix(frame(spark, rows), weights, block_tokens=100, shard_docs=10**6, budget_tokens=40_000).groupBy("source").agg(F.sum("tokens").alias("n")).collect()
     # 1000 blocks of long documents and 200 of short ones: each source gives 200, of which a fifth of long's begin a document
     kept = {r.source: r.n for r in got}
     assert kept["short"] == 20_000 and 10_000 <= kept["long"] <= 32_000
@@ -298,6 +298,31 @@ def test_mixing_counts_hollow_blocks(spark):
     assert mixing.mix(frame(spark, ends), {}, block_tokens=50, shard_docs=10**6).count() == 5
 
 
+def test_apportion_goes_on_without_those_that_ran_out():
+    rng = random.Random(12)
+    for _ in range(300):
+        n = rng.randrange(1, 8)
+        names, supply, weight = [f"s{i}" for i in range(n)], [rng.choice([1, 2, rng.randrange(1, 60)]) for _ in range(n)], [rng.randrange(0, 5) for _ in range(n)]
+        budget = rng.randrange(0, sum(supply) + 5)
+        won = [0] * n
+        for _ in range(budget):
+            open_ = [i for i in range(n) if weight[i] and won[i] < supply[i]]
+            if open_:
+                won[max(open_, key=lambda i: (weight[i] / (2 * won[i] + 1), -i))] += 1
+        assert mixing.apportion(names, np.array(supply), np.array(weight), budget).tolist() == won
+
+
+def test_a_stray_source_takes_nothing_from_others(spark):
+    rows = [(i, "w " * 10, "en", "ab"[i % 2], 0) for i in range(1000)] + [(5000, "w", "en", None, 0)]
+    df = frame(spark, rows)
+    options = {"block_tokens": 10, "shard_docs": 10**6}
+    assert mixing.mix(df, **options).count() == len(rows)  # the budget is larger than the corpus
+    some = mixing.mix(df, budget_tokens=5010, **options)
+    got = {r.source: (r.tokens, r.kept) for r in mixing.shares(df, some).collect()}
+    assert got == {"": (1, 1), "a": (5000, 2500), "b": (5000, 2500)}
+    assert mixing.mix(df, {"a": 3, "b": 1}, 0, budget_tokens=4000, **options).groupBy("source").count().where("source = 'a' AND count = 300").count() == 1
+
+
 # --- packing -----------------------------------------------------------------------
 def plain_pack(pieces, caps, open_cost):
     """Best fit by looking at every open bin; of equally full ones the one used last."""
