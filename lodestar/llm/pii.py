@@ -21,7 +21,11 @@ _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _LOCAL_TRIM = "!#$%&'*/=?^`{|}~.-"
 _HOST = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-")
 _URL_END = frozenset(" \t\r\n\"'<>`{}|\\^")
-_VALUE = re.compile(r"""[ \t]*(?:[:=]|is\b)[ \t]*(?:(["'])([^"'\r\n]{4,256})\1|([^\s"',;]{4,256}))""")
+_SEPARATOR = re.compile(r"""["']?[ \t]*(?:[:=]|is\b)[ \t]*""")
+_QUOTED = re.compile(r"""(["'])((?:\\.|(?!\1)[^\\\r\n]){4,})\1""")
+_BARE = re.compile(r"""[^\s"',;]*""")
+_BEARER = re.compile(r"[ \t]+(?=[\w~+/-])")
+_TOKEN_LIKE = re.compile(r"[\d_~+=]|[a-z][A-Z]|.{20}")
 _ACCOUNT = re.compile(r"""[ \t]*(?:number|no\.?|nr\.?|\#)?[ \t]*[:=#]?[ \t]*([A-Za-z]{0,3}\d[\dA-Za-z]{0,3}(?:[ -]?[\dA-Za-z]{1,5}){1,8})""", re.I)
 _STREET = re.compile(r"(\d{1,5}(?:[ ]+[A-Z][\w.'-]*){1,4}[ ]+)\Z")
 _NUMBER = re.compile(r"[\d+(][\d().+ \t-]*\d")
@@ -163,6 +167,35 @@ def _iban(t: str, at: int):
     return None
 
 
+class _Secrets:
+    """Values behind secret cues. The end of an unquoted run is kept, so that one with many cues in it is read once."""
+
+    def __init__(self, t: str):
+        self.t = t
+        self.end = 0
+
+    def _bare(self, at: int) -> int:
+        if at >= self.end:
+            self.end = _BARE.match(self.t, at).end()
+        return self.end
+
+    def after(self, start: int, end: int):
+        """The value of the cue t[start:end]: to its closing quote, or unquoted to white space, a quote, comma or semicolon."""
+        m = _SEPARATOR.match(self.t, end)
+        if m:
+            q = _QUOTED.match(self.t, m.end())
+            if q:
+                return "secret", q.start(2), q.end(2)
+            b = self._bare(m.end())
+            return ("secret", m.end(), b) if b - m.end() >= 4 else None
+        if self.t[start:end].lower() == "bearer":
+            m = _BEARER.match(self.t, end)
+            # "bearer" is also a word of prose: what follows white space alone must look like a token
+            if m and (b := self._bare(m.end())) - m.end() >= 4 and _TOKEN_LIKE.search(self.t, m.end(), b):
+                return "secret", m.end(), b
+        return None
+
+
 def find(t: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the findings in a text, in order and apart from each other.
 
@@ -170,6 +203,7 @@ def find(t: str) -> list[tuple[str, int, int]]:
     together the longer, of equal ones the first of its kind by name.
     """
     found = []
+    secrets = _Secrets(t)
     over = -1  # digits before this place were read already
     for end, (kind, size) in automaton().iter(t):
         start = end - size + 1
@@ -197,10 +231,7 @@ def find(t: str) -> list[tuple[str, int, int]]:
                 hit = "street_address", start + 1 - len(m.group(1)), end + 1
         elif not (start and t[start - 1].isalnum()) or kind == "secret" and t[start - 1] == "_":
             if kind == "secret":
-                m = _VALUE.match(t, end + 1)
-                if m:
-                    k = 2 if m.group(1) else 3
-                    hit = "secret", m.start(k), m.end(k)
+                hit = secrets.after(start, end + 1)
             else:
                 m = _ACCOUNT.match(t, end + 1)
                 if m and sum(c.isdigit() for c in m.group(1)) >= 6 and not t[m.end(1) : m.end(1) + 1].isalnum():

@@ -37,6 +37,30 @@ def test_pii(t, want):
     assert [(k, t[a:b]) for k, a, b in pii.find(t)] == want
 
 
+LONG = "eyJ" + "aB3_-." * 100
+SECRETS = [
+    (f"token={LONG} end", [("secret", LONG)]),
+    (f'secret: "{LONG}" end', [("secret", LONG)]),
+    ('{"password": "hunter22", "x": 1}', [("secret", "hunter22")]),
+    ("{'api_key' : 'k-1234'}", [("secret", "k-1234")]),
+    (r'"password": "ab\"cdef" end', [("secret", r"ab\"cdef")]),
+    ("password = \"it's mine\" end", [("secret", "it's mine")]),
+    (f"Authorization: Bearer {LONG}", [("secret", LONG)]),
+    ("the bearer shall pay, bearer bonds", []),
+]
+
+
+@pytest.mark.parametrize(("t", "want"), SECRETS)
+def test_secrets_whole(t, want):
+    assert [(k, t[a:b]) for k, a, b in pii.find(t)] == want
+    assert all(v not in pii.redact(t) for _, v in want)
+
+
+def test_many_cues_in_one_run():
+    t = "token=" * 40_000
+    assert pii.find(t) == [("secret", 6, len(t))]
+
+
 def test_pii_in_noise():
     rng = random.Random(2)
     for _ in range(200):
