@@ -28,7 +28,8 @@ _BEARER = re.compile(r"[ \t]+(?=[\w~+/-])")
 _TOKEN_LIKE = re.compile(r"[\d_~+=]|[a-z][A-Z]|.{20}")
 _ACCOUNT = re.compile(r"""[ \t]*(?:number|no\.?|nr\.?|\#)?[ \t]*[:=#]?[ \t]*([A-Za-z]{0,3}\d[\dA-Za-z]{0,3}(?:[ -]?[\dA-Za-z]{1,5}){1,8})""", re.I)
 _STREET = re.compile(r"(\d{1,5}(?:[ ]+[A-Z][\w.'-]*){1,4}[ ]+)\Z")
-_NUMBER = re.compile(r"[\d+(][\d().+ \t-]*\d")
+_FIRST = re.compile(r"\d[\d.-]{0,39}")
+_PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w.]*\d)|\+\d{8,15}(?!\w)")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}")
 
 
@@ -117,19 +118,17 @@ def _scheme(t: str, at: int):
     return "url", a, b
 
 
-def _number(t: str, at: int):
-    """Address, card and phone numbers around the digit at ``at``: the whole run of digits and separators is read once."""
-    a = at
-    while a > 0 and at - a < 2 and t[a - 1] in "+(":
-        a -= 1
-    m = _NUMBER.match(t, a)
-    if not m:
-        return None
-    raw, b = m.group(0), m.end()
-    before, after = t[a - 1 : a], t[b : b + 1]
-    if before.isalnum() or before == "_" or before in (".", "-") and t[a - 2 : a - 1].isalnum():
+def _free(t: str, a: int) -> bool:
+    """Whether a number may begin at a: not inside a word or right behind one joined by a dot or hyphen."""
+    before = t[a - 1 : a] if a else ""
+    return not (before.isalnum() or before == "_" or before in (".", "-") and t[max(0, a - 2) : a - 1].isalnum())
+
+
+def _plain(t: str, a: int):
+    """Address, SSN or card that begins with the digit at ``a``."""
+    if not _free(t, a):
         return None
-    first = raw.split()[0]
+    first = _FIRST.match(t, a).group(0).rstrip(".-")
     end = a + len(first)
     follow = t[end : end + 1]
     if first.count(".") == 3 and first.replace(".", "").isdigit() and not follow.isalnum():
@@ -145,12 +144,29 @@ def _number(t: str, at: int):
     g = re.match(r"\d{4} \d{4} \d{4} \d{1,7}(?!\w)", t[a : a + 24])
     if g and card(g.group(0).replace(" ", "")):
         return "card", a, a + g.end()
-    p = re.match(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w.]*\d)|\+\d{8,15}(?!\w)", t[a : a + 32])
-    if p and 9 <= len(re.sub(r"\D", "", p.group(0))) <= 15:
-        return "phone", a, a + p.end()
     return None
 
 
+def _phone(t: str, starts: list[int]):
+    for a in reversed(starts):
+        if _free(t, a):
+            p = _PHONE.match(t[a : a + 32])
+            if p and 9 <= len(re.sub(r"\D", "", p.group(0))) <= 15:
+                return "phone", a, a + p.end()
+    return None
+
+
+def _number(t: str, at: int):
+    """Address, card and phone numbers at the digit at ``at``; only a phone number may begin before it, with a plus or parenthesis."""
+    starts = [at]
+    while starts[-1] > 0 and len(starts) < 3 and t[starts[-1] - 1] in "+(":
+        starts.append(starts[-1] - 1)
+    # a plus right before the digits makes a phone number of what might be a card's
+    if at and t[at - 1] == "+":
+        return _phone(t, starts) or _plain(t, at)
+    return _plain(t, at) or _phone(t, starts)
+
+
 def _iban(t: str, at: int):
     """A check number is two digits after two capitals; the anchor is its first digit."""
     a = at - 2

@@ -37,6 +37,22 @@ def test_pii(t, want):
     assert [(k, t[a:b]) for k, a, b in pii.find(t)] == want
 
 
+PARENTHESES = [
+    ("(10.0.0.1)", [("ip_address", "10.0.0.1")]),
+    ("(10.0.0.1) 5 and 10.0.255.1. 5", [("ip_address", "10.0.0.1"), ("ip_address", "10.0.255.1")]),
+    ("f(10.0.0.1) (123-45-6789)", [("ip_address", "10.0.0.1"), ("ssn", "123-45-6789")]),
+    ("(4111111111111111) (4111-1111-1111-1111)", [("card", "4111111111111111"), ("card", "4111-1111-1111-1111")]),
+    ("(4111 1111 1111 1111)", [("card", "4111 1111 1111 1111")]),
+    ("(+1 469 555 8958) or +4111111111111", [("phone", "+1 469 555 8958"), ("phone", "+4111111111111")]),
+    ("(555) 123-4567 and (1999) and f(12)", [("phone", "(555) 123-4567")]),
+]
+
+
+@pytest.mark.parametrize(("t", "want"), PARENTHESES)
+def test_numbers_behind_parentheses(t, want):
+    assert [(k, t[a:b]) for k, a, b in pii.find(t)] == want
+
+
 LONG = "eyJ" + "aB3_-." * 100
 SECRETS = [
     (f"token={LONG} end", [("secret", LONG)]),
