@@ -41,9 +41,9 @@ class Packer:
         top = self.caps[-1]
         return min((cost(c, top, self.open_cost) / min(c, left), c) for c in self.caps if c >= length)[1]
 
-    def pack(self, pieces: list[tuple[int, int, int]]) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    def pack(self, pieces: list[tuple[int, int | None, int]]) -> list[tuple[int, list[tuple[int, int, int]]]]:
         """[(capacity, pieces)]; a piece is (length, doc_id, start)."""
-        pieces = sorted(pieces, key=lambda p: (-p[0], p[1], p[2]))
+        pieces = sorted(pieces, key=lambda p: (-p[0], p[1] is not None, p[1] or 0, p[2]))
         left = sum(p[0] for p in pieces)
         room: dict[int, list[int]] = {}
         mask = 0
@@ -95,26 +95,29 @@ def _packed(batches, capacities, open_cost):
         yield pa.RecordBatch.from_arrays(list(columns), ["group", "bin", "capacity", "used", "doc_ids", "starts", "lengths"])
 
 
-def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, open_cost: int = OPEN_COST, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, open_cost: int = OPEN_COST, group_tokens: int = GROUP_TOKENS, unnamed: bool = False) -> DataFrame:
     """One row for each sequence: its length, the tokens used, and the pieces (doc_ids, starts, lengths) in it.
 
     A token is a word between white space. A document longer than the largest
     capacity is cut into pieces of that many tokens and a rest. Documents are
     spread by a hash of their identifier over groups of about group_tokens, each
     packed on its own, so the result depends on the rows and not on how they
-    are stored. Null and empty texts and null identifiers have nothing to pack
-    and are left out; repeated rows are packed as often as they come; an empty
+    are stored. Null and empty texts have nothing to pack and are left out.
+    Documents with a null identifier are packed only if unnamed, with a null in
+    doc_ids and spread by a hash of their text, and left out otherwise; repeated rows are packed as often as they come; an empty
     table gives no rows; other columns are not looked at.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("tokens"))
-    slim = util.spool(slim.where("tokens > 0 AND doc_id IS NOT NULL"), "lengths")
+    i = F.col("doc_id").cast("long")
+    home = F.when(i.isNull(), F.xxhash64(F.lit("pack"), "text")).otherwise(F.xxhash64(F.lit("pack"), i))
+    slim = docs.select(i.alias("doc_id"), tokens(F.col("text")).alias("tokens"), home.alias("home"))
+    slim = util.spool(slim.where("tokens > 0" if unnamed else "tokens > 0 AND doc_id IS NOT NULL"), "lengths")
     total = slim.agg(F.sum("tokens")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    spread = slim.withColumn("group", F.pmod(F.xxhash64(F.lit("pack"), "doc_id"), F.lit(groups)).cast("int"))
+    spread = slim.withColumn("group", F.pmod("home", F.lit(groups)).cast("int")).drop("home")
     n = min(util.parts(docs.sparkSession), groups)
     sent = spread.repartition(n, "group").sortWithinPartitions("group")
     return sent.mapInArrow(lambda b: _packed(b, capacities, open_cost), _BINS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(util.table(spark, sf_dir, "documents"))
+    return pack(util.table(spark, sf_dir, "documents"), unnamed=True)

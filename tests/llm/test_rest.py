@@ -406,6 +406,18 @@ def test_packing_table(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_packing_keeps_rows_without_identifier(spark):
+    import corpus_pipeline
+
+    rows = [*corpus(), (None, "another one " * 300, "en", "s2", 0), (None, None, "en", "s2", 0)]
+    df = frame(spark, rows, True)
+    want = sorted(((i is not None, i or 0), at, min(256, n - at)) for i, t, *_ in rows for n in [len((t or "").split())] for at in range(0, n, 256))
+    got = packing.pack(df, (64, 256), 8, 5000, unnamed=True).collect()
+    assert sorted(((d is not None, d or 0), s, n) for r in got for d, s, n in zip(r.doc_ids, r.starts, r.lengths, strict=True)) == want
+    every = corpus_pipeline.packing_stage(spark, df, "").collect()
+    assert sum(r.used for r in every) == sum(len((t or "").split()) for _, t, *_ in rows)
+
+
 # --- pipeline ----------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
