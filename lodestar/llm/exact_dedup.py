@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -153,19 +154,22 @@ def _sent(index: Index, local: list) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _merge(batches):
+def _merge(batches, digests: bool = False):
     index, held = Index(), []
     for b in batches:
         ids = b.column("ids").to_pylist()
         least = [min((x for x in m if x is not None), default=None) for m in ids]
-        held.append((ids, index.add(least, b.column("text").to_pylist())))
-    for ids, entries in held:
+        held.append((ids, index.add(least, b.column("text").to_pylist()), b.column("digest").to_pylist() if digests else None))
+    for ids, entries, keys in held:
         rows = [(i, index.least[e]) for m, e in zip(ids, entries, strict=True) for i in m]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["doc_id", "keep_id"])
+        columns = [pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)]
+        if digests:
+            columns.append(pa.array([k for m, k in zip(ids, keys, strict=True) for _ in m], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "keep_id", "digest"][: len(columns)])
 
 
-def canonical(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id): for each row the smallest identifier among the rows with the same text.
+def canonical(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(doc_id, keep_id): for each row the smallest identifier among the rows with the same text; with digests also the text's digest.
 
     One shuffle, keyed by a 128-bit digest, in which each task sends a distinct
     text once. Null texts are copies of each other and not of the empty text.
@@ -176,25 +180,45 @@ def canonical(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sent = slim.mapInArrow(_local, "digest binary, ids array<bigint>, text binary")
     n = util.parts(docs.sparkSession)
-    return sent.repartition(n, "digest").mapInArrow(_merge, "doc_id bigint, keep_id bigint")
+    return sent.repartition(n, "digest").mapInArrow(lambda b: _merge(b, digests), "doc_id bigint, keep_id bigint" + ", digest binary" * digests)
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that are the smallest of their text, with all columns of docs.
 
     Rows with a null identifier are kept; of rows repeated whole, with equal
-    identifier and text, one stays.
+    identifier and text, one stays. An identifier that occurs with several texts
+    goes only with those of which another has a smaller one.
     """
-    pairs = util.spool(canonical(docs, id_col, text_col), "exact")
-    drop = pairs.where("doc_id <> keep_id").select(F.col("doc_id").alias("__drop")).distinct()
-    twice = pairs.where("doc_id = keep_id").groupBy("doc_id").count().where("count > 1")
-    drop = util.small_side(util.spool(drop, "drop"), 16)
+    pairs = util.spool(canonical(docs, id_col, text_col, True), "exact")
+    ids = pairs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("keep_id")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    ids = util.spool(ids.where("kept < n OR kept > 1"), "drop")
+    drop = util.small_side(ids.where("kept = 0").select(F.col("doc_id").alias("__drop")), 16)
     out = docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
+    split = ids.where("kept > 0 AND kept < n").select(F.col("doc_id").alias("__split"))
+    if not split.isEmpty():
+        out = _own(out, split, pairs, id_col, text_col)
+    twice = ids.where("kept > 1")
     if twice.isEmpty():
         return out
     return _once(out, twice.select(F.col("doc_id").alias("__twice")), id_col, text_col)
 
 
+def _own(docs: DataFrame, split: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows of identifiers in split whose text has a smaller identifier."""
+    digest = F.pandas_udf(_digests, "binary")
+    some = docs.join(split, docs[id_col] == split["__split"], "left_semi").withColumn("__digest", digest(F.col(text_col)))
+    lost = pairs.where("doc_id <> keep_id").join(split, F.col("doc_id") == F.col("__split"), "left_semi")
+    lost = lost.select(F.col("doc_id").alias("__lost"), F.col("digest").alias("__of")).distinct()
+    some = some.join(lost, (some[id_col] == lost["__lost"]) & (some["__digest"] == lost["__of"]), "left_anti").drop("__digest")
+    return docs.join(split, docs[id_col] == split["__split"], "left_anti").unionByName(some)
+
+
+def _digests(texts: pd.Series) -> pd.Series:
+    digest = Index().digest
+    return texts.map(lambda t: digest(None if t is None else t.encode()))
+
+
 def _once(docs: DataFrame, twice: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of each (identifier, text) among the identifiers in twice."""
     again = docs.join(twice, docs[id_col] == twice["__twice"], "left_semi")

@@ -32,6 +32,14 @@ def test_exact_empty(spark):
     assert exact_dedup.canonical(df).count() == exact_dedup.survivors(df).count() == 0
 
 
+def test_an_identifier_with_two_texts_keeps_the_one_of_its_own(spark):
+    rows = [(1, "a", "en", "s", 1), (2, "a", "en", "s", 1), (2, "b", "en", "s", 1), (2, "b", "de", "s", 1), (3, "b", "en", "s", 1), (4, None, "en", "s", 1), (5, None, "en", "s", 1), (5, "", "en", "s", 1), (None, "a", "en", "s", 1)]
+    for clash in (False, True):
+        kept = exact_dedup.survivors(frame(spark, rows, clash))
+        assert kept.columns == frame(spark, rows, clash).columns
+        assert rows_of(kept.select("doc_id", "text")) == sorted([(1, "a"), (2, "b"), (4, None), (5, ""), (None, "a")], key=repr)
+
+
 def test_index_verifies_bytes_of_equal_digests():
     index = exact_dedup.Index(memtable=3, digest=lambda t: b"same" + b"\1" * 13)
     ids, texts = [9, 4, 7, 1, 5, 2, 8], [b"a", b"b", b"a", b"c", b"b", b"a", None]
