@@ -278,7 +278,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end, value): the personal data and secrets in every text, by code point offsets.
 
     Kinds: email, url, url_account, ip_address, phone, card, account, iban, ssn,
-    street_address, secret. Null and empty texts have none; a null identifier
+    street_address, secret. Street addresses are found only in the English order
+    with the words in STREETS, in title or upper case, and phone numbers only in
+    groups of 2-4, 3-4 and 3-4 digits or as a plus and 8 to 15 digits; German,
+    French and Spanish forms of both are missed. Null and empty texts have none; a null identifier
     stays null; repeated rows are each reported; an empty table gives no rows;
     other columns are not looked at. One pass, no shuffle.
     """
