@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import ipaddress
 import re
 
 import ahocorasick
@@ -15,24 +16,37 @@ from . import util
 #: Words that announce a secret or an identifier, matched in lower, upper and title case.
 SECRET_CUES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "auth_key", "private_key", "bearer")
 ACCOUNT_CUES = ("account", "acct", "iban", "ssn", "passport", "konto", "compte", "cuenta", "routing")
+#: Beginnings of keys that need no cue, and what follows them.
+KEYS = {
+    "AKIA": r"[A-Z0-9]{16}", "ASIA": r"[A-Z0-9]{16}", "ghp_": r"[A-Za-z0-9]{36,}", "gho_": r"[A-Za-z0-9]{36,}", "ghs_": r"[A-Za-z0-9]{36,}", "github_pat_": r"\w{40,}",
+    "sk_live_": r"[A-Za-z0-9]{16,}", "rk_live_": r"[A-Za-z0-9]{16,}", "xoxb-": r"[A-Za-z0-9-]{20,}", "xoxp-": r"[A-Za-z0-9-]{20,}", "AIza": r"[\w-]{35}",
+}
 STREETS = ("street", "st.", "avenue", "ave.", "road", "rd.", "boulevard", "blvd.", "lane", "drive")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&'*+/=?^_`{|}~.-")
 _LOCAL_TRIM = "!#$%&'*/=?^`{|}~.-"
 _HOST = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-")
-_URL_END = frozenset(" \t\r\n\"'<>`{}|\\^")
+_URL_RUN = re.compile(r"""[^ \t\r\n"'<>`{}|\\^]*""")
+_URL_HOST = re.compile(r"""[^ \t\r\n"'<>`{}|\\^/?\#]*""")
 _SEPARATOR = re.compile(r"""["']?[ \t]*(?:[:=]|is\b)[ \t]*""")
 _QUOTED = re.compile(r"""(["'])((?:\\.|(?!\1)[^\\\r\n]){4,})\1""")
 _BARE = re.compile(r"""[^\s"',;]*""")
 _BEARER = re.compile(r"[ \t]+(?=[\w~+/-])")
 _TOKEN_LIKE = re.compile(r"[\d_~+=]|[a-z][A-Z]|.{20}")
 _ACCOUNT = re.compile(r"""[ \t]*(?:number|no\.?|nr\.?|\#)?[ \t]*[:=#]?[ \t]*([A-Za-z]{0,3}\d[\dA-Za-z]{0,3}(?:[ -]?[\dA-Za-z]{1,5}){1,8})""", re.I)
-_STREET = re.compile(r"(\d{1,5}(?:[ ]+[A-Z][\w.'-]*){1,4}[ ]+)\Z")
+_HOUSE = re.compile(r"(?<!\d)\d{1,5}\Z")
+_NAME = re.compile(r"[A-Z][\w.'-]*")
 _FIRST = re.compile(r"\d[\d.-]{0,39}")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w.]*\d)|\+\d{8,15}(?!\w)")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}")
 
 
+_KEYS = {k: re.compile(rf"{k}{v}(?!\w)") for k, v in KEYS.items()}
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_HEXES = re.compile(r"[0-9A-Fa-f:]+(?:(?:\.\d{1,3}){3})?")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -71,6 +85,10 @@ def automaton() -> ahocorasick.Automaton:
         for w in words:
             for form in {w, w.upper(), w.title(), w.capitalize()}:
                 a.add_word(form, (kind, len(form)))
+    for k in KEYS:
+        a.add_word(k, ("key", len(k)))
+    a.add_word("-----BEGIN ", ("pem", 11))
+    a.add_word(":", ("colon", 1))
     for w in STREETS:
         for form in {" " + w.title(), " " + w.upper()}:
             a.add_word(form, ("street", len(form)))
@@ -79,14 +97,15 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def _email(t: str, at: int):
+    """Both parts reach as far as their characters do; neither holds an at-sign, so no byte is read for two of them."""
     a = at
-    while a > 0 and at - a < 64 and t[a - 1] in _LOCAL:
+    while a > 0 and t[a - 1] in _LOCAL:
         a -= 1
     local = t[a:at]
     skip = len(local) - len(local.lstrip(_LOCAL_TRIM))
     a, local = a + skip, local[skip:]
     b = at + 1
-    while b < len(t) and b - at < 254 and t[b] in _HOST:
+    while b < len(t) and t[b] in _HOST:
         b += 1
     host = t[at + 1 : b].rstrip(".-")
     labels = host.split(".")
@@ -97,25 +116,54 @@ def _email(t: str, at: int):
     return "email", a, at + 1 + len(host)
 
 
-def _scheme(t: str, at: int):
-    a = at
-    while a > 0 and at - a < 20 and (t[a - 1].isascii() and t[a - 1].isalnum() or t[a - 1] in "+.-"):
-        a -= 1
-    while a < at and not t[a].isalpha():
-        a += 1
-    b = at + 3
-    while b < len(t) and t[b] not in _URL_END:
-        b += 1
-    while b > at + 3 and t[b - 1] in ".,;:!?)]":
-        b -= 1
-    rest = t[at + 3 : b]
-    host = rest.split("/")[0].split("?")[0].split("#")[0]
-    if a == at or not host:
+class _Urls:
+    """Addresses behind ``://``. One that lies in an address already found is part of it, so that a run is read to its end once."""
+
+    def __init__(self, t: str):
+        self.t = t
+        self.end = 0
+
+    def at(self, at: int):
+        t = self.t
+        if at < self.end:
+            return None
+        a = at
+        while a > 0 and (t[a - 1].isascii() and t[a - 1].isalnum() or t[a - 1] in "+.-"):
+            a -= 1
+        while a < at and not t[a].isalpha():
+            a += 1
+        host = _URL_HOST.match(t, at + 3).group(0)
+        if a == at or not host:
+            return None
+        b = _URL_RUN.match(t, at + 3 + len(host)).end()
+        self.end = b
+        while b > at + 3 and t[b - 1] in ".,;:!?)]":
+            b -= 1
+        if b == at + 3:
+            return None
+        # an address with a name or password in it is an account, any other a plain address
+        return "url_account" if "@" in host else "url", a, b
+
+
+def _street(t: str, start: int, end: int):
+    """Number and one to four capitalised words before the street word t[start + 1:end], whatever their length."""
+    if t[end : end + 1].isalnum():
         return None
-    # an address with a name or password in it is an account, any other a plain address
-    if "@" in host:
-        return "url_account", a, b
-    return "url", a, b
+    found, b = None, start
+    for n in range(5):
+        while b > 0 and t[b - 1] == " ":
+            b -= 1
+        a = b
+        while a > 0 and not t[a - 1].isspace():
+            a -= 1
+        word = t[a:b]
+        number = _HOUSE.search(word) if n else None
+        if number:
+            found = a + number.start()
+        if not _NAME.fullmatch(word) or t[a - 1 : a] != " ":
+            break
+        b = a - 1
+    return None if found is None else ("street_address", found, end)
 
 
 def _free(t: str, a: int) -> bool:
@@ -183,6 +231,53 @@ def _iban(t: str, at: int):
     return None
 
 
+class _Hexes:
+    """IPv6 addresses: a run of hexadecimal digits and colons, read once, of three groups and a digit at least."""
+
+    def __init__(self, t: str):
+        self.t = t
+        self.end = 0
+
+    def at(self, at: int):
+        t = self.t
+        if at < self.end or t[at + 1 : at + 2] in " /":
+            return None
+        a = at
+        while a > self.end and t[a - 1] in "0123456789abcdefABCDEF":
+            a -= 1
+        m = _HEXES.match(t, a)
+        self.end = m.end()
+        value = m.group(0)
+        b = a + len(value)
+        if value.endswith(":") and not value.endswith("::"):
+            value, b = value[:-1], b - 1
+        if a and (t[a - 1].isalnum() or t[a - 1] in "_.") or t[b : b + 1].isalnum() or not 2 <= value.count(":") <= 7 or len(value) > 45:
+            return None
+        if len([x for x in value.split(":") if x]) < 3 or not any(c.isdigit() for c in value):
+            return None
+        try:
+            ipaddress.IPv6Address(value)
+        except ValueError:
+            return None
+        return "ip_address", a, b
+
+
+class _Blocks:
+    """Private key blocks; one without an end is its first line."""
+
+    def __init__(self, t: str):
+        self.t = t
+        self.ended = True
+
+    def at(self, at: int):
+        m = _PEM.match(self.t, at)
+        if not m:
+            return None
+        end = _PEM_END.search(self.t, m.end()) if self.ended else None
+        self.ended = end is not None
+        return "secret", at, (end or m).end()
+
+
 class _Secrets:
     """Values behind secret cues. The end of an unquoted run is kept, so that one with many cues in it is read once."""
 
@@ -216,10 +311,12 @@ def find(t: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the findings in a text, in order and apart from each other.
 
     Where two would overlap the one that begins first stays, of those that begin
-    together the longer, of equal ones the first of its kind by name.
+    together the longer, of equal ones the first of its kind by name. Every
+    parser keeps in mind how far it has read, so time is in proportion to the
+    text whatever it holds; no value is cut at a length.
     """
     found = []
-    secrets = _Secrets(t)
+    secrets, urls, hexes, blocks = _Secrets(t), _Urls(t), _Hexes(t), _Blocks(t)
     over = -1  # digits before this place were read already
     for end, (kind, size) in automaton().iter(t):
         start = end - size + 1
@@ -240,11 +337,16 @@ def find(t: str) -> list[tuple[str, int, int]]:
         elif kind == "at":
             hit = _email(t, end)
         elif kind == "scheme":
-            hit = _scheme(t, start)
+            hit = urls.at(start)
+        elif kind == "colon":
+            hit = hexes.at(start)
+        elif kind == "pem":
+            hit = blocks.at(start)
+        elif kind == "key":
+            m = _KEYS[t[start : end + 1]].match(t, start) if not (start and (t[start - 1].isalnum() or t[start - 1] == "_")) else None
+            hit = ("secret", start, m.end()) if m else None
         elif kind == "street":
-            m = _STREET.search(t[max(0, start - 60) : start + 1])
-            if m and not t[end + 1 : end + 2].isalnum():
-                hit = "street_address", start + 1 - len(m.group(1)), end + 1
+            hit = _street(t, start, end + 1)
         elif not (start and t[start - 1].isalnum()) or kind == "secret" and t[start - 1] == "_":
             if kind == "secret":
                 hit = secrets.after(start, end + 1)
@@ -277,20 +379,23 @@ def _scan(batches):
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end, value): the personal data and secrets in every text, by code point offsets.
 
-    Kinds: email, url, url_account, ip_address, phone, card, account, iban, ssn,
-    street_address, secret. Street addresses are found only in the English order
+    Kinds: email, url, url_account, ip_address (v4 and v6), phone, card, account,
+    iban, ssn, street_address, secret (behind a cue, or a key of a known form).
+    Street addresses are found only in the English order
     with the words in STREETS, in title or upper case, and phone numbers only in
     groups of 2-4, 3-4 and 3-4 digits or as a plus and 8 to 15 digits; German,
-    French and Spanish forms of both are missed. Null and empty texts have none; a null identifier
-    stays null; repeated rows are each reported; an empty table gives no rows;
-    other columns are not looked at. One pass, no shuffle.
+    French and Spanish forms of both are missed. A very long text is read whole,
+    in time in proportion to its length. Of findings that overlap one is reported
+    (see find). Null and empty texts have none; a null identifier stays null;
+    repeated rows are each reported; an empty table gives no rows; other columns,
+    whatever their names, are not looked at. One pass, no shuffle.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(_scan, _FOUND)
 
 
 def redact(t: str | None) -> str | None:
-    """The text with each finding replaced by its kind in brackets."""
+    """The text with each finding replaced by its kind in brackets; a null text stays null, one without findings as it is."""
     if t is None:
         return None
     out, at = [], 0
