@@ -253,7 +253,7 @@ class _Hexes:
             value, b = value[:-1], b - 1
         if a and (t[a - 1].isalnum() or t[a - 1] in "_.") or t[b : b + 1].isalnum() or not 2 <= value.count(":") <= 7 or len(value) > 45:
             return None
-        if len([x for x in value.split(":") if x]) < 3 or not any(c.isdigit() for c in value):
+        if len([x for x in re.split("[:.]", value) if x]) < 3 or not any(c.isdigit() for c in value):
             return None
         try:
             ipaddress.IPv6Address(value)
