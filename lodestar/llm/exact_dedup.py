@@ -1,229 +1,312 @@
-"""Exact dedup by a log-structured merge index over text digests."""
+"""Exact dedup by a log-structured merge index over text digests.
+
+1. every task puts the 128-bit digests of its rows into a memtable of a fixed
+   number of bytes; a full one is flushed as a sorted run with a filter, and runs
+   of one level are compacted into one of the next, which adds up equal digests
+   and keeps the smallest identifier;
+2. the runs go to partitions by digest, each a further index; a digest that is in
+   a run already, which most filters deny without a search, is a hit;
+3. only the texts of hits are read again and sent to be compared byte by byte,
+   the smallest identifier's first. All others have no copy, so that the corpus
+   itself isn't shuffled.
+
+An entry is 32 bytes whatever the text; no step holds a partition's texts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import util
 
-#: Digests a memtable holds before it is flushed as a sorted run.
-MEMTABLE = 8192
+#: Bytes of entries a memtable holds before it is flushed as a sorted run.
+MEMTABLE_BYTES = 1 << 16
 #: Runs of one level that are compacted into one of the next.
 FANOUT = 4
-#: Bytes of input whose copies are joined before they are sent.
-LOCAL_BYTES = 64 << 20
+#: Bytes of hits' texts whose copies are joined in a task before they are sent.
+LOCAL_BYTES = 16 << 20
 
-DIGEST = np.dtype("S17")
+#: A digest of two words, how many rows have it, and their smallest identifier (NO_ID if none has any).
+ENTRY = np.dtype([("a", np.int64), ("b", np.int64), ("n", np.int64), ("least", np.int64)])
+NO_ID = np.iinfo(np.int64).max
 
 
 class Filter:
-    """A Bloom filter of sorted digests: 16 bits a key, 4 probes taken from the digest itself."""
+    """A Bloom filter of digests: 16 bits a key, 4 probes taken from the digest itself."""
 
-    def __init__(self, keys: np.ndarray):
-        self.mask = np.uint64((1 << max(10, int(16 * len(keys) - 1).bit_length())) - 1)
+    def __init__(self, run: np.ndarray):
+        self.mask = np.uint64((1 << max(10, int(16 * len(run) - 1).bit_length())) - 1)
         self.bits = np.zeros((int(self.mask) + 1) // 8, np.uint8)
-        for p in self._probes(keys):
+        for p in self._probes(run["a"], run["b"]):
             np.bitwise_or.at(self.bits, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
 
-    def _probes(self, keys: np.ndarray):
-        raw = np.ascontiguousarray(keys).view(np.uint8).reshape(len(keys), 17)
-        a = np.ascontiguousarray(raw[:, :8]).view(np.uint64).ravel()
-        b = np.ascontiguousarray(raw[:, 8:16]).view(np.uint64).ravel() | np.uint64(1)
+    def _probes(self, a: np.ndarray, b: np.ndarray):
+        a, b = a.astype(np.uint64), b.astype(np.uint64) | np.uint64(1)
         return ((a + np.uint64(i) * b) & self.mask for i in range(4))
 
-    def maybe(self, keys: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(keys), np.bool_)
-        for p in self._probes(keys):
+    def maybe(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(a), np.bool_)
+        for p in self._probes(a, b):
             ok &= (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 != 0
         return ok
 
 
+def compacted(entries: np.ndarray) -> np.ndarray:
+    """Entries in order of digest, one each: rows added up, the smallest identifier kept."""
+    e = entries[np.lexsort((entries["b"], entries["a"]))]
+    if not len(e):
+        return e
+    at = np.flatnonzero(np.concatenate([[True], (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])]))
+    out = e[at]
+    out["n"] = np.add.reduceat(e["n"], at)
+    out["least"] = np.minimum.reduceat(e["least"], at)
+    return out
+
+
 class Index:
-    """The log-structured merge index of one partition.
-
-    Entries are numbered; an entry is a distinct text with the smallest
-    identifier seen so far. ``add`` takes a batch and returns the entry of each
-    row. Digests live in a memtable, flushed as sorted runs of (digest, entry)
-    with a Bloom filter; FANOUT runs of a level are merged into the next.
-    A row whose digest is found is compared byte by byte with the entry's text;
-    texts of equal digest that differ become entries of their own, chained.
+    """A log-structured merge index of digests.
+
+    ``add`` takes entries: they wait in a memtable, which is flushed when it has
+    ``memtable`` bytes as a sorted run of level 0. FANOUT runs of a level are
+    compacted into one of the next. ``flushes`` and ``compactions`` count both.
     """
 
-    def __init__(self, memtable: int = MEMTABLE, digest=None):
-        self.limit = memtable
-        self.digest = digest or (lambda t: b"\0" + b"\1" * 16 if t is None else xxhash.xxh3_128_digest(t) + b"\2")
-        self.mem: dict[bytes, int] = {}
-        self.levels: list[list[tuple[np.ndarray, np.ndarray, Filter]]] = []
-        self.text: list[bytes | None] = []
-        self.least: list[int] = []
-        self.next: dict[int, int] = {}
-
-    def _flush(self) -> None:
-        keys = np.array(list(self.mem), DIGEST)
-        rows = np.fromiter(self.mem.values(), np.int64, len(keys))
-        order = np.argsort(keys, kind="stable")
-        self.mem = {}
-        self._push(0, keys[order], rows[order])
-
-    def _push(self, level: int, keys: np.ndarray, rows: np.ndarray) -> None:
+    def __init__(self, memtable: int = MEMTABLE_BYTES, fanout: int = FANOUT):
+        self.limit, self.fanout = max(1, memtable // ENTRY.itemsize), fanout
+        self.mem: list[np.ndarray] = []
+        self.held = 0
+        self.levels: list[list[tuple[np.ndarray, Filter]]] = []
+        self.flushes = self.compactions = 0
+
+    def add(self, entries: np.ndarray) -> None:
+        while len(entries):
+            part, entries = entries[: self.limit - self.held], entries[self.limit - self.held :]
+            self.mem.append(part)
+            self.held += len(part)
+            if self.held >= self.limit:
+                self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            run = compacted(np.concatenate(self.mem))
+            self.mem, self.held = [], 0
+            self.flushes += 1
+            self.push(run)
+
+    def push(self, run: np.ndarray, level: int = 0) -> None:
+        """Take in a sorted run, such as another index has flushed."""
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append((keys, rows, Filter(keys)))
-        if len(self.levels[level]) >= FANOUT:
+        self.levels[level].append((run, Filter(run)))
+        if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
-            k = np.concatenate([r[0] for r in runs])
-            e = np.concatenate([r[1] for r in runs])
-            order = np.argsort(k, kind="stable")  # merges sorted runs; a digest is in one run only
-            self._push(level + 1, k[order], e[order])
-
-    def _find(self, keys: list[bytes]) -> np.ndarray:
-        """The first entry of each digest in the runs, or -1."""
-        out = np.full(len(keys), -1, np.int64)
-        want = np.array(keys, DIGEST)
+            self.compactions += 1
+            self.push(compacted(np.concatenate([r for r, _ in runs])), level + 1)
+
+    def insert(self, run: np.ndarray) -> np.ndarray:
+        """Take in a sorted run; of its entries those that are hits, in it or with what was there before."""
+        hit = (run["n"] > 1) | (self.rows(run["a"], run["b"]) > 0)
+        self.push(run)
+        return run[hit]
+
+    def rows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many rows have each digest. Runs whose filter denies it aren't searched."""
+        out = np.zeros(len(a), np.int64)
+        probe = np.zeros(len(a), ENTRY)
+        probe["a"], probe["b"] = a, b
         for level in self.levels:
-            for k, e, f in level:
-                todo = np.flatnonzero(out < 0)
-                todo = todo[f.maybe(want[todo])]
-                at = np.minimum(np.searchsorted(k, want[todo]), len(k) - 1)
-                hit = k[at] == want[todo]
-                out[todo[hit]] = e[at[hit]]
+            for run, kept in level:
+                at = np.flatnonzero(kept.maybe(a, b))
+                if len(at):
+                    place = _place(run, probe[at])
+                    same = (run["a"][place] == a[at]) & (run["b"][place] == b[at])
+                    out[at[same]] += run["n"][place[same]]
+        if self.held:
+            mem = compacted(np.concatenate(self.mem))
+            place = _place(mem, probe)
+            same = (mem["a"][place] == a) & (mem["b"][place] == b)
+            out[same] += mem["n"][place[same]]
         return out
 
-    def add(self, ids: list[int], texts: list[bytes | None]) -> list[int]:
-        entries = []
-        for at in range(0, len(ids), self.limit):
-            part = texts[at : at + self.limit]
-            keys = [self.digest(t) for t in part]
-            found = self._find(keys).tolist()
-            for i, t, k, e in zip(ids[at : at + self.limit], part, keys, found, strict=True):
-                if e < 0:
-                    e = self.mem.get(k, -1)
-                fresh = e < 0
-                while e >= 0 and self.text[e] != t:
-                    last, e = e, self.next.get(e, -1)
-                if e < 0:
-                    e = len(self.text)
-                    self.text.append(t)
-                    self.least.append(i)
-                    if fresh:
-                        self.mem[k] = e
-                    else:
-                        self.next[last] = e
-                elif i is not None and (self.least[e] is None or i < self.least[e]):
-                    self.least[e] = i
-                entries.append(e)
-            if len(self.mem) >= self.limit:
-                self._flush()
-        return entries
+    def whole(self) -> np.ndarray:
+        """Everything compacted into one run."""
+        self.flush()
+        runs = [r for level in self.levels for r, _ in level]
+        if len(runs) > 1:
+            self.compactions += 1
+            run = compacted(np.concatenate(runs))
+            self.levels = [[(run, Filter(run))]]
+            return run
+        return runs[0] if runs else np.empty(0, ENTRY)
+
+
+def _place(run: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    """Where each probed digest would be in a sorted run, within it; digests agree in the first word by chance only."""
+    at = np.minimum(np.searchsorted(run["a"], probe["a"]), len(run) - 1)
+    while True:
+        on = (run["a"][at] == probe["a"]) & (run["b"][at] < probe["b"]) & (at + 1 < len(run))
+        on &= run["a"][np.minimum(at + 1, len(run) - 1)] == probe["a"]
+        if not on.any():
+            return at
+        at = at + on
+
+
+_RUN = "part int, entries binary"
+
+
+def _flushed(batches, parts: int) -> Iterator[pa.RecordBatch]:
+    """A task's index, and of its last run each partition's part."""
+    index = Index()
+    for b in batches:
+        e = np.zeros(b.num_rows, ENTRY)
+        e["a"], e["b"] = b.column("a").to_numpy(), b.column("b").to_numpy()
+        e["least"], e["n"] = b.column("id").fill_null(NO_ID).to_numpy(), 1
+        index.add(e)
+    run = index.whole()
+    part = ((run["a"].astype(np.uint64) >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    run, cut = run[order], np.searchsorted(part[order], np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(cut)).tolist()
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([run[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())], ["part", "entries"])
+
+
+def _hits(batches) -> Iterator[pa.RecordBatch]:
+    """Digests of more than one row, of the runs that came to a partition, with the smallest identifier."""
+    index, found = Index(), [np.empty(0, ENTRY)]
+    for b in batches:
+        for run in b.column("entries"):
+            found.append(index.insert(np.frombuffer(run.as_buffer(), ENTRY)))
+    hit, run = compacted(np.concatenate(found)), index.whole()
+    run = run[_place(run, hit)] if len(hit) else run[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(run["a"]), pa.array(run["b"]), pa.array(run["least"], mask=run["least"] == NO_ID)], ["a", "b", "least"])
+
+
+def hits(rows: DataFrame) -> DataFrame:
+    """(a, b, least): the digests that occur more than once in rows (id, a, b), and the smallest identifier of each."""
+    n = util.parts(rows.sparkSession)
+    runs = util.exchange(rows.mapInArrow(lambda b: _flushed(b, n), _RUN), n=n)
+    return runs.mapInArrow(_hits, "a bigint, b bigint, least bigint")
+
+
+def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with its digest in (__a, __b): two chained 64-bit hashes of the text, of null like of any other value."""
+    t = F.col(text_col).cast("string")
+    return docs.withColumn("__a", F.xxhash64(F.lit(1), t)).withColumn("__b", F.xxhash64(F.lit("exact"), t))
+
+
+_SENT = "a bigint, b bigint, least bigint, ids array<bigint>, text binary"
 
 
 def _local(batches):
     """Map side: copies inside a task meet here, so a hot text is sent once a task (or each LOCAL_BYTES of it)."""
-    index, local, held = Index(), [], 0
-    for b in batches:
-        ids = b.column("id").to_pylist()
-        local.append((ids, index.add(ids, b.column("text").cast(pa.binary()).to_pylist())))
-        held += b.nbytes
-        if held > LOCAL_BYTES:
-            yield from _sent(index, local)
-            index, local, held = Index(), [], 0
-    yield from _sent(index, local)
-
-
-def _sent(index: Index, local: list) -> Iterator[pa.RecordBatch]:
-    members: list[list[int]] = [[] for _ in index.text]
-    for ids, entries in local:
-        for i, e in zip(ids, entries, strict=True):
-            members[e].append(i)
-    for at in range(0, len(members), 1000):
-        some = range(at, min(at + 1000, len(members)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([index.digest(index.text[e]) for e in some], pa.binary()),
-                pa.array([members[e] for e in some], pa.list_(pa.int64())),
-                pa.array([index.text[e] for e in some], pa.binary()),
-            ],
-            ["digest", "ids", "text"],
-        )
-
-
-def _merge(batches, digests: bool = False):
-    index, held = Index(), []
+    held: dict[bytes | None, tuple[int, int, list]] = {}
+    size = 0
     for b in batches:
-        ids = b.column("ids").to_pylist()
-        least = [min((x for x in m if x is not None), default=None) for m in ids]
-        held.append((ids, index.add(least, b.column("text").to_pylist()), b.column("digest").to_pylist() if digests else None))
-    for ids, entries, keys in held:
-        rows = [(i, index.least[e]) for m, e in zip(ids, entries, strict=True) for i in m]
-        columns = [pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)]
-        if digests:
-            columns.append(pa.array([k for m, k in zip(ids, keys, strict=True) for _ in m], pa.binary()))
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "keep_id", "digest"][: len(columns)])
-
-
-def canonical(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """(doc_id, keep_id): for each row the smallest identifier among the rows with the same text; with digests also the text's digest.
-
-    One shuffle, keyed by a 128-bit digest, in which each task sends a distinct
-    text once. Null texts are copies of each other and not of the empty text.
-    A null identifier is never the smallest unless a text has no other; rows
-    repeated whole appear as often as they came; an empty table gives none.
-    Columns other than the two named are not looked at.
-    """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sent = slim.mapInArrow(_local, "digest binary, ids array<bigint>, text binary")
-    n = util.parts(docs.sparkSession)
-    return sent.repartition(n, "digest").mapInArrow(lambda b: _merge(b, digests), "doc_id bigint, keep_id bigint" + ", digest binary" * digests)
+        rows = zip(b.column("id").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True)
+        for i, x, y, t in rows:
+            if t in held:
+                held[t][2].append(i)
+            else:
+                held[t] = (x, y, [i])
+                size += len(t or b"") + 100
+            size += 8
+        if size > LOCAL_BYTES:
+            yield from _sent(held)
+            held, size = {}, 0
+    yield from _sent(held)
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that are the smallest of their text, with all columns of docs.
+def _sent(held: dict) -> Iterator[pa.RecordBatch]:
+    items = list(held.items())
+    for at in range(0, len(items), 1000):
+        some = items[at : at + 1000]
+        least = [min((i for i in v[2] if i is not None), default=NO_ID) for _, v in some]
+        columns = (pa.array([v[0] for _, v in some], pa.int64()), pa.array([v[1] for _, v in some], pa.int64()), pa.array(least, pa.int64()), pa.array([v[2] for _, v in some], pa.list_(pa.int64())), pa.array([t for t, _ in some], pa.binary()))
+        yield pa.RecordBatch.from_arrays(list(columns), ["a", "b", "least", "ids", "text"])
+
+
+_PAIR = "doc_id bigint, keep_id bigint, a bigint, b bigint"
+
 
-    Rows with a null identifier are kept; of rows repeated whole, with equal
-    identifier and text, one stays. An identifier that occurs with several texts
-    goes only with those of which another has a smaller one.
+def _verified(batches):
+    """Of rows sorted by digest and smallest identifier: each is compared byte by byte with the texts of its digest that came before.
+
+    The first row of a text has the smallest identifier of it, so nothing is
+    kept but one text for each that shares the digest.
     """
-    pairs = util.spool(canonical(docs, id_col, text_col, True), "exact")
-    ids = pairs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("keep_id")).alias("kept"), F.count(F.lit(1)).alias("n"))
-    ids = util.spool(ids.where("kept < n OR kept > 1"), "drop")
-    drop = util.small_side(ids.where("kept = 0").select(F.col("doc_id").alias("__drop")), 16)
-    out = docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
-    split = ids.where("kept > 0 AND kept < n").select(F.col("doc_id").alias("__split"))
-    if not split.isEmpty():
-        out = _own(out, split, pairs, id_col, text_col)
-    twice = ids.where("kept > 1")
-    if twice.isEmpty():
-        return out
-    return _once(out, twice.select(F.col("doc_id").alias("__twice")), id_col, text_col)
+    rows: list[tuple] = []
+    now: tuple | None = None
+    entries: list[tuple] = []  # of the digest at hand: (text, smallest identifier)
+    for b in batches:
+        columns = (b.column(c).to_pylist() for c in ("a", "b", "least", "ids", "text"))
+        for x, y, least, ids, t in zip(*columns, strict=True):
+            if (x, y) != now:
+                now, entries = (x, y), []
+            keep = next((e[1] for e in entries if e[0] == t), NO_ID)
+            if keep == NO_ID and all(e[0] != t for e in entries):
+                keep = least
+                entries.append((t, least))
+            rows.extend((i, None if keep == NO_ID else keep, x, y) for i in ids)
+        if len(rows) > 20_000:
+            yield _pairs(rows)
+            rows = []
+    yield _pairs(rows)
+
+
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "keep_id", "a", "b"])
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((id, a, b) of rows without a copy, (doc_id, keep_id, a, b) of those that may have one)."""
+    slim = digests(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text").withColumnsRenamed({"__a": "a", "__b": "b"})
+    found = util.spool(hits(slim.select("id", "a", "b")), "hits")
+    both = util.marked(slim, found, ["a", "b"], "__hit")
+    sent = both.where("__hit").select("id", "a", "b", "text").mapInArrow(util.frugal(_local), _SENT)
+    n = util.parts(docs.sparkSession)
+    return both.where("NOT __hit").select("id", "a", "b"), sent.repartition(n, "a", "b").sortWithinPartitions("a", "b", "least").mapInArrow(util.frugal(_verified), _PAIR)
 
 
-def _own(docs: DataFrame, split: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs without the rows of identifiers in split whose text has a smaller identifier."""
-    digest = F.pandas_udf(_digests, "binary")
-    some = docs.join(split, docs[id_col] == split["__split"], "left_semi").withColumn("__digest", digest(F.col(text_col)))
-    lost = pairs.where("doc_id <> keep_id").join(split, F.col("doc_id") == F.col("__split"), "left_semi")
-    lost = lost.select(F.col("doc_id").alias("__lost"), F.col("digest").alias("__of")).distinct()
-    some = some.join(lost, (some[id_col] == lost["__lost"]) & (some["__digest"] == lost["__of"]), "left_anti").drop("__digest")
-    return docs.join(split, docs[id_col] == split["__split"], "left_anti").unionByName(some)
+def canonical(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, keep_id): for each row the smallest identifier among the rows with the same text.
 
+    Null texts are copies of each other and not of the empty text; a very long
+    text is like any other. A null identifier is never the smallest unless a text
+    has no other; rows repeated whole appear as often as they came, each with the
+    same answer; an empty table gives none. Columns other than the two named,
+    whatever their names, are not looked at.
+    """
+    alone, pairs = copies(docs, id_col, text_col)
+    return alone.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id")).unionByName(pairs.select("doc_id", "keep_id"))
 
-def _digests(texts: pd.Series) -> pd.Series:
-    digest = Index().digest
-    return texts.map(lambda t: digest(None if t is None else t.encode()))
 
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that are the smallest of their text, with all columns of docs.
 
-def _once(docs: DataFrame, twice: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of each (identifier, text) among the identifiers in twice."""
-    again = docs.join(twice, docs[id_col] == twice["__twice"], "left_semi")
-    rest = docs.join(twice, docs[id_col] == twice["__twice"], "left_anti")
-    return rest.unionByName(again.dropDuplicates([id_col, text_col]))
+    Decided by identifier and text together: an identifier that occurs with
+    several texts goes only with those of which another has a smaller one. Rows
+    with a null identifier are kept; of rows repeated whole, with equal
+    identifier and text, one stays, any if they differ elsewhere. Null, empty and
+    very long texts are texts like others (see canonical); an empty table stays empty.
+    """
+    pairs = util.spool(copies(docs, id_col, text_col)[1].where("doc_id IS NOT NULL"), "exact")
+    row = [F.col("doc_id").alias("__id"), F.col("a").alias("__a"), F.col("b").alias("__b")]
+    drop = util.spool(pairs.where("doc_id <> keep_id").select(*row).distinct(), "drop")
+    twice = util.spool(pairs.where("doc_id = keep_id").groupBy(*row).count().where("count > 1").drop("count"), "twice")
+    keys = ["__id", "__a", "__b"]
+    out = util.without(digests(docs, id_col, text_col).withColumn("__id", F.col(id_col).cast("long")), drop, keys)
+    n = twice.count()
+    if n:
+        both = util.marked(out, twice, keys, "__twice", n)
+        # rows that only seem to be repeated are told apart by the text itself
+        out = both.where("NOT __twice OR __id IS NULL").unionByName(both.where("__twice AND __id IS NOT NULL").dropDuplicates(["__id", text_col]))
+    return out.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

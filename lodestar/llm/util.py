@@ -18,19 +18,23 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset a local session, as in tests, gets one of its own, and a cluster an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
         d = spark.sparkContext.getCheckpointDir()
     return d.rstrip("/")
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: a lost executor loses nothing."""
+    """Write df as a table in the shared folder and read it again: a lost executor loses nothing. The table goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    jvm = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    jvm.Path(path).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm.Path(path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -46,6 +50,51 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return df.hint("shuffle_hash")
 
 
+#: Bits a key has in a filter, and the most a filter may have in all: 2**28 bits are 32 MB, as BROADCAST_BYTES.
+FILTER_BITS = 16
+MOST_BITS = 1 << 28
+_BUCKET_BITS = 32768
+
+
+def marked(df: DataFrame, keys: DataFrame, names: list[str], flag: str, count: int | None = None) -> DataFrame:
+    """df with the boolean ``flag``: false only where no row of keys has its values of ``names`` (which keys must have too).
+
+    A filter of one hashed bit a key, made and looked up inside the JVM and
+    broadcast in buckets of 4 KB. It never has more than MOST_BITS, so a longer
+    list of keys makes more rows true that needn't be, and nothing larger.
+    """
+    n = keys.count() if count is None else count
+    size = _BUCKET_BITS
+    while size < min(MOST_BITS, FILTER_BITS * n):
+        size *= 2
+    place = F.pmod(F.xxhash64(F.lit("filter"), *(F.col(c) for c in names)), F.lit(size))
+    bits = keys.select(place.alias("p")).select(F.floor(F.col("p") / _BUCKET_BITS).alias("__bucket"), (F.col("p") % _BUCKET_BITS).alias("bit"))
+    buckets = bits.groupBy("__bucket").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    out = df.withColumn("__place", place).withColumn("__bucket", F.floor(F.col("__place") / _BUCKET_BITS))
+    out = out.join(F.broadcast(buckets), "__bucket", "left")
+    bit = (F.col("__place") % _BUCKET_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    on = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), bit % 8 + 1)) != 0
+    return out.withColumn(flag, F.coalesce(on, F.lit(False))).select(*df.columns, flag)
+
+
+def without(df: DataFrame, drop: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of df for which drop, a spooled table, has no row with equal, non-null values of ``names``.
+
+    drop is broadcast if it is small. Otherwise only rows that a filter of drop's
+    keys lets through are shuffled to be joined, and the others, most of them,
+    stay where they are, so that a corpus doesn't move because some of it goes.
+    """
+    n = drop.count()
+    if not n:
+        return df
+    if n * 16 * (1 + len(names)) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(drop.select(*names)), names, "left_anti").select(*df.columns)
+    both = marked(df, drop, names, "__maybe", n)
+    some = both.where("__maybe").drop("__maybe").join(drop.select(*names).hint("shuffle_hash"), names, "left_anti")
+    return both.where("NOT __maybe").drop("__maybe").unionByName(some.select(*df.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

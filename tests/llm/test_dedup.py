@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestar.llm import exact_dedup, ngram_join, suffix_dedup, text
 
@@ -40,24 +41,80 @@ def test_an_identifier_with_two_texts_keeps_the_one_of_its_own(spark):
         assert rows_of(kept.select("doc_id", "text")) == sorted([(1, "a"), (2, "b"), (4, None), (5, ""), (None, "a")], key=repr)
 
 
-def test_index_verifies_bytes_of_equal_digests():
-    index = exact_dedup.Index(memtable=3, digest=lambda t: b"same" + b"\1" * 13)
-    ids, texts = [9, 4, 7, 1, 5, 2, 8], [b"a", b"b", b"a", b"c", b"b", b"a", None]
-    entries = index.add(ids, texts)
-    assert [index.least[e] for e in entries] == [2, 4, 2, 1, 4, 2, 8]
+def entries(rows):
+    e = np.zeros(len(rows), exact_dedup.ENTRY)
+    for k, (a, b, i) in enumerate(rows):
+        e[k] = (a, b, 1, exact_dedup.NO_ID if i is None else i)
+    return e
 
 
 def test_index_over_many_flushes():
     rng = random.Random(1)
-    index, least, entry = exact_dedup.Index(memtable=16), {}, []
-    data = [(i, str(rng.randrange(300)).encode()) for i in rng.sample(range(5000), 3000)]
+    index, want = exact_dedup.Index(memtable=16 * 32), {}
+    data = [(rng.randrange(-40, 40), rng.randrange(8), rng.choice([None, rng.randrange(5000)])) for _ in range(3000)]
     for at in range(0, len(data), 100):
-        part = data[at : at + 100]
-        entry += index.add([i for i, _ in part], [t for _, t in part])
-    for i, t in data:
-        least[t] = min(least.get(t, i), i)
-    assert [index.least[e] for e in entry] == [least[t] for _, t in data]
-    assert len(index.levels) > 1
+        index.add(entries(data[at : at + 100]))
+        for a, b, i in data[at : at + 100]:
+            n, least = want.get((a, b), (0, exact_dedup.NO_ID))
+            want[a, b] = (n + 1, least if i is None else min(least, i))
+        probes = [(rng.randrange(-60, 60), rng.randrange(9)) for _ in range(50)]
+        assert index.rows(*(np.array(x) for x in zip(*probes, strict=True))).tolist() == [want.get(p, (0, 0))[0] for p in probes]
+    assert index.flushes == 3000 // 16 and index.compactions > 50 and len(index.levels) > 3
+    run = index.whole()
+    assert [(e["a"], e["b"]) for e in run] == sorted(want)
+    assert {(int(e["a"]), int(e["b"])): (int(e["n"]), int(e["least"])) for e in run} == want
+
+
+def test_a_task_of_usual_size_flushes_and_compacts():
+    rng = np.random.default_rng(2)
+    index = exact_dedup.Index()
+    e = np.zeros(8000, exact_dedup.ENTRY)
+    e["a"], e["b"], e["n"], e["least"] = rng.integers(-(2**62), 2**62, 8000), rng.integers(0, 9, 8000), 1, np.arange(8000)
+    for at in range(0, 8000, 1000):
+        index.add(e[at : at + 1000])
+    assert index.flushes == 3 and len(index.whole()) == 8000 and index.flushes == 4 and index.compactions == 1
+    merged = exact_dedup.Index()
+    for at in range(0, 8000, 250):  # a run from each of 32 tasks
+        assert not len(merged.insert(exact_dedup.compacted(e[at : at + 250])))
+    assert len(merged.insert(exact_dedup.compacted(e[7:300]))) == 293
+    assert merged.compactions == 10 and len(merged.whole()) == 8000
+
+
+def test_hits_are_verified_by_their_bytes():
+    import pyarrow as pa
+
+    no = exact_dedup.NO_ID
+    rows = [(1, 1, 3, [3], b"b"), (1, 1, 4, [9, 4], b"a"), (1, 1, 5, [5, None], b"a"), (1, 2, 7, [7], b"a"), (2, 2, 8, [8], b""), (2, 2, no, [None], None), (2, 2, no, [None], None)]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a:b], strict=True), kinds, strict=True)], ["a", "b", "least", "ids", "text"]) for a, b in ((0, 2), (2, 7))]
+    got = [(r["doc_id"], r["keep_id"]) for b in exact_dedup._verified(iter(batches)) for r in b.to_pylist()]
+    assert got == [(3, 3), (9, 4), (4, 4), (5, 4), (None, 4), (7, 7), (8, 8), (None, None), (None, None)]
+
+
+@pytest.mark.parametrize("size", [32 << 20, 0])
+def test_only_rows_that_may_go_are_joined(spark, monkeypatch, size):
+    from lodestar.llm import util
+
+    monkeypatch.setattr(util, "BROADCAST_BYTES", size)
+    df = frame(spark, corpus(), True)
+    kept = {r.doc_id for r in exact_dedup.survivors(df).collect()}
+    least = {}
+    for i, t, *_ in corpus():
+        if i is not None:
+            least[t] = min(least.get(t, i), i)
+    assert kept == {*least.values()} | {None}
+    drop = spark.range(40).select("id", F.col("id").alias("doc_id"))
+    out = util.without(df, drop, ["doc_id"])
+    assert rows_of(out) == rows_of(df.where("doc_id IS NULL OR doc_id >= 40")) and out.columns == df.columns
+
+
+def test_filter_has_a_bounded_size(spark, monkeypatch):
+    from lodestar.llm import util
+
+    monkeypatch.setattr(util, "MOST_BITS", 1 << 16)
+    df, keys = spark.range(200_000), spark.range(0, 200_000, 3)
+    got = util.marked(df, keys, ["id"], "flag")
+    assert got.where("id % 3 = 0 AND NOT flag").count() == 0 and got.where("NOT flag").count() > 10_000
 
 
 def grams(t, n):
