@@ -1,15 +1,17 @@
 """N-gram Jaccard self-join of documents by prefix filter and prefix tree.
 
-A document is the set of its distinct word n-grams, as 64-bit hashes. The global
-order of n-grams is ascending document frequency, then hash. Two sets of Jaccard
+A document is the set of its distinct word n-grams, as hashes of 40 bits and a
+partition's number. The global order of n-grams is ascending document frequency,
+then hash. Two sets of Jaccard
 similarity t or more share an n-gram among the first n - ceil(t n) + 1 of either,
 so only those lead to candidates, and a set that has that many n-grams of its
-own has no partner at all. Frequencies are exact, over all documents.
+own has no partner at all. Frequencies cover all documents.
 
 How the work is laid out (every step is one packed exchange, nothing is sent to
 the driver or broadcast):
 
-1. the sets go to partitions by n-gram, which count frequencies;
+1. the sets go to partitions by n-gram, which count frequencies; of an n-gram
+   that many documents of a slice share only its number is sent there;
 2. n-grams of frequency 2 and more go back to partitions by document, which
    order them and find the documents that may have a partner;
 3. their prefixes go to partitions by n-gram, which find candidate neighbours;
@@ -21,13 +23,18 @@ the driver or broadcast):
 
 Documents with equal sets are one entry of the join throughout. Only n-grams of
 frequency 2 and more can be shared, so overlaps counted on those are exact.
+
+Where only groups are wanted (representatives), steps 3 to 5 run twice: first
+each n-gram proposes pairs of its documents with one of them, the pivot, and
+then all pairs of documents that aren't in one group yet. A cluster of copies
+thus costs as much as it has members, and not as many pairs as there are in it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text, util
@@ -89,26 +96,45 @@ def _grouped(owner: np.ndarray):
     return owner[at], np.diff(np.concatenate([at, [len(owner)]]))
 
 
+#: Documents of a slice that share an n-gram from which on it is counted here and not at its partition.
+HOT = 16
+
+
+def _hot(g: np.ndarray) -> np.ndarray:
+    """Which of the n-grams occur HOT times or more."""
+    slot = (g & np.uint64(0xFFFFF)).astype(np.int64)
+    maybe = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= HOT)
+    hot = np.zeros(len(g), np.bool_)
+    if len(maybe):
+        _, inverse, count = np.unique(g[maybe], return_inverse=True, return_counts=True)
+        hot[maybe] = count[inverse] >= HOT
+    return hot
+
+
 def _send_sets(batches, n: int, parts: int):
     for batch in batches:
         for at, column in text.slices(batch.column("text")):
             grams, first = text.row_sets(*text.ngrams(text.Words(column), n))
             size = np.diff(first)
             sig = signatures(grams, first)
-            ids = batch.column("id").slice(at, len(column)).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, marks = (batch.column(c).slice(at, len(column)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "mark"))
             has = np.flatnonzero(size > 0)
             rows = []
             home = (sig[has] % np.uint64(parts)).astype(np.int64)
             order, cut = _by_part(home, parts)
             for p in np.flatnonzero(np.diff(cut)).tolist():
                 k = has[order[cut[p] : cut[p + 1]]]
-                rows.append((p, 0, 0, sig[k].tobytes(), size[k].astype(np.uint32).tobytes(), ids[k].tobytes(), b""))
+                rows.append((p, 0, 0, sig[k].tobytes(), size[k].astype(np.uint32).tobytes(), ids[k].tobytes(), marks[k].tobytes()))
             _, once = np.unique(sig[has], return_index=True)
             mine = np.zeros(len(size), np.bool_)
             mine[has[once]] = True
             doc = np.repeat(np.arange(len(size)), size)
             keep = mine[doc]
             g, doc = grams[keep], doc[keep]
+            hot = _hot(g)
+            if hot.any():
+                rows += _send_hot(g[hot], doc[hot], sig, parts)
+                g, doc = g[~hot], doc[~hot]
             part = _bucket(g, parts).astype(np.int64)
             order, cut = _by_part(part, parts)
             g, doc = _five(g[order]), doc[order]
@@ -120,6 +146,34 @@ def _send_sets(batches, n: int, parts: int):
                 yield _rows(rows, _PACK_NAMES, _TYPES)
 
 
+def _send_hot(g: np.ndarray, doc: np.ndarray, sig: np.ndarray, parts: int) -> list[tuple]:
+    """Messages of n-grams counted in the slice: (3) to documents, which n-grams they have; (4) to an n-gram's partition, its number here and the partitions that ask for its frequency."""
+    part = _bucket(g, parts).astype(np.int64)
+    name = (g & _LOW) | (part.astype(np.uint64) << np.uint64(40))
+    home = (sig[doc] % np.uint64(parts)).astype(np.int64)
+    rows = []
+    order = np.lexsort((doc, home))
+    cut = np.searchsorted(home[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        k = order[cut[p] : cut[p + 1]]
+        owner, count = _grouped(doc[k])
+        rows.append((p, 3, 0, sig[owner].tobytes(), b"", count.astype(np.uint32).tobytes(), name[k].tobytes()))
+    order = np.lexsort((home, name))
+    name, home = name[order], home[order]
+    one, count = _grouped(name)
+    ask = np.ones(len(name), np.bool_)
+    ask[1:] = (name[1:] != name[:-1]) | (home[1:] != home[:-1])
+    asks = np.add.reduceat(ask, np.cumsum(count) - count)
+    to = (one >> np.uint64(40)).astype(np.int64)
+    cut = np.searchsorted(to, np.arange(parts + 1))
+    bounds, home = np.concatenate([[0], np.cumsum(asks)]), home[ask].astype(np.uint32)
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        a, b = cut[p], cut[p + 1]
+        head = np.stack([count[a:b], asks[a:b]], 1).astype(np.uint32)
+        rows.append((p, 4, 0, b"", head.tobytes(), home[bounds[a] : bounds[b]].tobytes(), _five(one[a:b]).tobytes()))
+    return rows
+
+
 def _cat(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype)
 
@@ -127,54 +181,81 @@ def _cat(column, dtype) -> np.ndarray:
 def _count(batches, parts: int):
     """By n-gram: drop those of one document, send the others back with their frequency."""
     sigs, counts, grams = [], [], []
+    hot: list[tuple] = []
     src = 0
     for b in batches:
         rows = b.to_pydict()
         passed = []
         for i, kind in enumerate(rows["kind"]):
             src = rows["part"][i]
-            if kind == 0:
+            if kind in (0, 3):
                 passed.append(tuple(rows[k][i] for k in _PACK_NAMES))
+            elif kind == 4:
+                hot.append((_unfive(rows["gram"][i]), np.frombuffer(rows["num"][i], np.uint32).reshape(-1, 2), np.frombuffer(rows["cnt"][i], np.uint32)))
             else:
                 sigs.append(rows["sig"][i])
                 counts.append(rows["cnt"][i])
                 grams.append(_unfive(rows["gram"][i]))
         if passed:
             yield _rows(passed, _PACK_NAMES, _TYPES)
-    if not sigs:
-        return
-    sig, own = np.unique(_cat(sigs, np.uint64), return_inverse=True)
-    doc = np.repeat(own.astype(np.uint32), _cat(counts, np.uint32))
-    g = np.concatenate(grams)
-    del grams
-    if len(sig) < 1 << 24:
-        key = np.unique((g << np.uint64(24)) | doc.astype(np.uint64))
-        g, doc = key >> np.uint64(24), (key & np.uint64((1 << 24) - 1)).astype(np.int64)
-        del key
-    else:
-        order = np.lexsort((doc, g))
-        g, doc = g[order], doc[order].astype(np.int64)
-        fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])
-        g, doc = g[fresh], doc[fresh]
-    _, run = _grouped(g)
-    df = np.repeat(run, run)
-    shared = df > 1
-    g, doc, df = g[shared], doc[shared], np.minimum(df[shared], 65535).astype(np.uint16)
-    order = np.argsort(doc, kind="stable")
-    g, doc, df = g[order], doc[order], df[order]
-    back = (sig % np.uint64(parts)).astype(np.int64)
-    order, cut = _by_part(back[doc], parts)
-    g, doc, df = _five(g[order]), doc[order], df[order]
-    rows = []
-    for p in np.flatnonzero(np.diff(cut)).tolist():
-        a, b = cut[p], cut[p + 1]
-        owner, count = _grouped(doc[a:b])
-        rows.append((p, 2, src, sig[owner].tobytes(), df[a:b].tobytes(), count.astype(np.uint32).tobytes(), g[a:b].tobytes()))
-    if rows:
-        yield _rows(rows, _PACK_NAMES, _TYPES)
+    g, doc = np.empty(0, np.uint64), np.empty(0, np.int64)
+    if sigs:
+        sig, own = np.unique(_cat(sigs, np.uint64), return_inverse=True)
+        doc = np.repeat(own.astype(np.uint32), _cat(counts, np.uint32))
+        g = np.concatenate(grams)
+        del grams
+        if len(sig) < 1 << 24:
+            key = np.unique((g << np.uint64(24)) | doc.astype(np.uint64))
+            g, doc = key >> np.uint64(24), (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+            del key
+        else:
+            order = np.lexsort((doc, g))
+            g, doc = g[order], doc[order].astype(np.int64)
+            fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])
+            g, doc = g[fresh], doc[fresh]
+    one, run = _grouped(g)
+    out: list[tuple] = []
+    if hot:
+        name, total, ask = _hot_counts(hot)
+        # what other slices sent document by document counts too, and the other way round
+        if len(one):
+            at = np.minimum(np.searchsorted(one, name), len(one) - 1)
+            both = one[at] == name
+            total[both] += run[at[both]]
+            run[at[both]] = total[both]
+        which, home = ask
+        order, cut = _by_part(home, parts)
+        which = which[order]
+        for p in np.flatnonzero(np.diff(cut)).tolist():
+            k = which[cut[p] : cut[p + 1]]
+            out.append((p, 5, src, b"", np.minimum(total[k], 65535).astype(np.uint16).tobytes(), b"", _five(name[k]).tobytes()))
+    if len(g):
+        df = np.repeat(run, np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), [len(g)]])))
+        shared = df > 1
+        g, doc, df = g[shared], doc[shared], np.minimum(df[shared], 65535).astype(np.uint16)
+        order = np.argsort(doc, kind="stable")
+        g, doc, df = g[order], doc[order], df[order]
+        back = (sig % np.uint64(parts)).astype(np.int64)
+        order, cut = _by_part(back[doc], parts)
+        g, doc, df = _five(g[order]), doc[order], df[order]
+        for p in np.flatnonzero(np.diff(cut)).tolist():
+            a, b = cut[p], cut[p + 1]
+            owner, count = _grouped(doc[a:b])
+            out.append((p, 2, src, sig[owner].tobytes(), df[a:b].tobytes(), count.astype(np.uint32).tobytes(), g[a:b].tobytes()))
+    if out:
+        yield _rows(out, _PACK_NAMES, _TYPES)
+
+
+def _hot_counts(hot: list[tuple]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, their numbers added up, (n-gram, partition) that ask)."""
+    gram, head, home = (np.concatenate([h[k] for h in hot]) for k in range(3))
+    name, inverse = np.unique(gram, return_inverse=True)
+    total = np.bincount(inverse, weights=head[:, 0], minlength=len(name)).astype(np.int64)
+    ask = np.unique((np.repeat(inverse, head[:, 1]).astype(np.uint64) << np.uint64(32)) | home.astype(np.uint64))
+    return name, total, ((ask >> np.uint64(32)).astype(np.int64), (ask & np.uint64(0xFFFFFFFF)).astype(np.int64))
 
 
-_SETS = "sig bigint, size int, own int, ids array<bigint>, df binary, gram binary"
+_SETS = "sig bigint, size int, own int, ids array<bigint>, marks array<bigint>, df binary, gram binary"
 
 
 def _order(batches, threshold: float):
@@ -187,24 +268,34 @@ def _order(batches, threshold: float):
     at = np.flatnonzero(kinds == 0).tolist()
     sig = _cat([rows["sig"][i] for i in at], np.uint64)
     size = _cat([rows["num"][i] for i in at], np.uint32)
-    ids = _cat([rows["cnt"][i] for i in at], np.int64)
-    order = np.lexsort((ids, sig))
-    sig, size, ids = sig[order], size[order].astype(np.int64), ids[order]
+    ids, marks = (_cat([rows[c][i] for i in at], np.int64) for c in ("cnt", "gram"))
+    order = np.lexsort((marks, ids, sig))
+    sig, size, ids, marks = sig[order], size[order].astype(np.int64), ids[order], marks[order]
     fresh = np.ones(len(sig), np.bool_)
-    fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
-    sig, size, ids = sig[fresh], size[fresh], ids[fresh]
+    fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
+    sig, size, ids, marks = sig[fresh], size[fresh], ids[fresh], marks[fresh]
     one, runs = _grouped(sig)
     bounds = np.concatenate([[0], np.cumsum(runs)])
     size = size[bounds[:-1]]
-    at = np.flatnonzero(kinds == 2).tolist()
-    src = [rows["src"][i] for i in at]
-    got = [_unfive(rows["gram"][i]) for i in at]
-    gram = np.concatenate([g | (np.uint64(s) << np.uint64(40)) for g, s in zip(got, src, strict=True)]) if got else np.empty(0, np.uint64)
-    df = _cat([rows["num"][i] for i in at], np.uint16)
-    doc = np.searchsorted(one, np.repeat(_cat([rows["sig"][i] for i in at], np.uint64), _cat([rows["cnt"][i] for i in at], np.uint32)))
-    del rows, table, got
+    named: dict[int, np.ndarray] = {}
+    for kind in (2, 5):
+        named[kind] = np.concatenate([np.empty(0, np.uint64), *(_unfive(rows["gram"][i]) | (np.uint64(rows["src"][i]) << np.uint64(40)) for i in np.flatnonzero(kinds == kind).tolist())])
+    at, hot, often = (np.flatnonzero(kinds == kind).tolist() for kind in (2, 3, 5))
+    gram, df = named[2], _cat([rows["num"][i] for i in at], np.uint16)
+    owner = np.repeat(_cat([rows["sig"][i] for i in at], np.uint64), _cat([rows["cnt"][i] for i in at], np.uint32))
+    if hot:
+        table_df = _cat([rows["num"][i] for i in often], np.uint16)
+        order = np.argsort(named[5])
+        more = _cat([rows["gram"][i] for i in hot], np.uint64)
+        gram, df = np.concatenate([gram, more]), np.concatenate([df, table_df[order[np.searchsorted(named[5], more, sorter=order)]]])
+        owner = np.concatenate([owner, np.repeat(_cat([rows["sig"][i] for i in hot], np.uint64), _cat([rows["cnt"][i] for i in hot], np.uint32))])
+    doc = np.searchsorted(one, owner)
+    del rows, table, named, owner
     order = np.lexsort((gram, (doc.astype(np.int64) << 16) | df))
     gram, df, doc = gram[order], df[order], doc[order]
+    fresh = np.ones(len(gram), np.bool_)  # copies in several slices bring an n-gram both ways
+    fresh[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
+    gram, df, doc = gram[fresh], df[fresh], doc[fresh]
     shared = np.bincount(doc, minlength=len(one))
     lo = np.concatenate([[0], np.cumsum(shared)])
     own = size - shared
@@ -217,10 +308,11 @@ def _order(batches, threshold: float):
                 pa.array(size[a : a + 2000].astype(np.int32)),
                 pa.array(own[a : a + 2000].astype(np.int32)),
                 pa.array([ids[bounds[i] : bounds[i + 1]] for i in some], pa.list_(pa.int64())),
+                pa.array([marks[bounds[i] : bounds[i + 1]] for i in some], pa.list_(pa.int64())),
                 pa.array([df[lo[i] : lo[i + 1]].tobytes() if may[i] else None for i in some], pa.binary()),
                 pa.array([gram[lo[i] : lo[i + 1]].tobytes() if may[i] else None for i in some], pa.binary()),
             ],
-            ["sig", "size", "own", "ids", "df", "gram"],
+            ["sig", "size", "own", "ids", "marks", "df", "gram"],
         )
 
 
@@ -228,7 +320,7 @@ def _send_prefixes(batches, threshold: float, parts: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = batch.column("sig").to_numpy().view(np.uint64)
+        sig, label = (batch.column(c).to_numpy().view(np.uint64) for c in ("sig", "label"))
         size = batch.column("size").to_numpy().astype(np.int64)
         own = batch.column("own").to_numpy().astype(np.int64)
         take = prefix_length(size, threshold) - own
@@ -244,7 +336,9 @@ def _send_prefixes(batches, threshold: float, parts: int):
             a, b = cut[p], cut[p + 1]
             owner, run = _grouped(doc[a:b])
             head = np.stack([size[owner], run], 1).astype(np.uint32)
-            rows.append((p, 0, 0, sig[owner].tobytes(), head.tobytes(), pos[a:b].tobytes(), g[a:b].tobytes()))
+            # a document that is in no group yet is its own label
+            names = sig[owner].tobytes() + (b"" if (label[owner] == sig[owner]).all() else label[owner].tobytes())
+            rows.append((p, 0, 0, names, head.tobytes(), pos[a:b].tobytes(), g[a:b].tobytes()))
         yield _rows(rows, _PACK_NAMES, _TYPES)
 
 
@@ -277,18 +371,81 @@ def candidates(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndar
     return (pairs // docs).astype(np.int64), (pairs % docs).astype(np.int64)
 
 
-def _neighbours(batches, threshold: float, parts: int):
+def _may(d, e, rest_d, rest_e, size, threshold: float) -> np.ndarray:
+    """Which pairs of documents that share an n-gram are near enough in size and have enough n-grams left after it."""
+    n, m = size[d], size[e]
+    return (d != e) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (1 + np.minimum(rest_d, rest_e) >= least_overlap(n, m, threshold))
+
+
+def pivots(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each document with the least one among those that share an n-gram with it and are of its class of size."""
+    # sizes of one class differ by no more than the threshold allows
+    class_of = np.floor(np.log(size) / -np.log(threshold)).astype(np.int64) if threshold < 1 else size
+    order = np.lexsort((doc, class_of[doc], gram))
+    g, d, p = gram[order], doc[order].astype(np.int64), pos[order].astype(np.int64)
+    c, rest = class_of[d], size[d] - p - 1
+    head = np.ones(len(g), np.bool_)
+    head[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+    at = np.flatnonzero(head)
+    first = np.repeat(at, np.diff(np.concatenate([at, [len(g)]])))
+    ok = _may(d[first], d, rest[first], rest, size, threshold)
+    pairs = np.unique(d[first][ok].astype(np.uint64) * np.uint64(len(size)) + d[ok].astype(np.uint64))
+    return (pairs // np.uint64(len(size))).astype(np.int64), (pairs % np.uint64(len(size))).astype(np.int64)
+
+
+def across(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarray, label: np.ndarray, threshold: float, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """As candidates, but only pairs of documents of different labels; others aren't gone through."""
+    order = np.lexsort((label[doc], gram))
+    g, d, p = gram[order], doc[order].astype(np.int64), pos[order].astype(np.int64)
+    rest, lab = size[d] - p - 1, label[d]
+    n = len(g)
+    new = np.ones(n, np.bool_)
+    new[1:] = g[1:] != g[:-1]
+    fresh = new.copy()
+    fresh[1:] |= lab[1:] != lab[:-1]
+
+    def ends(begin):
+        at = np.flatnonzero(begin)
+        return np.repeat(np.concatenate([at[1:], [n]]), np.diff(np.concatenate([at, [n]])))
+
+    own = ends(fresh)
+    many = ends(new) - own  # the documents of the run behind those of one's own label
+    total = np.cumsum(many)
+    docs, found, at = np.uint64(len(size)), [np.empty(0, np.uint64)], 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        k = np.arange(at, end)
+        i = np.repeat(k, many[k])
+        j = np.repeat(own[k], many[k]) + util.ranges(many[k])
+        ok = _may(d[i], d[j], rest[i], rest[j], size, threshold)
+        x, y = d[i[ok]].astype(np.uint64), d[j[ok]].astype(np.uint64)
+        found = [np.unique(np.concatenate([*found, np.minimum(x, y) * docs + np.maximum(x, y)]))]
+        at = end
+    return (found[0] // docs).astype(np.int64), (found[0] % docs).astype(np.int64)
+
+
+def _neighbours(batches, threshold: float, parts: int, how: str):
     table = util.gather(batches)
     if table is None:
         return
     rows = table.to_pydict()
-    sig, own = np.unique(_cat(rows["sig"], np.uint64), return_inverse=True)
-    head = _cat(rows["num"], np.uint32).reshape(-1, 2).astype(np.int64)
+    heads = [np.frombuffer(h, np.uint32).reshape(-1, 2).astype(np.int64) for h in rows["num"]]
+    names = [np.frombuffer(x, np.uint64) for x in rows["sig"]]
+    sig, own = np.unique(np.concatenate([x[: len(h)] for x, h in zip(names, heads, strict=True)]).view(np.int64), return_inverse=True)
+    sig, head = sig.view(np.uint64), np.concatenate(heads)  # in the order that _homes has
     size = np.zeros(len(sig), np.int64)
     size[own] = head[:, 0]
     doc = np.repeat(own, head[:, 1])
     gram = np.concatenate([_unfive(g) for g in rows["gram"]])
-    a, b = candidates(gram, doc, _cat(rows["cnt"], np.uint32), size, threshold)
+    pos = _cat(rows["cnt"], np.uint32)
+    if how == "all":
+        a, b = candidates(gram, doc, pos, size, threshold)
+    elif how == "pivots":
+        a, b = pivots(gram, doc, pos, size, threshold)
+    else:
+        label = np.zeros(len(sig), np.uint64)
+        label[own] = np.concatenate([x[-len(h) :] for x, h in zip(names, heads, strict=True)])
+        a, b = across(gram, doc, pos, size, label, threshold)
     if not len(a):
         return
     x, y = np.concatenate([a, b]), np.concatenate([b, a])
@@ -317,7 +474,11 @@ def _numbers(width: int, raw: bytes, run: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[begin] - step[begin], run)
 
 
-def _homes(batches):
+#: Documents that come to one home in a group, where only groups are wanted.
+HOME_DOCS = 4096
+
+
+def _homes(batches, split: bool = False):
     table = util.gather(batches)
     if table is None:
         return
@@ -332,8 +493,17 @@ def _homes(batches):
     home = np.minimum.reduceat(least, np.cumsum(run) - run)
     up = y > x  # only pairs (x, larger) are reported at x's home
     at, who, mine = np.repeat(home, run)[up], y[up], np.zeros(int(up.sum()), np.bool_)
-    uses = np.add.reduceat(up, np.cumsum(run) - run) > 0
-    at, who, mine = np.concatenate([at, home[uses]]), np.concatenate([who, owner[uses]]), np.concatenate([mine, np.ones(int(uses.sum()), np.bool_)])
+    if split:
+        # a document of very many neighbours meets them in several places; a pair may then be found twice
+        piece = (util.ranges(run) // HOME_DOCS)[up].astype(np.uint64)
+        at = np.where(piece > 0, text.mix(at.view(np.uint64) + piece * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), at)
+        own = np.repeat(owner, run)[up]
+        mark = np.ones(len(at), np.bool_)
+        mark[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1])
+        at, who, mine = np.concatenate([at, at[mark]]), np.concatenate([who, own[mark]]), np.concatenate([mine, np.ones(int(mark.sum()), np.bool_)])
+    else:
+        uses = np.add.reduceat(up, np.cumsum(run) - run) > 0
+        at, who, mine = np.concatenate([at, home[uses]]), np.concatenate([who, owner[uses]]), np.concatenate([mine, np.ones(int(uses.sum()), np.bool_)])
     order = np.lexsort((~mine, who, at))
     at, who, mine = at[order], who[order], mine[order]
     fresh = np.concatenate([[True], (at[1:] != at[:-1]) | (who[1:] != who[:-1])]) if len(at) else np.empty(0, np.bool_)
@@ -451,33 +621,21 @@ def trie_join(sets: list[np.ndarray], freq: list[np.ndarray], size: np.ndarray,
 _FOUND = "a array<bigint>, b array<bigint>, overlap int, either int"
 
 
-def _join(batches, threshold: float, forest: bool):
+def _at_home(rows: pa.Table, threshold: float):
+    sig = rows.column("sig").to_numpy()
+    sets = [np.frombuffer(g.as_buffer(), np.uint64) for c in rows.column("gram").chunks for g in c]
+    freq = [np.frombuffer(g.as_buffer(), np.uint16) for c in rows.column("df").chunks for g in c]
+    size = rows.column("size").to_numpy().astype(np.int64)
+    return sig, size, trie_join(sets, freq, size, rows.column("mine").to_numpy(zero_copy_only=False), sig, threshold)
+
+
+def _join(batches, threshold: float):
     held: list[tuple] = []
     for rows in util.runs_of(batches, "home"):
         if rows.num_rows < 2:
             continue
-        sig = rows.column("sig").to_numpy()
-        sets = [np.frombuffer(g.as_buffer(), np.uint64) for c in rows.column("gram").chunks for g in c]
-        freq = [np.frombuffer(g.as_buffer(), np.uint16) for c in rows.column("df").chunks for g in c]
-        size = rows.column("size").to_numpy().astype(np.int64)
-        found = trie_join(sets, freq, size, rows.column("mine").to_numpy(zero_copy_only=False), sig, threshold)
+        _, size, found = _at_home(rows, threshold)
         ids = rows.column("ids").to_pylist()
-        if forest:
-            root = list(range(len(ids)))
-
-            def top(i, root=root):
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            tree = []
-            for x, y, c in found:
-                a, b = top(x), top(y)
-                if a != b:
-                    root[a] = b
-                    tree.append((x, y, c))
-            found = tree
         held += [(ids[x], ids[y], c, int(size[x] + size[y] - c)) for x, y, c in found]
         if len(held) > 20_000:
             yield _rows(held, ["a", "b", "overlap", "either"], [pa.list_(pa.int64())] * 2 + [pa.int32()] * 2)
@@ -486,20 +644,50 @@ def _join(batches, threshold: float, forest: bool):
         yield _rows(held, ["a", "b", "overlap", "either"], [pa.list_(pa.int64())] * 2 + [pa.int32()] * 2)
 
 
-def _found(docs: DataFrame, n: int, threshold: float, forest: bool, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(sets of equal documents, pairs of sets)"""
-    spark = docs.sparkSession
-    parts = util.parts(spark)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+def _forest(batches, threshold: float):
+    """Edges (u, v) between sets that connect what the pairs at a home connect, and no more of them."""
+    for rows in util.runs_of(batches, "home"):
+        if rows.num_rows < 2:
+            continue
+        sig, _, found = _at_home(rows, threshold)
+        root = list(range(len(sig)))
+
+        def top(i, root=root):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        tree = []
+        for x, y, _ in found:
+            a, b = top(x), top(y)
+            if a != b:
+                root[a] = b
+                tree.append((int(sig[x]), int(sig[y])))
+        if tree:
+            yield _rows(tree, ["u", "v"], [pa.int64()] * 2)
+
+
+def _sets(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """The distinct n-gram sets, with the rows (identifier and hash of the text) that have them."""
+    parts = util.parts(docs.sparkSession)
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").withColumn("mark", _mark(F.col("text")))
     sent = util.exchange(slim.mapInArrow(util.frugal(lambda b: _send_sets(b, n, parts)), _PACK))
     counted = util.exchange(sent.mapInArrow(util.frugal(lambda b: _count(b, parts)), _PACK))
-    sets = util.spool(counted.mapInArrow(util.frugal(lambda b: _order(b, threshold)), _SETS), "sets")
-    may = sets.where("gram IS NOT NULL")
-    entries = util.exchange(may.select("sig", "size", "own", "gram").mapInArrow(util.frugal(lambda b: _send_prefixes(b, threshold, parts)), _PACK))
-    near = util.exchange(entries.mapInArrow(util.frugal(lambda b: _neighbours(b, threshold, parts)), _PACK))
-    homes = near.mapInArrow(util.frugal(_homes), "sig bigint, home bigint, mine boolean").groupBy("sig", "home").agg(F.max("mine").alias("mine"))
-    meet = homes.join(may.select("sig", "size", "ids", "df", "gram"), "sig").repartition(parts, "home").sortWithinPartitions("home")
-    return sets, meet.mapInArrow(util.frugal(lambda b: _join(b, threshold, forest)), _FOUND)
+    return util.spool(counted.mapInArrow(util.frugal(lambda b: _order(b, threshold)), _SETS), "sets")
+
+
+def _mark(t) -> Column:
+    return F.xxhash64(F.lit("near"), t.cast("string"))
+
+
+def _meet(may: DataFrame, labels: DataFrame, threshold: float, how: str) -> DataFrame:
+    """Sets at the homes where they are compared; may: sets that may have a partner, labels: (sig, label)."""
+    parts = util.parts(may.sparkSession)
+    entries = util.exchange(labels.select("sig", "label", "size", "own", "gram").mapInArrow(util.frugal(lambda b: _send_prefixes(b, threshold, parts)), _PACK))
+    near = util.exchange(entries.mapInArrow(util.frugal(lambda b: _neighbours(b, threshold, parts, how)), _PACK))
+    homes = near.mapInArrow(util.frugal(lambda b: _homes(b, how != "all")), "sig bigint, home bigint, mine boolean").groupBy("sig", "home").agg(F.max("mine").alias("mine"))
+    return homes.join(may.select("sig", "size", "ids", "df", "gram") if how == "all" else may.select("sig", "size", "df", "gram"), "sig").repartition(parts, "home").sortWithinPartitions("home")
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -507,10 +695,17 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str
 
     A text of 1 to n - 1 words has one n-gram, all its words. Null texts, texts
     without words and rows without identifier match nothing. A row repeated whole
-    counts once; copies of a text are pairs of similarity 1. An empty table gives
-    no rows; columns other than the two named are not looked at.
+    counts once; copies of a text are pairs of similarity 1; an identifier of
+    several texts is paired for each of them, but not with itself. A very long
+    text is a larger set. Ties at the threshold are pairs. An empty table gives
+    no rows; columns other than the two named, whatever their names, are not
+    looked at. N-grams are compared by hashes of 40 bits and a partition's
+    number and equal sets by 64 bits, so that a similarity may be off by one
+    n-gram in some 10**12 comparisons of two.
     """
-    sets, found = _found(docs, n, threshold, False, id_col, text_col)
+    sets = _sets(docs, n, threshold, id_col, text_col).withColumn("ids", F.array_distinct("ids"))
+    may = sets.where("gram IS NOT NULL")
+    found = _meet(may, may.withColumn("label", F.col("sig")), threshold, "all").mapInArrow(util.frugal(lambda b: _join(b, threshold)), _FOUND)
     pairs = found.select(F.explode("a").alias("x"), "b", (F.col("overlap") / F.col("either")).alias("jaccard")).select("x", F.explode("b").alias("y"), "jaccard")
     same = sets.where("size(ids) > 1").select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).where("x < y").withColumn("jaccard", F.lit(1.0))
     both = pairs.where("x <> y").unionByName(same)
@@ -520,34 +715,54 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node each node of edges (u, v) is connected to, by alternating large-star and small-star steps.
 
+    A node's neighbours are never listed in one row: the least of them is found
+    by an aggregation and joined back, where Spark splits the partition of a hub.
     Each step is spooled; the number of steps grows with the logarithm of the longest chain.
     """
     edges = util.spool(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        star = both.groupBy("u").agg(F.min("v").alias("m"), F.collect_list("v").alias("vs")).withColumn("m", F.least("u", "m"))
-        large = star.select("m", F.explode(F.filter("vs", lambda v: v > F.col("u"))).alias("u")).select("u", F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        star = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_list("v").alias("vs"))
-        small = star.select("m", F.explode(F.concat("vs", F.array("u"))).alias("u")).where("u <> m").select("u", F.col("m").alias("v")).distinct()
-        edges = util.spool(small, "edges")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = util.spool(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = util.spool(small.where("u <> v").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
 
 
+def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(root, id, mark): rows that chains of near pairs link to another, as identifier and hash of the text, and the name of their group."""
+    sets = _sets(docs, n, threshold, id_col, text_col)
+    may = sets.where("gram IS NOT NULL")
+    step = lambda labels, how: _meet(may, labels, threshold, how).mapInArrow(util.frugal(lambda b: _forest(b, threshold)), "u bigint, v bigint")
+    first = components(step(may.withColumn("label", F.col("sig")), "pivots"))
+    labels = may.join(first.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("root", "sig"))
+    second = util.spool(step(labels, "across"), "across")
+    whole = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second)) if not second.isEmpty() else first
+    whole = whole.unionByName(whole.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "sig")
+    rows = sets.select("sig", "ids", "marks").join(whole, "sig", "left").where("root IS NOT NULL OR size(ids) > 1")
+    return rows.select(F.coalesce("root", "sig").alias("root"), F.explode(F.arrays_zip("ids", "marks")).alias("r")).select("root", F.col("r.ids").alias("id"), F.col("r.marks").alias("mark"))
+
+
 def representatives(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs but for those that a chain of near pairs links to a smaller identifier; all columns stay.
+    """Of each group that chains of near pairs link, the row of the smallest identifier; all columns of docs stay.
 
-    Rows that match nothing (see join) are kept.
+    Rows are told apart by identifier and text: where an identifier has several
+    texts, only the text that is in the group goes, and of two texts of the
+    smallest identifier one stays. Rows that match nothing (see join: null
+    texts, texts without words, null identifiers) are kept, and so are all
+    repetitions of a row that stays. A very long text is like others; an empty table stays empty.
     """
-    sets, found = _found(docs, n, threshold, True, id_col, text_col)
-    edges = found.select(F.array_min("a").alias("u"), F.array_min("b").alias("v"))
-    same = sets.where("size(ids) > 1").select(F.explode("ids").alias("u"), F.array_min("ids").alias("v"))
-    drop = util.small_side(util.spool(components(edges.unionByName(same)).select(F.col("node").alias("__drop")), "near"), 16)
-    return docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
+    rows = util.spool(groups(docs, n, threshold, id_col, text_col), "groups")
+    keep = rows.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("keep"))
+    drop = rows.join(keep, "root").where("struct(id, mark) <> keep").select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    both = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", _mark(F.col(text_col)))
+    return util.without(both, util.spool(drop, "near"), ["__id", "__mark"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,20 +139,97 @@ def test_near(spark, n, threshold, clash):
     df = frame(spark, rows, clash)
     want = near_pairs(rows, n, threshold)
     assert rows_of(ngram_join.join(df, n, threshold)) == want
-    parent = {i: i for i, *_ in rows if i is not None}
-
-    def top(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a, b, _ in want:
-        x, y = sorted((top(a), top(b)))
-        parent[y] = x
     kept = ngram_join.representatives(df, n, threshold)
     assert kept.columns == df.columns
-    got = {r.doc_id for r in kept.collect()}
-    assert got == {i for i in parent if top(i) == i} | {None}
+    assert rows_of(kept.select("doc_id", "text")) == near_kept(rows, n, threshold)
+
+
+def near_kept(rows, n, threshold):
+    """The rows that stay, by comparing all pairs of (identifier, text)."""
+    sets = {(i, t): grams(t, n) for i, t, *_ in rows if i is not None}
+    items = list(sets)
+    parent = {r: r for r in items}
+
+    def top(r):
+        while parent[r] != r:
+            r = parent[r]
+        return r
+
+    for k, x in enumerate(items):
+        for y in items[k + 1 :]:
+            if sets[x] and sets[y] and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= threshold - 1e-12:
+                parent[top(y)] = top(x)
+    members = defaultdict(list)
+    for r in items:
+        members[top(r)].append(r)
+    stay = {min(m, key=lambda r: r[0]) for m in members.values()}
+    return sorted([(i, t) for i, t, *_ in rows if i is None or (i, t) in stay], key=repr)
+
+
+def test_near_by_identifier_and_text(spark):
+    x, y, z = "a b c d e f g h", "m n o p q r s t", "u v w x y z aa bb"
+    rows = [(i, t, "en", "s", 1) for i, t in ((1, x), (2, x), (2, y), (3, z), (3, z), (4, y + " more"), (5, None), (2, None))]
+    kept = ngram_join.representatives(frame(spark, rows, True))
+    assert rows_of(kept.select("doc_id", "text")) == sorted([(1, x), (2, y), (3, z), (3, z), (5, None), (2, None)], key=repr) == near_kept(rows, 5, 0.35)
+
+
+def test_near_groups_at_random(spark):
+    rng = random.Random(17)
+    for seed in range(3):
+        base = [[f"w{rng.randrange(60)}" for _ in range(40)] for _ in range(6)]
+        rows = []
+        for i in range(150):
+            w = list(rng.choice(base))
+            for _ in range(rng.choice([0, 1, 3, 8, 20])):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(60)}"
+            rows.append((rng.randrange(120), " ".join(w[: rng.choice([40, 40, 25, 60])]), "en", "s", i))
+        rows = list({r[:2]: r for r in rows}.values())
+        got = {(r.doc_id, r.text) for r in ngram_join.representatives(frame(spark, rows), 3, 0.5).collect()}
+        want = {*near_kept(rows, 3, 0.5)}
+        # of two texts of the smallest identifier in a group either may stay
+        assert {i for i, _ in got} == {i for i, _ in want} and len(got) == len(want)
+
+
+def test_common_ngrams_are_counted_where_they_are(spark, monkeypatch):
+    rows = [(i, "this phrase is in every one of them " + f"a{i} b{i} c{i // 2} d{i // 2} e{i // 2} f{i // 2} g{i // 2} h{i // 2} i{i // 2}", "en", "s", i) for i in range(300)]
+    rows += [(1000 + i, rows[i][1], "en", "s", i + 300) for i in range(0, 40, 7)]
+    df = frame(spark, rows, parts=6)
+    assert rows_of(ngram_join.join(df, 3, 0.5)) == near_pairs(rows, 3, 0.5)
+    with_hot = ngram_join._hot(np.repeat(np.arange(5, dtype=np.uint64), [3, 15, 16, 17, 200]))
+    assert with_hot.sum() == 233
+
+
+def test_a_cluster_costs_what_it_has_members():
+    rng = np.random.default_rng(4)
+    pairs = []
+    for n in (2_000, 20_000):
+        # near copies: each lacks a few of 60 n-grams that all might have
+        has = rng.random((n, 60)) < 0.95
+        doc, gram = np.nonzero(has)
+        size = has.sum(1)
+        pos = np.cumsum(has, 1)[doc, gram] - 1
+        a, b = ngram_join.pivots(gram.astype(np.uint64), doc, np.minimum(pos, 20), size, 0.5)
+        pairs.append(len(a))
+        joined = np.arange(n)
+        for _ in range(8):
+            np.minimum.at(joined, a, joined[b])
+            np.minimum.at(joined, b, joined[a])
+        assert (joined == 0).all()
+        x, _ = ngram_join.across(gram.astype(np.uint64), doc, pos, size, np.zeros(n, np.int64), 0.5)
+        assert not len(x)
+    assert pairs[0] < 2_000 * 20 and pairs[1] < 20 * pairs[0]  # all pairs were a hundred times as many
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8), st.integers(0, 3)), min_size=1, max_size=25), st.sampled_from([1, 7, 4_000_000]))
+def test_pairs_across_labels(spec, most):
+    sets = [range(a, a + b + 1) for a, b, _ in spec]
+    gram, doc, pos = (np.array(c) for c in zip(*[(g, d, g - s[0]) for d, s in enumerate(sets) for g in s], strict=True))
+    size, label = np.array([len(s) for s in sets]), np.array([c for *_, c in spec])
+    a, b = ngram_join.candidates(gram.astype(np.uint64), doc, pos, size, 0.4)
+    want = {(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if label[x] != label[y]}
+    a, b = ngram_join.across(gram.astype(np.uint64), doc, pos, size, label, 0.4, most)
+    assert {*zip(a.tolist(), b.tolist(), strict=True)} == want
 
 
 def test_near_empty(spark):
