@@ -71,6 +71,7 @@ class Packet:
     data: bytes
     granule: int | None
     seconds: float | None
+    link: int = 0
 
 
 def opus_samples(packet: bytes) -> int:
@@ -82,8 +83,45 @@ def opus_samples(packet: bytes) -> int:
     return frame * (1, 2, 2, packet[1] & 63 if len(packet) > 1 else 0)[code]
 
 
+def flac_samples(packet: bytes) -> int:
+    """Block size in the header of a FLAC frame; 0 if it is none."""
+    if len(packet) < 5 or packet[0] != 0xFF or packet[1] & 0xFC != 0xF8:
+        return 0
+    code = packet[2] >> 4
+    if code == 1:
+        return 192
+    if 2 <= code <= 5:
+        return 576 << code - 2
+    if code >= 8:
+        return 256 << code - 8
+    if not code:
+        return 0
+    first = packet[4]  # the frame's or sample's number is coded like a UTF-8 character
+    at = 5 + (0 if first < 0x80 else 7 - (first ^ 0xFF).bit_length())
+    raw = packet[at : at + code - 5]
+    return int.from_bytes(raw, "big") + 1 if len(raw) == code - 5 else 0
+
+
+def vorbis_modes(setup: bytes) -> list[bool]:
+    """Whether each mode has long blocks, read from the end of the setup header: modes of 41 bits behind their number, before the framing bit."""
+    v = int.from_bytes(setup, "little")
+    top, found, best = v.bit_length() - 1, [], []
+    for n in range(1, 65):
+        low = top - 41 * n
+        if low < 6:
+            break
+        mode = v >> low & (1 << 41) - 1
+        if mode >> 1 & 0xFFFFFFFF or mode >> 33 > 63:
+            break
+        found.insert(0, bool(mode & 1))
+        if v >> low - 6 & 63 == n - 1:
+            best = list(found)
+    return best
+
+
 @dataclass(slots=True)
 class _Stream:
+    link: int = 0
     codec: str = "unknown"
     rate: float = 0
     skip: int = 0
@@ -93,6 +131,12 @@ class _Stream:
     open: bool = False
     expect: int | None = None
     number: int = 0
+    began: tuple[int, bytes] | None = None
+    pages: int = 0
+    frame: int = 0
+    blocks: tuple[int, int] = (0, 0)
+    modes: list[bool] = field(default_factory=list)
+    last: int = 0
 
     def begin(self, p: bytes) -> None:
         """Codec and clock from the first packet of the stream."""
@@ -101,11 +145,13 @@ class _Stream:
                 self.codec, self.rate, self.skip, self.headers = "opus", 48000, struct.unpack_from("<H", p, 10)[0], 2
             elif p.startswith(b"\x01vorbis"):
                 self.codec, self.rate, self.headers = "vorbis", struct.unpack_from("<I", p, 12)[0], 3
+                self.blocks = (1 << (p[28] & 15), 1 << (p[28] >> 4))
             elif p.startswith(b"\x7fFLAC"):
                 self.codec, self.rate = "flac", int.from_bytes(p[27:30], "big") >> 4
                 self.headers = 1 + struct.unpack_from(">H", p, 7)[0]
             elif p.startswith(b"Speex   "):
                 self.codec, self.rate, self.headers = "speex", struct.unpack_from("<I", p, 36)[0], 2
+                self.frame = struct.unpack_from("<I", p, 56)[0] * max(1, struct.unpack_from("<I", p, 64)[0])
             elif p.startswith(b"\x80theora"):
                 num, den = struct.unpack_from(">II", p, 22)
                 self.codec, self.rate, self.headers = "theora", num / den if den else 0, 3
@@ -115,37 +161,66 @@ class _Stream:
         except (struct.error, IndexError):
             self.codec = "unknown"
 
+    def samples(self, p: bytes) -> int:
+        """How much later than the packet before it a packet ends, in order of the stream; 0 if its codec doesn't say."""
+        if self.codec == "opus":
+            return opus_samples(p)
+        if self.codec == "flac":
+            return flac_samples(p)
+        if self.codec == "vorbis" and self.modes and p and not p[0] & 1:
+            mode = p[0] >> 1 & (1 << (len(self.modes) - 1).bit_length()) - 1
+            now = self.blocks[self.modes[mode]] if mode < len(self.modes) else 0
+            before, self.last = self.last, now
+            return (before + now) // 4 if before else 0
+        return self.frame
+
+    def frames(self, granule: int) -> int:
+        return (granule >> self.shift) + (granule & (1 << self.shift) - 1) if self.shift else granule
+
     def seconds(self, granule: int | None) -> float | None:
         if granule is None or granule < 0 or not self.rate:
             return None
-        if self.shift:
-            granule = (granule >> self.shift) + (granule & (1 << self.shift) - 1)
-        return max(0, granule - self.skip) / self.rate
+        return max(0, self.frames(granule) - self.skip) / self.rate
 
 
 def packets(data: bytes) -> tuple[list[Packet], dict[int | None, list[int]]]:
-    """(packets, {serial: [good pages, lost pages, lost packets]}); bad pages count under None, as their serial can't be trusted.
+    """(packets, {serial: [good pages, lost pages, lost packets, late pages]}); bad pages count under None, as their serial can't be trusted.
 
     A packet is the run of lacing values to the first below 255 and may span
     pages of its stream. Where a page is missing the packet in the making is
-    lost, and a continued page's first part with it. The granule position of a
-    page is that of the last packet that ends on it; Opus packets before it are
-    placed by their lengths. Headers are at zero.
+    lost, and a continued page's first part with it. A page behind the one
+    expected is a repetition or comes late; it counts as such and gives no
+    packets. A first page in the middle begins the stream anew: its packets have
+    the next link and are numbered from 0. The granule position of a
+    page is that of the last packet that ends on it; those before it are placed
+    by the lengths of Opus, FLAC, Vorbis and Speex packets, and Theora's, which
+    are a frame each, have only their seconds. Headers are at zero.
     """
     streams: dict[int, _Stream] = {}
     count: dict[int | None, list[int]] = {}
     out: list[Packet] = []
     for page in pages(data):
         if isinstance(page, int):
-            count.setdefault(None, [0, 0, 0])[1] += 1
+            count.setdefault(None, [0, 0, 0, 0])[1] += 1
             continue
         s = streams.get(page.serial)
-        if s is None or page.flags & FIRST:
-            s = streams[page.serial] = _Stream()
-        tally = count.setdefault(page.serial, [0, 0, 0])
+        tally = count.setdefault(page.serial, [0, 0, 0, 0])
         tally[0] += 1
-        if s.expect is not None and page.sequence != s.expect:
-            tally[1] += page.sequence - s.expect & 0xFFFFFFFF
+        if s is not None and page.flags & FIRST:
+            if s.pages == 1 and s.began == (page.sequence, bytes(page.body)):
+                tally[3] += 1
+                continue
+            tally[2] += s.open
+        if s is None or page.flags & FIRST:
+            s = streams[page.serial] = _Stream(0 if s is None else s.link + 1)
+            s.began = page.sequence, bytes(page.body)
+        ahead = 0 if s.expect is None else page.sequence - s.expect & 0xFFFFFFFF
+        if ahead >= 1 << 31:
+            tally[3] += 1
+            continue
+        s.pages += 1
+        if ahead:
+            tally[1] += ahead
             tally[2] += s.open
             s.part, s.open = bytearray(), False
         s.expect = page.sequence + 1 & 0xFFFFFFFF
@@ -154,6 +229,7 @@ def packets(data: bytes) -> tuple[list[Packet], dict[int | None, list[int]]]:
             tally[2] += 1
             s.part, s.open = bytearray(), False
         done: list[Packet] = []
+        long: list[int] = []
         at = run = 0
         for value in page.lacing:
             run += value
@@ -164,7 +240,10 @@ def packets(data: bytes) -> tuple[list[Packet], dict[int | None, list[int]]]:
                     p = bytes(page.body[at : at + run]) if not s.open else bytes(s.part + page.body[at : at + run])
                     if s.number == 0 and page.flags & FIRST:
                         s.begin(p)
-                    done.append(Packet(page.serial, s.codec, s.number, page.sequence, p, None, None))
+                    if s.codec == "vorbis" and s.number == 2:
+                        s.modes = vorbis_modes(p)
+                    done.append(Packet(page.serial, s.codec, s.number, page.sequence, p, None, None, s.link))
+                    long.append(s.samples(p) if s.number >= s.headers else 0)
                     s.number += 1
                 s.part, s.open = bytearray(), False
                 at, run = at + run, 0
@@ -175,14 +254,17 @@ def packets(data: bytes) -> tuple[list[Packet], dict[int | None, list[int]]]:
         if page.granule >= 0 and done:
             g = page.granule
             done[-1].granule = g
-            if s.codec == "opus":
-                for later, p in zip(done[:0:-1], done[-2::-1], strict=True):
-                    g -= opus_samples(later.data) if later.number >= s.headers else 0
-                    p.granule = max(0, g)
-        for p in done:
+            for k in range(len(done) - 1, 0, -1):
+                if not long[k] and done[k].number >= s.headers:
+                    break
+                g -= long[k]
+                done[k - 1].granule = max(0, g)
+        for k, p in enumerate(done):
             if p.number < s.headers:
                 p.granule = 0
             p.seconds = s.seconds(p.granule)
+            if s.codec == "theora" and p.number >= s.headers and page.granule >= 0 and s.rate:
+                p.seconds = max(0, s.frames(page.granule) - (len(done) - 1 - k)) / s.rate
         out += done
     for serial, s in streams.items():
         count[serial][2] += s.open
@@ -268,8 +350,8 @@ def media_of(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(util.frugal(_made), "doc_id bigint, media binary")
 
 
-_PACKETS = "doc_id bigint, serial bigint, codec string, packet int, page int, size int, granule bigint, seconds double, digest bigint, good_pages int, lost_pages int, lost_packets int, bad_pages int"
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+_PACKETS = "doc_id bigint, serial bigint, link int, codec string, packet bigint, page bigint, size bigint, granule bigint, seconds double, digest bigint, good_pages bigint, lost_pages bigint, lost_packets bigint, late_pages bigint, bad_pages bigint"
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 4, pa.float64(), *[pa.int64()] * 6]
 
 
 def _demuxed(batches):
@@ -281,22 +363,23 @@ def _demuxed(batches):
                 if media is None:
                     continue
                 found, count = packets(media)
-                bad = count.get(None, (0, 0, 0))[1]
+                bad = count.get(None, (0, 0, 0, 0))[1]
                 for p in found:
-                    rows.append((i, p.serial, p.codec, p.number, p.sequence, len(p.data), p.granule, p.seconds, xxhash.xxh3_64_intdigest(p.data) - (1 << 63), *count[p.serial], bad))
+                    rows.append((i, p.serial, p.link, p.codec, p.number, p.sequence, len(p.data), p.granule, p.seconds, xxhash.xxh3_64_intdigest(p.data) - (1 << 63), *count[p.serial], bad))
                 if not found:
-                    rows.append((i, *[None] * 8, 0, 0, 0, bad))
+                    rows.append((i, *[None] * 9, 0, 0, 0, 0, bad))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), _KINDS, strict=True)], names)
 
 
 def demux(media: DataFrame) -> DataFrame:
     """A row for each packet of each file in (doc_id, media): its stream, place, size, time and digest, with the counts of its stream.
 
-    good_pages, lost_pages and lost_packets are of the stream; bad_pages, those
-    whose checksum fails, of the file. A file without any packet, be it empty or
+    good_pages, lost_pages, lost_packets and late_pages (repeated or out of order,
+    see packets) are of the stream; bad_pages, those
+    whose checksum fails, of the file. A very long file is read whole, in one row's memory. A file without any packet, be it empty or
     no Ogg at all, has one row of nulls and counts; a null file has none. A null
     identifier stays null, repeated rows are each reported, an empty table gives
-    no rows, and other columns are not looked at. One pass, no shuffle.
+    no rows, and other columns, whatever their names, are not looked at. One pass, no shuffle.
     """
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media")).mapInArrow(util.frugal(_demuxed), _PACKETS)
 
