@@ -6,6 +6,7 @@ import difflib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,23 +90,30 @@ def _grams(batches, k: int):
 def verify(t: str, candidates: list[tuple[int, int, int]], templates: dict[int, tuple[str, list[str]]], coverage: float) -> list[tuple[str, int, int, float]]:
     """(license, start, end, coverage) by character offsets, of the candidates (template, least diagonal, greatest diagonal) that hold."""
     words = words_of(t)
-    raw = t.encode()
     ok = []
     for n, low, high in candidates:
         name, want = templates[n]
-        a, b = max(0, low - NEAR), min(len(words), high + len(want) + NEAR)
-        blocks = [m for m in difflib.SequenceMatcher(None, want, [w[0] for w in words[a:b]], autojunk=False).get_matching_blocks() if m.size]
-        hit = sum(m.size for m in blocks)
-        if not hit:
-            continue
-        first, last = a + blocks[0].b, a + blocks[-1].b + blocks[-1].size
-        if hit >= coverage * len(want) and hit >= coverage * (last - first):
-            ok.append((hit, hit / len(want), name, first, last))
+        # a whole copy on the diagonal itself first, then one with words put in or left out
+        for slack in (0, NEAR):
+            a, b = max(0, low - slack), min(len(words), high + len(want) + slack)
+            blocks = [m for m in difflib.SequenceMatcher(None, want, [w[0] for w in words[a:b]], autojunk=False).get_matching_blocks() if m.size]
+            hit = sum(m.size for m in blocks)
+            if not hit:
+                continue
+            first, last = a + blocks[0].b, a + blocks[-1].b + blocks[-1].size
+            if hit >= coverage * len(want) and hit >= coverage * (last - first):
+                ok.append((hit, hit / len(want), name, first, last))
+                if hit == len(want):
+                    break
     out = []
+    taken = np.zeros(len(words) + 1, np.bool_)
     for hit, share, name, first, last in sorted(ok, key=lambda x: (-x[0], -x[1], x[2], x[3])):
-        if all(last <= a or first >= b for _, a, b, _ in out):
+        if not taken[first:last].any():
+            taken[first:last] = True
             out.append((name, first, last, share))
-    return [(name, len(raw[: words[a][1]].decode("utf-8", "replace")), len(raw[: words[b - 1][2]].decode("utf-8", "replace")), round(share, 4)) for name, a, b, share in sorted(out, key=lambda x: x[1])]
+    data, _ = text.utf8(pa.compute.utf8_lower(pa.array([t])))
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return [(name, int(chars[words[a][1]]), int(chars[words[b - 1][2]]), round(share, 4)) for name, a, b, share in sorted(out, key=lambda x: x[1])]
 
 
 _FOUND = "doc_id bigint, license string, start int, end int, coverage double"
@@ -116,7 +124,9 @@ def _verified(batches, coverage: float):
     for b in batches:
         rows = []
         for i, t, c in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True):
-            rows += [(i, *f) for f in verify(t, [(x["template"], x["low"], x["high"]) for x in c], templates, coverage)]
+            # each diagonal is a place: a template that recurs within a few words is one chain of them, and several copies
+            places = [(x["template"], d, d) for x in c for d in x["diagonals"]]
+            rows += [(i, *f) for f in verify(t, places, templates, coverage)]
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["doc_id", "license", "start", "end", "coverage"])
 
@@ -131,10 +141,10 @@ def candidates(docs: DataFrame, k: int, share: float) -> DataFrame:
     w = W.partitionBy("key", "template").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > NEAR, F.lit(True))
     merged = votes.withColumn("far", far.cast("int")).withColumn("group", F.sum("far").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    merged = merged.groupBy("key", "template", "group").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+    merged = merged.groupBy("key", "template", "group").agg(F.sum("votes").alias("votes"), F.collect_list("diagonal").alias("diagonals"))
     need = F.create_map(*(F.lit(x) for n, _, ts in template_table() for x in (n, max(1, int(np.ceil(share * (len(ts) - k + 1)))))))
     enough = merged.where(F.col("votes") >= need[F.col("template")])
-    return enough.groupBy("key").agg(F.collect_list(F.struct("template", "low", "high")).alias("found"))
+    return enough.groupBy("key").agg(F.collect_list(F.struct("template", "diagonals")).alias("found"))
 
 
 def scan(docs: DataFrame, k: int = K, share: float = VOTES, coverage: float = COVERAGE) -> DataFrame:
@@ -142,16 +152,23 @@ def scan(docs: DataFrame, k: int = K, share: float = VOTES, coverage: float = CO
 
     All rolling word k-grams of all texts are joined to the templates' positions;
     votes are counted by diagonal, diagonals at most NEAR apart are merged, and
-    what is left is aligned word by word. Of overlapping spans the one with most
+    what is left is aligned word by word, at every place where a copy may begin. Of overlapping spans the one with most
     words stays, then the better covered, then the first by name. Null texts and
-    texts shorter than k words have none; a null identifier stays null; a row
+    texts shorter than k words have none, very long ones are read whole; a null identifier stays null; a row
     repeated whole is reported once; an empty table gives no rows; other
-    columns are not looked at.
+    columns, whatever their names, are not looked at.
+
+    Texts with candidates are few and read again; if the list of them is too long to
+    be broadcast, a filter of bounded size picks the texts to be shuffled.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slim = slim.withColumn("key", F.xxhash64(F.lit("licence"), "doc_id", "text"))
     found = util.spool(candidates(slim, k, share), "licences")
-    rows = slim.join(util.small_side(found.withColumnRenamed("key", "__key"), 200), F.col("key") == F.col("__key"))
+    n = found.count()
+    if n * 200 <= util.BROADCAST_BYTES:
+        rows = slim.join(F.broadcast(found), "key")
+    else:
+        rows = util.marked(slim, found, ["key"], "__may", n).where("__may").join(found.hint("shuffle_hash"), "key")
     out = rows.select("doc_id", "text", "found").mapInArrow(util.frugal(lambda b: _verified(b, coverage)), _FOUND)
     return out.distinct()
 
