@@ -273,7 +273,7 @@ class _Runs:
         end = np.minimum(a + self.least, words.first[row + 1])
         self.texts += [raw[x:y] for x, y in zip(begin[a].tolist(), begin[end].tolist(), strict=True)]
         reach = self.least - self.k
-        lefts = np.where(equal_run(words)[a] < self.least, np.minimum(reach, pos), 0).astype(np.uint8)
+        lefts = np.where(equal_run(words)[a] < self.least, np.minimum(reach, pos), 0).astype(np.uint32)
         back = np.maximum(a[:, None] - 1 - np.arange(reach), 0)
         left = (words.hash[back] >> np.uint64(32)).astype(np.uint32)
         left[np.arange(reach) >= lefts[:, None]] = 0
@@ -393,8 +393,8 @@ def _merge(batches, least: int, k: int):
     base = np.cumsum([0] + [len(t) for t in texts])
     flat = np.array([base[r] + i for r, i in order], np.int64)
     del texts, order
-    key, doc, pos, lefts = (np.frombuffer(b"".join(r[c] for r in runs), t)[flat] for c, t in (("key", np.int64), ("doc", np.int64), ("pos", np.uint32), ("lefts", np.uint8)))
-    left = np.frombuffer(b"".join(r["left"] for r in runs), np.uint32).reshape(-1, least - k)[flat]
+    key, doc, pos, lefts = (np.frombuffer(b"".join(r[c] for r in runs), t)[flat] for c, t in (("key", np.int64), ("doc", np.int64), ("pos", np.uint32), ("lefts", np.uint32)))
+    left = np.frombuffer(b"".join(r["left"] for r in runs), np.uint32).reshape(int(base[-1]), least - k)[flat]
     twin = np.frombuffer(b"".join(r["twin"] for r in runs), np.uint8)[flat]
     del runs
     pos, right = pos.astype(np.int64), np.array(right)
@@ -447,14 +447,19 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS, k: int = K) -> DataF
     """(doc_id, start_word, end_word, copy): the words of each text that lie in a window of ``least`` words which occurs elsewhere.
 
     Word numbers begin at 0; end_word is behind the last. Windows are equal if
-    their lower-cased words are, whatever stands between. copy is true for spans
+    their lower-cased words are, whatever stands between: from an anchor on they
+    are compared as text, before it by 32-bit hashes of the words. copy is true for spans
     of windows with an earlier occurrence, by identifier and then place, and
     false for first occurrences; the two kinds are joined apart, windows that
     overlap or touch making one span. Repetition inside a text counts. Null
-    texts and those below ``least`` words have no spans; a null identifier comes
+    texts and those below ``least`` words have no spans; very long ones are read
+    whole; a null identifier comes
     after all others and stays null; rows repeated whole are one text; an empty
-    table gives no rows; other columns are not looked at.
+    table gives no rows; other columns, whatever their names, are not looked at.
+    A ValueError unless 1 <= k <= least.
     """
+    if not 1 <= k <= least:
+        raise ValueError(f"an anchor of {k} words doesn't fit a window of {least}")
     spark = docs.sparkSession
     parts = util.parts(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
