@@ -156,11 +156,13 @@ def train(texts: pa.Array, langs: list[str], seed: int = SEED) -> Model | None:
 
 
 def labelled(docs: DataFrame, limit: int) -> tuple[pa.Array, list[str]]:
-    """At most ``limit`` whole texts with a language, spread by a hash of the identifier."""
+    """At most ``limit`` rows, with their whole texts and languages, spread by a hash of the identifier; the same whatever their order."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     some = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64(F.lit("langid"), "doc_id").alias("__h"))
     some = some.orderBy("__h", "doc_id", "lang").limit(limit).select(F.col("doc_id").alias("__d")).distinct()
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").join(F.broadcast(some), F.col("doc_id") == F.col("__d")).select("doc_id", "text", "lang").toArrow()
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").join(F.broadcast(some), F.col("doc_id") == F.col("__d")).select("doc_id", "text", "lang")
+    # an identifier may have many rows
+    rows = rows.orderBy(F.xxhash64(F.lit("langid"), "doc_id"), "doc_id", "text", "lang").limit(limit).toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")])
     return rows.column("text").combine_chunks(), rows.column("lang").to_pylist()
 
@@ -193,8 +195,8 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     and one whose calibrated confidence is below the threshold, are 'und' and not
     accepted; of equally likely languages the first by name is taken. A null
     identifier stays null; repeated rows are answered alike; an empty table gives
-    no rows, and without any labelled row all are 'und'; other columns are not
-    looked at.
+    no rows, and without any labelled row all are 'und'; other columns, whatever
+    their names, are not looked at.
     """
     model = train(*labelled(docs, train_docs))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -156,11 +156,13 @@ class Attention:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[pa.Array, np.ndarray]:
-    """At most ``limit`` whole labelled texts, spread by a hash of the identifier, and their labels."""
+    """At most ``limit`` labelled rows with their whole texts, spread by a hash of the identifier, and their labels."""
     some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__q"))
     some = some.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(limit).withColumnRenamed("doc_id", "__d")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    rows = rows.join(F.broadcast(some), F.col("doc_id") == F.col("__d")).select("__d", "text", "__q").toArrow()
+    rows = rows.join(F.broadcast(some), F.col("doc_id") == F.col("__d")).select("__d", "text", "__q")
+    # an identifier may have many rows
+    rows = rows.orderBy(F.xxhash64(F.lit("quality"), "__d"), "__d", "text").limit(limit).toArrow()
     rows = rows.sort_by([("__d", "ascending"), ("text", "ascending")])
     return rows.column("text").combine_chunks(), rows.column("__q").to_numpy()
 
@@ -225,7 +227,13 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
 
 
 def accepted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of docs that classify keeps, with all columns of docs."""
+    """The rows of docs that classify keeps, with all columns of docs.
+
+    A null or empty text is scored as one empty passage, a very long one by all
+    its passages; null identifiers, repeated rows and rows of equal score are
+    decided by their text alone, and so alike; an empty table stays empty, and
+    without labels of both kinds all rows are kept.
+    """
     model = train(*labelled(docs, labels, train_docs))
 
     def kept(batches):
