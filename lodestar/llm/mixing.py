@@ -14,13 +14,11 @@ from . import util
 BLOCK_TOKENS = 4096
 SHARD_DOCS = 20_000
 SEED = 20240229
-#: Without a table of target weights a source's is its number of blocks to the power of 3/4, in parts of TEMPER: large sources are held back, small ones kept.
-TEMPER = 16
-#: Target weights by source, and the weight of those that aren't named. No table gives any, so all sources count alike.
-TARGET_WEIGHTS: dict[str, int] = {}
+#: Target weights by source, and the weight of those that aren't named. No table of the corpus gives any: these are placeholders to be set.
+TARGET_WEIGHTS: dict[str, int] = {"src0": 3, "src1": 2, "src2": 2}
 TARGET_DEFAULT = 1
-#: Tokens the mix is to have, where the corpus has as many.
-BUDGET_TOKENS = 100_000_000_000
+#: Percent of the corpus's blocks that the mix is to have: what goes is this much at any size, and from sources above their target.
+BUDGET_PERCENT = 90
 
 
 def tokens(text: Column) -> Column:
@@ -28,24 +26,26 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def _weight(weights: dict[str, int] | None, default: int) -> Column:
-    if weights is None:
-        n = F.col("supply").cast("double")
-        return F.floor(TEMPER * F.sqrt(n * F.sqrt(n)) + 0.5).cast("long")
+def _weight(weights: dict[str, int], default: int) -> Column:
     out = F.lit(default)
     for name, w in sorted(weights.items()):
         out = F.when(F.col("source") == name, F.lit(w)).otherwise(out)
     return out.cast("long")
 
 
+def mark(docs: DataFrame) -> Column:
+    """Tells rows apart beside their identifier: by text, and by whether they have an identifier at all."""
+    return F.xxhash64(F.lit("mix"), F.col("doc_id").isNull(), F.col("text").cast("string"))
+
+
 def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, tokens, shard, block): each shard of a source is laid out in a seeded order and cut every block_tokens tokens.
+    """(doc_id, mark, source, tokens, shard, block): each shard of a source is laid out in a seeded order and cut every block_tokens tokens.
 
     There is a shard for every shard_docs documents of the corpus, so that no
     source's part of one has more than about that many, whatever the size. A
     document belongs to the block in which its first token lies.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), tokens(F.col("text")).alias("tokens"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark(docs).alias("mark"), F.coalesce(F.col("source"), F.lit("")).alias("source"), tokens(F.col("text")).alias("tokens"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     d = util.spool(d.withColumn("key", key), "tokens")
     shards = max(1, -(-d.count() // shard_docs))
@@ -89,49 +89,30 @@ def apportion(names: list[str], supply: np.ndarray, weight: np.ndarray, budget:
     return won
 
 
-def _apportion(batches, budget: int):
+def _apportion(batches, percent: int):
     held = [b for b in batches if b.num_rows]
     if held:
         t = pa.Table.from_batches(held)
-        won = apportion(t.column("source").to_pylist(), t.column("supply").to_numpy(), t.column("weight").to_numpy(), budget)
+        supply = t.column("supply").to_numpy()
+        won = apportion(t.column("source").to_pylist(), supply, t.column("weight").to_numpy(), int(supply.sum()) * percent // 100)
         yield pa.RecordBatch.from_arrays([t.column("source").combine_chunks(), pa.array(won, pa.int64())], ["source", "won"])
 
 
-def _until_one_runs_out(per: DataFrame) -> DataFrame:
-    """(source, won): seats for as long as every source still has the block it wins, in closed form, so no list of seats is made."""
-    # the first unfilled seat is that of the largest weight / (2 supply + 1), by name on a tie
-    stop = per.orderBy(F.desc(F.col("weight") / (2 * F.col("supply") + 1)), "source").limit(1)
-    stop = stop.select(F.col("source").alias("s"), F.col("supply").alias("n"), F.col("weight").alias("v"))
-    # seat k of a source comes before it where (2k + 1) v < weight (2n + 1), or both are equal and its name is first
-    reach = F.col("weight") * (2 * F.col("n") + 1)
-    seats = (F.floor((reach - F.col("v") - 1 + F.when(F.col("source") < F.col("s"), 1).otherwise(0)) / (2 * F.col("v"))) + 1).cast("long")
-    return per.crossJoin(F.broadcast(stop)).select("source", F.greatest(F.lit(0), F.least(seats, F.col("supply"))).alias("won"))
-
-
-def quotas(laid: DataFrame, weights: dict[str, int] | None = None, default: int = 1, supply: DataFrame | None = None, budget: int | None = None) -> DataFrame:
-    """(source, shard, quota): blocks each shard of each source gives.
-
-    supply is what supplies() returns; without it a shard has the blocks up to
-    the last in which a document begins.
-    weights are integers by source, with a default for those that aren't named;
-    without any they are tempered sizes (see TEMPER). First over sources: seats
-    go by highest quotient weight / (2k + 1), a tie to the source first by name,
-    until there are budget of them; a source that runs out drops out and the
-    others go on. Without a budget they go for as long as every source still
-    has the block it wins, so that the smallest source stops all. A source of
+def quotas(supply: DataFrame, weights: dict[str, int], default: int = TARGET_DEFAULT, percent: int = BUDGET_PERCENT) -> DataFrame:
+    """(source, shard, quota): blocks each shard of each source gives, of supply (source, shard, blocks).
+
+    weights are integers by source, with a default for those that aren't named.
+    There are percent of all blocks to give, rounded down. First over sources:
+    seats go by highest quotient weight / (2k + 1), a tie to the source first by
+    name; a source that runs out drops out and the others go on. A source of
     weight 0 gives none. Then within a source by the same rule over its shards,
     weighted by the blocks they have, which never asks a shard for more than that:
     of n shards one gets its proportional share to within n / 2 times its part,
     and one for rounding, so only seats about that place are ranked.
     """
-    if supply is None:
-        supply = laid.groupBy("source", "shard").agg((F.max("block") + 1).alias("blocks"))
-    per = supply.groupBy("source").agg(F.sum("blocks").alias("supply")).withColumn("weight", _weight(weights, default)).where("weight > 0")
-    if budget is None:
-        won = _until_one_runs_out(per)
-    else:
-        # one small row a source, in one task
-        won = per.select("source", "supply", "weight").coalesce(1).mapInArrow(lambda b: _apportion(b, budget), "source string, won long")
+    per = supply.groupBy("source").agg(F.sum("blocks").alias("supply")).withColumn("weight", _weight(weights, default))
+    # one small row a source, in one task
+    won = per.select("source", "supply", "weight").coalesce(1).mapInArrow(lambda b: _apportion(b, percent), "source string, won long")
     all_of = W.partitionBy("source")
     near = supply.join(won, "source").withColumn("total", F.sum("blocks").over(all_of)).withColumn("n", F.count(F.lit(1)).over(all_of))
     share = F.floor(F.col("won") * F.col("blocks") / F.col("total"))
@@ -145,47 +126,44 @@ def quotas(laid: DataFrame, weights: dict[str, int] | None = None, default: int
     return both.where("quota > 0").select("source", "shard", "quota")
 
 
+def _mixed(docs: DataFrame, weights: dict[str, int], default: int, block_tokens: int, shard_docs: int, seed: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(all rows with their blocks, the chosen blocks)"""
+    laid = util.spool(blocks(docs, block_tokens, shard_docs, seed), "mix")
+    supply = util.spool(supplies(laid, block_tokens), "supply")
+    # a document without tokens behind the last one that has any goes with the last block
+    laid = laid.join(supply, ["source", "shard"]).withColumn("block", F.least("block", F.col("blocks") - 1)).drop("blocks")
+    quota = quotas(supply, weights, default, percent)
+    have = supply.select("source", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "source", F.col("shard").cast("string"), F.col("block").cast("string")))
+    rank = F.row_number().over(W.partitionBy("source", "shard").orderBy(key, "block"))
+    chosen = have.withColumn("rank", rank).join(quota, ["source", "shard"]).where(F.col("rank") <= F.col("quota")).select("source", "shard", "block")
+    return laid, chosen
+
+
 def mix(
     docs: DataFrame,
-    weights: dict[str, int] | None = TARGET_WEIGHTS,
+    weights: dict[str, int] = TARGET_WEIGHTS,
     default: int = TARGET_DEFAULT,
     block_tokens: int = BLOCK_TOKENS,
     shard_docs: int = SHARD_DOCS,
     seed: int = SEED,
-    hollow: bool = True,
-    budget_tokens: int | None = BUDGET_TOKENS,
+    percent: int = BUDGET_PERCENT,
 ) -> DataFrame:
     """(doc_id, source, tokens, shard, block) of the documents in the chosen blocks.
 
     A block in which no document begins, because a long one runs through it, is
     chosen like any other and gives no rows, so that a source keeps the part of
-    its tokens that its seats are of its blocks, to within chance. With hollow=False
-    seats are counted over the blocks up to the last beginning of a document but
-    spent only on those in which one begins, which keeps too much of long documents.
-
-    As many blocks are taken as budget_tokens fill, or all there are if fewer; a
-    source that runs out leaves its seats to the others. With budget_tokens=None
-    they are as many as the weights allow before a source runs out. A
-    null source counts as the source ''; null and empty texts have no tokens and
-    go with the block where they lie; null identifiers are kept apart as one
-    position of the order; repeated rows are rows of their own, in an order among
-    themselves that decides nothing but the block. An empty table gives no rows;
-    other columns are not looked at.
+    its tokens that its seats are of its blocks, to within chance; this is how
+    very long documents count. percent of the corpus's blocks are taken; a
+    source that runs out leaves its seats to the others.
+
+    A null source counts as the source ''; null and empty texts have no tokens
+    and go with the block where they lie; null identifiers are one position of
+    the order; repeated rows are rows of their own, in an order among themselves
+    that decides nothing but the block; ties of quotients go by name and by shard. An empty table gives no rows;
+    other columns, whatever their names, are not looked at.
     """
-    laid = util.spool(blocks(docs, block_tokens, shard_docs, seed), "mix")
-    budget = None if budget_tokens is None else -(-budget_tokens // block_tokens)
-    if hollow:
-        supply = util.spool(supplies(laid, block_tokens), "supply")
-        # a document without tokens behind the last one that has any goes with the last block
-        laid = laid.join(supply, ["source", "shard"]).withColumn("block", F.least("block", F.col("blocks") - 1)).drop("blocks")
-        quota = quotas(laid, weights, default, supply, budget)
-        have = supply.select("source", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    else:
-        quota = quotas(laid, weights, default, budget=budget)
-        have = laid.select("source", "shard", "block").distinct()
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "source", F.col("shard").cast("string"), F.col("block").cast("string")))
-    rank = F.row_number().over(W.partitionBy("source", "shard").orderBy(key, "block"))
-    chosen = have.withColumn("rank", rank).join(quota, ["source", "shard"]).where(F.col("rank") <= F.col("quota")).select("source", "shard", "block")
+    laid, chosen = _mixed(docs, weights, default, block_tokens, shard_docs, seed, percent)
     return laid.join(chosen, ["source", "shard", "block"], "left_semi").select("doc_id", "source", "tokens", "shard", "block")
 
 
@@ -197,35 +175,55 @@ def shares(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     return out.withColumn("share", F.when(F.col("tokens") > 0, F.col("kept") / F.col("tokens")))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that mix() chooses, with all their columns; the identifiers should be distinct and not null (a null one is kept)."""
-    kept = util.spool(mix(docs, **options).select(F.col("doc_id").alias("__kept")), "mixed")
-    dropped = docs.select(F.col("doc_id").alias("__drop")).join(kept, F.col("__drop") == F.col("__kept"), "left_anti").where("__drop IS NOT NULL")
-    dropped = util.small_side(util.spool(dropped, "unmixed"), 16)
-    return docs.join(dropped, docs["doc_id"] == dropped["__drop"], "left_anti")
+def mixed_documents(
+    docs: DataFrame,
+    weights: dict[str, int] = TARGET_WEIGHTS,
+    default: int = TARGET_DEFAULT,
+    block_tokens: int = BLOCK_TOKENS,
+    shard_docs: int = SHARD_DOCS,
+    seed: int = SEED,
+    percent: int = BUDGET_PERCENT,
+) -> DataFrame:
+    """The rows of docs that mix() chooses, with all their columns.
+
+    Rows are told apart by identifier and text, null ones as any other; of rows
+    equal in both all stay if one is chosen. Other cases are as mix() has them.
+    """
+    laid, chosen = _mixed(docs, weights, default, block_tokens, shard_docs, seed, percent)
+    row = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("mark").alias("__mark")]
+    hit = laid.join(chosen.withColumn("hit", F.lit(True)), ["source", "shard", "block"], "left")
+    drop = hit.groupBy(*row).agg(F.max("hit").alias("hit")).where("hit IS NULL").drop("hit")
+    both = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("__mark", mark(docs))
+    return util.without(both, util.spool(drop, "unmixed"), ["__id", "__mark"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mix() by the rule that SQL states: tempered weights, until a source runs out, seats counted as hollow=False does."""
-    return mix(util.table(spark, sf_dir, "documents"), weights=None, hollow=False, budget_tokens=None)
+    return mix(util.table(spark, sf_dir, "documents"))
 
 
-SQL = f"""
+def sql(weights: dict[str, int] = TARGET_WEIGHTS, default: int = TARGET_DEFAULT, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS, seed: int = SEED, percent: int = BUDGET_PERCENT) -> str:
+    """mix() in SQL: every seat of every source and shard is listed and ranked."""
+    weight = " ".join(f"WHEN '{s}' THEN {w}" for s, w in sorted(weights.items()))
+    weight = f"CASE source {weight} ELSE {default} END" if weight else str(default)
+    return f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS tokens,
-       md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
-s AS (SELECT *, (('0x' || key[1:8])::BIGINT % greatest(1, ceil((SELECT count(*) FROM documents) / {SHARD_DOCS})::BIGINT))::INTEGER AS shard FROM d),
-laid AS (SELECT doc_id, source, tokens, shard,
-       ((sum(tokens) OVER (PARTITION BY source, shard ORDER BY key, tokens ROWS UNBOUNDED PRECEDING) - tokens) // {BLOCK_TOKENS})::BIGINT AS block FROM s),
-supply AS (SELECT source, shard, max(block) + 1 AS blocks FROM laid GROUP BY ALL),
-per AS (SELECT source, sum(blocks)::BIGINT AS supply, floor({TEMPER} * sqrt(sum(blocks)::DOUBLE * sqrt(sum(blocks)::DOUBLE)) + 0.5)::BIGINT AS weight FROM supply GROUP BY source),
-seat AS (SELECT source, supply, k, weight / (2 * k + 1) AS q FROM (SELECT *, unnest(range(0, supply + 1)) AS k FROM per)),
-ranked AS (SELECT *, row_number() OVER (ORDER BY q DESC, source) AS r FROM seat),
-won AS (SELECT source, count(*) AS won FROM ranked WHERE r < (SELECT min(r) FROM ranked WHERE k = supply) GROUP BY source),
+       md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s AS (SELECT *, (('0x' || key[1:8])::BIGINT % greatest(1, ceil((SELECT count(*) FROM documents) / {shard_docs})::BIGINT))::INTEGER AS shard FROM d),
+placed AS (SELECT doc_id, source, tokens, shard,
+       ((sum(tokens) OVER (PARTITION BY source, shard ORDER BY key, tokens ROWS UNBOUNDED PRECEDING) - tokens) // {block_tokens})::BIGINT AS block FROM s),
+supply AS (SELECT source, shard, greatest(1, ceil(sum(tokens) / {block_tokens}))::BIGINT AS blocks FROM placed GROUP BY ALL),
+laid AS (SELECT doc_id, source, tokens, shard, least(block, blocks - 1) AS block FROM placed JOIN supply USING (source, shard)),
+per AS (SELECT source, sum(blocks)::BIGINT AS supply, {weight} AS weight FROM supply GROUP BY source),
+seat AS (SELECT source, row_number() OVER (ORDER BY weight / (2 * k + 1) DESC, source) AS r FROM (SELECT *, unnest(range(0, supply)) AS k FROM per WHERE weight > 0)),
+won AS (SELECT source, count(*) AS won FROM seat WHERE r <= (SELECT sum(supply)::BIGINT * {percent} // 100 FROM per) GROUP BY source),
 inner_seat AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY blocks / (2 * k + 1) DESC, shard) AS r
        FROM (SELECT *, unnest(range(0, blocks)) AS k FROM supply)),
 quota AS (SELECT source, shard, count(*) AS quota FROM inner_seat JOIN won USING (source) WHERE r <= won GROUP BY ALL),
-pick AS (SELECT *, row_number() OVER (PARTITION BY source, shard ORDER BY md5('{SEED}:' || source || ':' || shard || ':' || block), block) AS r
-       FROM (SELECT DISTINCT source, shard, block FROM laid)),
+pick AS (SELECT *, row_number() OVER (PARTITION BY source, shard ORDER BY md5('{seed}:' || source || ':' || shard || ':' || block), block) AS r
+       FROM (SELECT source, shard, unnest(range(0, blocks)) AS block FROM supply)),
 chosen AS (SELECT source, shard, block FROM pick JOIN quota USING (source, shard) WHERE r <= quota)
 SELECT doc_id, source, tokens, shard, block FROM laid SEMI JOIN chosen USING (source, shard, block)
 """
+
+
+SQL = sql()
