@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,30 +28,56 @@ class Packer:
     """Variable-capacity best fit over pieces that come longest first.
 
     ``room[r]`` holds the open bins with r tokens left; a bit mask of the r that
-    have bins finds the fullest bin that still fits in one step. Where none
-    fits, each permitted length is priced at its cost over the tokens it will
-    hold, which are its capacity or all that is still to come, and the cheapest
-    is opened. At the end each bin is cut down to the smallest permitted length
-    that holds its contents.
+    have bins finds the fullest bin that still fits in one step; of equally full
+    ones the one used last is taken. Where none fits, all permitted lengths are
+    weighed against each other: each is filled, on paper, with the longest pieces
+    still to come that fit, cut down to what that leaves it with, and priced at
+    its cost over the tokens it then holds. The cheapest is opened, of equal ones
+    the shorter. So a long bin is opened where short ones would stay half empty,
+    and a short one where nothing is left to fill a long one. At the end each
+    bin is cut down to the smallest permitted length that holds its contents.
     """
 
     def __init__(self, capacities=CAPACITIES, open_cost: int = OPEN_COST):
         self.caps = sorted(set(capacities))
-        self.open_cost = open_cost
-
-    def opened(self, length: int, left: int) -> int:
-        top = self.caps[-1]
-        return min((cost(c, top, self.open_cost) / min(c, left), c) for c in self.caps if c >= length)[1]
+        self.cost = {c: cost(c, self.caps[-1], open_cost) for c in self.caps}
+
+    def least(self, used: int) -> int:
+        return next(c for c in self.caps if c >= used)
+
+    def filled(self, capacity: int, length: int, left: dict[int, int], lengths: int) -> int:
+        """Tokens in a bin of this capacity that begins with a piece and takes the longest of those left while any fits."""
+        used = length
+        while True:
+            fit = lengths & ((1 << (capacity - used + 1)) - 1)
+            if not fit:
+                return used
+            n = fit.bit_length() - 1
+            used += n * min(left[n], (capacity - used) // n)
+            lengths &= (1 << n) - 1  # only shorter ones from here on
+
+    def opened(self, length: int, left: dict[int, int], lengths: int) -> int:
+        """The permitted length to open for a piece; left: how many pieces there are of each length, lengths: a bit for each of those."""
+        prices = []
+        for c in self.caps:
+            if c >= length:
+                used = self.filled(c, length, left, lengths)
+                prices.append((self.cost[self.least(used)] / used, c))
+        return min(prices)[1]
 
     def pack(self, pieces: list[tuple[int, int | None, int]]) -> list[tuple[int, list[tuple[int, int, int]]]]:
         """[(capacity, pieces)]; a piece is (length, doc_id, start)."""
         pieces = sorted(pieces, key=lambda p: (-p[0], p[1] is not None, p[1] or 0, p[2]))
-        left = sum(p[0] for p in pieces)
+        left = Counter(p[0] for p in pieces)
+        lengths = sum(1 << n for n in left)
         room: dict[int, list[int]] = {}
         mask = 0
         bins: list[list[tuple[int, int, int]]] = []
         for piece in pieces:
             n = piece[0]
+            left[n] -= 1
+            if not left[n]:
+                lengths ^= 1 << n
             above = mask >> n
             if above:
                 r = n + ((above & -above).bit_length() - 1)
@@ -58,18 +86,17 @@ class Packer:
                 if not stack:
                     mask ^= 1 << r
             else:
-                r = self.opened(n, left)
+                r = self.opened(n, left, lengths)
                 b = len(bins)
                 bins.append([])
             bins[b].append(piece)
-            left -= n
             r -= n
             if r:
                 if not mask >> r & 1:
                     mask |= 1 << r
                     room[r] = []
                 room[r].append(b)
-        return [(next(c for c in self.caps if c >= sum(p[0] for p in b)), b) for b in bins]
+        return [(self.least(sum(p[0] for p in b)), b) for b in bins]
 
 
 def _packed(batches, capacities, open_cost):
@@ -102,10 +129,10 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, open_cost: i
     capacity is cut into pieces of that many tokens and a rest. Documents are
     spread by a hash of their identifier over groups of about group_tokens, each
     packed on its own, so the result depends on the rows and not on how they
-    are stored. Null and empty texts have nothing to pack and are left out.
+    are stored. Pieces of equal length go by identifier and place, a null one first (see Packer for other ties). Null and empty texts have nothing to pack and are left out.
     Documents with a null identifier are packed only if unnamed, with a null in
     doc_ids and spread by a hash of their text, and left out otherwise; repeated rows are packed as often as they come; an empty
-    table gives no rows; other columns are not looked at.
+    table gives no rows; other columns, whatever their names, are not looked at.
     """
     i = F.col("doc_id").cast("long")
     home = F.when(i.isNull(), F.xxhash64(F.lit("pack"), "text")).otherwise(F.xxhash64(F.lit("pack"), i))
