@@ -301,13 +301,23 @@ def spans(rows, least):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("least", "k", "clash"), [(50, 8, True), (20, 5, False), (9, 8, False)])
+@pytest.mark.parametrize(("least", "k", "clash"), [(50, 8, True), (20, 5, False), (9, 8, False), (300, 20, False), (4, 4, False)])
 def test_suffixes(spark, least, k, clash):
     rows = corpus()
     got = rows_of(suffix_dedup.repeated_spans(frame(spark, rows, clash), least, k))
     assert got == spans(rows, least)
 
 
+def test_suffixes_of_a_wide_window(spark):
+    rng = random.Random(5)
+    own, shared = (lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))), " ".join(f"s{k}" for k in range(900))
+    rows = [(1, f"{own(30)} {shared} {own(40)}", "en", "s", 0), (2, f"{own(30)} {shared} {own(20)}", "en", "s", 0)]
+    assert rows_of(suffix_dedup.repeated_spans(frame(spark, rows), 300, 20)) == spans(rows, 300) == [(1, 30, 930, False), (2, 30, 930, True)]
+    for least, k in ((5, 6), (5, 0)):
+        with pytest.raises(ValueError):
+            suffix_dedup.repeated_spans(frame(spark, rows), least, k)
+
+
 def test_suffixes_empty(spark):
     assert suffix_dedup.repeated_spans(frame(spark, [])).count() == 0
 
