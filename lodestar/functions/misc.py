@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import base64
+import binascii
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def epoch_seconds(ts: Column) -> Column:
@@ -50,15 +57,55 @@ def parse_inputs(json: Column) -> Column:
     return F.coalesce(F.from_json(json, "array<string>"), F.array(F.get_json_object(F.concat(F.lit('{"x":'), json, F.lit("}")), "$.x")))
 
 
+@F.pandas_udf(ArrayType(FloatType()))
+def _from_base64(t: pd.Series) -> pd.Series:
+    def one(x):
+        try:
+            raw = base64.b64decode(x, validate=True) if x else b""
+        except (binascii.Error, ValueError):
+            return None
+        return np.frombuffer(raw, "<f4").tolist() if raw and len(raw) % 4 == 0 else None
+
+    return t.map(one, na_action="ignore")
+
+
 def parse_vector(json: Column) -> Column:
-    """An array of numbers; anything else, such as an encoded string, is null and isn't indexed."""
-    return F.from_json(json, "array<float>")
+    """An array of numbers, or a string of base64 little-endian float32; anything else is null and isn't indexed."""
+    text = F.get_json_object(F.concat(F.lit('{"x":'), json, F.lit("}")), "$.x")
+    return F.when(F.trim(json).startswith("["), F.from_json(json, "array<float>")).when(F.trim(json).startswith('"'), _from_base64(text))
+
+
+def values_as_sets(m: Column) -> Column:
+    """A map whose values become arrays of one, as where an owner becomes a set of owners."""
+    return F.transform_values(m, lambda _, v: F.array(v))
+
 
+def request_body(fields: dict[str, Column]) -> Column:
+    """A request as JSON; null fields are left out."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in sorted(fields.items()))))
 
-def event_line(payload: Column) -> Column:
-    """One server-sent event."""
+
+def query_items(fields: dict[str, Column]) -> Column:
+    """A request as a query string, in order of name; null fields are left out, all else is percent-encoded."""
+    parts = [F.when(c.isNotNull(), F.concat(F.lit(f"{n}="), F.replace(F.url_encode(c.cast("string")), F.lit("+"), F.lit("%20")))) for n, c in sorted(fields.items())]
+    return F.concat_ws("&", *parts)
+
+
+def snake(name: str) -> str:
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
+
+
+def event_line(payload: Column, fields: list[str] | None = None) -> Column:
+    """One server-sent event; with the names of the payload's fields, in snake case and sorted."""
+    if fields is not None:
+        payload = F.struct(*(payload[f].alias(snake(f)) for f in sorted(fields, key=snake)))
     return F.concat(F.lit("data: "), F.to_json(payload), F.lit("\n\n"))
 
 
+def least_by(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """The least value of each key, as a map built from pairs keeps it."""
+    return rows.groupBy(*key).agg(F.min(value).alias(value))
+
+
 def four_digits(x: Column) -> Column:
     return F.format_string("%.4f", x)

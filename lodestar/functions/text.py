@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 MAX_CHARS = 1500
 MAX_TAGS = 10
@@ -28,6 +33,15 @@ NOT_ALNUM = r"[^\p{L}\p{M}\p{N}]+"
 
 
 # --- content identity ---------------------------------------------------------------
+#: White space and separators that trim() takes off, as characters.
+_SEPARATORS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_TRIM = " \t\n\x0b\x0c\r" + _SEPARATORS
+_ID_SPLIT = re.compile(f"[ \\t\\n-\\r\\x85{_SEPARATORS}]+")
+_TAG_SPLIT = regex.compile(NOT_ALNUM)
+_TOP = ArrayType(StructType().add("n", LongType()).add("word", StringType()))
+_ENDS = regex.compile(r"\A\p{P}+|\p{P}+\Z")
+
+
 def signature_words(text: Column) -> Column:
     """Words between white space, lower-cased and trimmed of punctuation, without empty and stop words."""
     words = F.split(F.regexp_replace(F.lower(text), EDGES, ""), SPACE)
@@ -39,6 +53,45 @@ def tag_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_ALNUM), lambda w: (F.length(w) > 3) & ~w.isin(*TAG_STOP_WORDS))
 
 
+def _most(count: Counter, n: int) -> list[tuple[int, str]]:
+    """The n most frequent, by name (in order of its UTF-8 bytes, which is that of its characters) on a tie."""
+    return heapq.nsmallest(n, ((-k, w) for w, k in count.items()))
+
+
+@F.arrow_udf(_TOP)
+def _top_tags(lowered: pa.Array) -> pa.Array:
+    stop = frozenset(TAG_STOP_WORDS)
+    out = []
+    for t in lowered.to_pylist():
+        count = Counter(w for w in _TAG_SPLIT.split(t) if len(w) > 3 and w not in stop) if t is not None else {}
+        out.append([{"n": -k, "word": w} for k, w in _most(count, MAX_TAGS)] if t is not None else None)
+    return pa.array(out, pa.list_(pa.struct([("n", pa.int64()), ("word", pa.string())])))
+
+
+@F.arrow_udf(StringType())
+def _signature(lowered: pa.Array) -> pa.Array:
+    stop = frozenset(ID_STOP_WORDS)
+    out, bare = [], {}
+    for t in lowered.to_pylist():
+        count: Counter = Counter()
+        for w, k in Counter(_ID_SPLIT.split(t)).items():
+            # most words are letters and have nothing to trim
+            if not w.isalnum():
+                if len(bare) > 100_000:
+                    bare = {}
+                got = bare.get(w)
+                w = bare.setdefault(w, _ENDS.sub("", w)) if got is None else got
+            if w and w not in stop:
+                count[w] += k
+        out.append(" ".join(sorted(w for _, w in _most(count, MAX_TAGS))))
+    return pa.array(out, pa.string())
+
+
+def top_tags(text: Column) -> Column:
+    """top_words(tag_words(text)), counted in one pass over the text."""
+    return _top_tags(F.lower(text))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with the value computed once, as the variable of a lambda."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -61,9 +114,8 @@ def top_words(words: Column, n: int = MAX_TAGS) -> Column:
 
 
 def signature(text: Column) -> Column:
-    """The ten most frequent words in order of name."""
-    top = F.transform(top_words(signature_words(F.coalesce(text, F.lit("")))), lambda r: r["word"])
-    return F.array_join(F.array_sort(top), " ")
+    """The ten most frequent words (see signature_words) in order of name, counted in one pass over the text; of a null text empty."""
+    return _signature(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def numeric_hash(text: Column) -> Column:
@@ -128,8 +180,31 @@ def trim(t: Column) -> Column:
     return F.regexp_replace(t, r"^[\p{Z}\s]+|[\p{Z}\s]+$", "")
 
 
+_CHARS = {ord(a): b for a, b in LIGATURES} | {0xAD: ""} | {ord(c): " " for c in SPACES} | {c: "" for c in [*range(9), 0x0B, 0x0C, *range(0x0E, 0x20)]}
+_LINE_END = re.compile(r"\r\n?")
+# line ends are those that trimming by line looks at
+_EDGE = re.compile("(?:(?<=[\n\x85\u2028\u2029])|\\A)[ \t]+|[ \t]+(?=[\n\x85\u2028\u2029]|\\Z)")
+_SPACES, _BLANKS = re.compile(" {2,}"), re.compile("\n{4,}")
+
+
+def sanitized(t: str) -> str:
+    """trim(lines(dehyphenate(controls(plain_spaces(soft_hyphens(ligatures(t)))))))"""
+    t = t.translate(_CHARS)
+    if "-\n" in t:
+        t = re.sub(r"([a-z])-\n([a-z])", r"\1\2", t)
+    if "\r" in t:
+        t = _LINE_END.sub("\n", t)
+    return _BLANKS.sub("\n\n\n", _SPACES.sub(" ", _EDGE.sub("", t))).strip(_TRIM)
+
+
+@F.arrow_udf(StringType())
+def _sanitize(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else sanitized(t) for t in texts.to_pylist()], pa.string())
+
+
 def sanitize(t: Column) -> Column:
-    return trim(lines(dehyphenate(controls(plain_spaces(soft_hyphens(ligatures(t)))))))
+    """All steps of cleaning in one pass over the text."""
+    return _sanitize(t)
 
 
 # --- HTML ---------------------------------------------------------------------------
@@ -193,34 +268,49 @@ def html_text(html: Column, entities: bool = True) -> Column:
 
 
 # --- chunking -----------------------------------------------------------------------
-def _pack(parts: Column, joint: str, limit: int) -> Column:
-    """Greedy: a part is joined to the one before while both and the joint fit."""
-    start = F.named_struct(F.lit("o"), F.array().cast("array<string>"), F.lit("b"), F.lit(""))
+_STOP = re.compile(r"(?<=\.)(?=[ \n]|\x85?\Z)")
 
-    def step(s: Column, p: Column) -> Column:
-        fits = F.length(s["b"]) + len(joint) + F.length(p) <= limit
-        empty = s["b"] == ""
-        return F.named_struct(
-            F.lit("o"), F.when(empty | fits, s["o"]).otherwise(F.array_append(s["o"], s["b"])),
-            F.lit("b"), F.when(empty, p).when(fits, F.concat(s["b"], F.lit(joint), p)).otherwise(p),
-        )
 
-    return F.aggregate(parts, start, step, lambda s: F.when(s["b"] == "", s["o"]).otherwise(F.array_append(s["o"], s["b"])))
+def _packed(parts: list[str], joint: str, limit: int) -> list[str]:
+    """Greedy: a part is joined to the one before while both and the joint fit."""
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+    for p in parts:
+        if held and size + len(joint) + len(p) <= limit:
+            held.append(p)
+            size += len(joint) + len(p)
+        else:
+            if held:
+                out.append(joint.join(held))
+            held, size = [p], len(p)
+    return [*out, joint.join(held)] if held else out
+
+
+def sentences(t: str, limit: int = MAX_CHARS) -> list[str]:
+    """Pieces that end behind a full stop before a space, line end or the end; longer ones cut, short ones packed."""
+    pieces = []
+    for p in _STOP.split(t):
+        p = p.strip(_TRIM)
+        pieces += [p[i : i + limit] for i in range(0, len(p), limit)]
+    return _packed(pieces, " ", limit)
 
 
-def hard_split(t: Column, limit: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(t) / limit).cast("int") - 1)), lambda i: F.substr(t, i * limit + 1, F.lit(limit)))
+def chunked(t: str, limit: int = MAX_CHARS) -> list[str]:
+    """Paragraphs packed up to the limit; a longer one is split into sentences first."""
+    segments = []
+    for p in t.split("\n\n"):
+        p = p.strip(_TRIM)
+        if p:
+            segments += sentences(p, limit) if len(p) > limit else [p]
+    return _packed(segments, "\n\n", limit)
 
 
-def sentences(t: Column, limit: int = MAX_CHARS) -> Column:
-    """Pieces that end behind a full stop before a space, line end or the end; longer ones cut, short ones packed."""
-    pieces = F.filter(F.transform(F.split(t, r"(?<=\.)(?=[ \n]|$)"), trim), lambda p: p != "")
-    cut = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) > limit, hard_split(p, limit)).otherwise(F.array(p))))
-    return _pack(cut, " ", limit)
+def chunk(t: Column, limit: int = MAX_CHARS, clean: bool = False) -> Column:
+    """chunked() of each text, cleaned before that if asked; a null text has none."""
 
+    @F.arrow_udf(ArrayType(StringType()))
+    def split(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else chunked(sanitized(x) if clean else x, limit) for x in texts.to_pylist()], pa.list_(pa.string()))
 
-def chunk(t: Column, limit: int = MAX_CHARS) -> Column:
-    """Paragraphs packed up to the limit; a longer one is split into sentences first."""
-    paragraphs = F.filter(F.transform(F.split(t, "\n\n"), trim), lambda p: p != "")
-    segments = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) > limit, sentences(p, limit)).otherwise(F.array(p))))
-    return _pack(segments, "\n\n", limit)
+    return split(t)

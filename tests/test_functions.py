@@ -121,3 +121,37 @@ def test_maps(spark):
     df = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 5, "c": 7})], "x map<string,int>, y map<string,int>")
     r = df.select(misc.merge_first(F.col("x"), F.col("y")).alias("first"), misc.merge_sum(F.col("x"), F.col("y")).alias("sum")).first()
     assert r["first"] == {"a": 1, "b": 2, "c": 7} and r["sum"] == {"a": 1, "b": 7, "c": 7}
+
+
+def test_kernels_are_the_columns_they_stand_for(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    texts = []
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.text(st.sampled_from(list("abcDÉß.-_,!'´ \t\n\r\x0b\u2028\u00a0\u00ad\u3000ﬁÆœİΣ漢\U0001f600\x01the ")), max_size=60))
+    def collect(t):
+        texts.append(t)
+
+    collect()
+    texts += ["", "wave-\nlength a-\nb-\nc", "of the of a", "x" * 50 + ". y.\n\n\n\n\nz"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string").repartition(2)
+    t = F.col("t")
+    steps = T.trim(T.lines(T.dehyphenate(T.controls(T.plain_spaces(T.soft_hyphens(T.ligatures(t)))))))
+    words = F.transform(T.top_words(T.signature_words(F.coalesce(t, F.lit("")))), lambda r: r["word"])
+    rows = df.select("t", T.sanitize(t).alias("a"), steps.alias("b"), T.top_tags(t).alias("c"), T.top_words(T.tag_words(t)).alias("d"), T.signature(t).alias("e"), F.array_join(F.array_sort(words), " ").alias("f")).collect()
+    for r in rows:
+        assert r.a == r.b and r.e == r.f and (r.c == r.d or r.t is None), repr(r.t)
+
+
+def test_json_of_requests(spark):
+    from lodestar.functions import misc
+
+    one_row = spark.range(1)
+    vec = lambda s: one_row.select(misc.parse_vector(F.lit(s)).alias("v")).first().v
+    assert vec("[1, 2.5]") == [1.0, 2.5] and vec('"AACAPwAAAEA="') == [1.0, 2.0] and vec('"?"') is None and vec('"AAA="') is None and vec("3") is None
+    body = one_row.select(misc.request_body({"b": F.lit(1), "a": F.lit("x"), "c": F.lit(None).cast("string")}).alias("v")).first().v
+    assert body == '{"a":"x","b":1}'
+    assert one_row.select(misc.query_items({"b": F.lit("x y&z"), "a": F.lit(2)}).alias("v")).first().v == "a=2&b=x%20y%26z"
+    assert misc.snake("partitionId") == "partition_id"
