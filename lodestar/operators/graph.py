@@ -6,11 +6,13 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions import vector as V
+from lodestar.operators import sized
 
 M = 16
 COMPACT_AT = 0.35
@@ -55,8 +57,8 @@ def neighbours(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None)
     """(partition_id, neighbours): identifiers in order of position, of the given nodes; those that don't exist are left out."""
     e = edges.join(nodes.select(F.col("partition_id").alias("dst")), "dst", "left_semi")
     if ids is not None:
-        e = e.join(F.broadcast(ids.select(F.col("partition_id").alias("src"))), "src", "left_semi")
-        nodes = nodes.join(F.broadcast(ids.select("partition_id")), "partition_id", "left_semi")
+        e = e.join(ids.select(F.col("partition_id").alias("src")), "src", "left_semi")
+        nodes = nodes.join(ids.select("partition_id"), "partition_id", "left_semi")
     lists = e.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda s: s["dst"]).alias("neighbours"))
     out = nodes.select("partition_id").join(lists, nodes["partition_id"] == lists["src"], "left")
     return out.select("partition_id", F.coalesce("neighbours", F.array().cast(dict(lists.dtypes)["neighbours"])).alias("neighbours"))
@@ -69,11 +71,18 @@ def entry_points(nodes: DataFrame) -> DataFrame:
 
 
 def compact(nodes: DataFrame, edges: DataFrame, at: float = COMPACT_AT) -> tuple[DataFrame, DataFrame]:
-    """Rewrite the shards of which at least this part is deleted: dead nodes and edges go, the rest is numbered anew."""
+    """Rewrite the shards of which at least this part is deleted: dead nodes and edges go, the rest is numbered anew.
+
+    Where edges have a layer, a live node without any neighbour above layer 0
+    before that comes down to it. (Index.compacted does the same to stored lists.)
+    """
     share = nodes.groupBy("shard_id").agg((F.count_if("is_deleted") / F.count(F.lit(1)) >= at).alias("rewrite"))
-    kept = nodes.join(F.broadcast(share), "shard_id").where("NOT (rewrite AND is_deleted)")
+    kept = nodes.join(share, "shard_id").where("NOT (rewrite AND is_deleted)")
+    if "layer" in edges.columns and "level" in nodes.columns:
+        upper = edges.where("layer > 0").select(F.col("src").alias("partition_id"), F.lit(True).alias("hub")).distinct()
+        kept = kept.join(upper, "partition_id", "left").withColumn("level", F.when(F.col("rewrite") & F.col("hub").isNull(), 0).otherwise(F.col("level")).cast("int")).drop("hub")
     number = F.row_number().over(W.partitionBy("shard_id").orderBy("local_idx")) - 1
-    new = kept.withColumn("local_idx", F.when(F.col("rewrite"), number).otherwise(F.col("local_idx")).cast("int")).drop("rewrite")
+    new = kept.withColumn("local_idx", F.when(F.col("rewrite"), number).otherwise(F.col("local_idx")).cast("int")).drop("rewrite").select(*nodes.columns)
     alive = new.select("partition_id")
     e = edges.join(alive.withColumnRenamed("partition_id", "src"), "src", "left_semi").join(alive.withColumnRenamed("partition_id", "dst"), "dst", "left_semi")
     return new, e
@@ -94,30 +103,58 @@ def phantoms(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("n", n).where("n > 1").select("shard_id", "partition_id", "local_idx")
 
 
-def fill(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def fill(documents: DataFrame, capacity: int = CAPACITY, have: DataFrame | None = None) -> DataFrame:
     """(document_id, shard_id): shards filled in order of seq. A shard takes documents while it has fewer nodes than its capacity, and may be exceeded by the last.
 
-    documents: (seq, document_id, nodes). The fold is ordered, over one small row a document.
+    documents: (seq, document_id, nodes); have: (shard_id, nodes) of the shards there
+    are. The first of those with room is taken, then new ones behind the last.
+    Which shard a document goes to depends on all before it, so one task reads
+    the documents, sorted by Spark, as a stream; it keeps a shard's number and
+    fill, and takes a step a shard and not a document.
     """
-    start = F.named_struct(F.lit("shard"), F.lit(0), F.lit("n"), F.lit(0).cast("long"), F.lit("out"), F.array().cast("array<struct<document_id:bigint,shard_id:int>>"))
-
-    def step(s, d):
-        full = s["n"] >= capacity
-        shard = F.when(full, s["shard"] + 1).otherwise(s["shard"])
-        return F.named_struct(
-            F.lit("shard"), shard, F.lit("n"), F.when(full, d["nodes"]).otherwise(s["n"] + d["nodes"]),
-            F.lit("out"), F.array_append(s["out"], F.named_struct(F.lit("document_id"), d["document_id"], F.lit("shard_id"), shard)),
-        )
-
-    rows = documents.agg(F.array_sort(F.collect_list(F.struct("seq", "document_id", F.col("nodes").cast("long").alias("nodes")))).alias("rows"))
-    return rows.select(F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r")).select("r.document_id", "r.shard_id")
+    rows = documents.select(F.lit(1).alias("kind"), F.col("seq").cast("long").alias("seq"), F.col("document_id").cast("long").alias("document_id"), F.col("nodes").cast("long").alias("nodes"))
+    if have is not None:
+        rows = rows.unionByName(have.select(F.lit(0).alias("kind"), F.col("shard_id").cast("long").alias("seq"), F.lit(None).cast("long").alias("document_id"), F.col("nodes").cast("long").alias("nodes")))
+
+    def run(batches):
+        room: list[tuple[int, int]] = []  # shards with room and what they have, the next one last
+        after, now, n, begun = 0, None, 0, False
+        for b in batches:
+            kind, seq, nodes = (b.column(c).to_numpy() for c in ("kind", "seq", "nodes"))
+            first = int(np.searchsorted(kind, 1))
+            for s, k in zip(seq[:first].tolist(), nodes[:first].tolist(), strict=True):
+                after = max(after, s + 1)
+                if k < capacity:
+                    room.append((s, k))
+            if first == b.num_rows:
+                continue
+            if not begun:
+                room, begun = room[::-1], True
+            nodes = nodes[first:]
+            total = np.cumsum(nodes)
+            shard = np.empty(len(nodes), np.int32)
+            at, base = 0, 0
+            while at < len(nodes):
+                if now is None or n >= capacity:
+                    if room:
+                        now, n = room.pop()
+                    else:
+                        now, n, after = after, 0, after + 1
+                # up to and with the document that makes the shard full
+                end = min(len(nodes), int(np.searchsorted(total, base + capacity - n, "left")) + 1)
+                shard[at:end] = now
+                n += int(total[end - 1] - base)
+                at, base = end, int(total[end - 1])
+            yield pa.RecordBatch.from_arrays([b.column("document_id").slice(first), pa.array(shard)], ["document_id", "shard_id"])
+
+    return rows.repartition(1).sortWithinPartitions("kind", "seq", "document_id").mapInArrow(run, "document_id bigint, shard_id int")
 
 
 class Graph:
     """A layered proximity graph of one shard, built in order of insertion; used inside a task."""
 
     def __init__(self, m: int = M, ef_build: int = 200):
-        self.m, self.ef, self.x, self.links, self.entry = m, ef_build, [], [], None
+        self.m, self.ef, self.links, self.entry, self.explored = m, ef_build, [], None, 0
 
     def _d(self, q, ids):
         d = self.block[ids] - q
@@ -146,6 +183,7 @@ class Graph:
                         heapq.heappush(best, (-dj, j))
                         if len(best) > ef:
                             heapq.heappop(best)
+        self.explored = len(seen)
         return sorted((-d, i) for d, i in best)
 
     def _diverse(self, found: list[tuple[float, int]], m: int) -> list[int]:
@@ -158,35 +196,59 @@ class Graph:
 
     def build(self, x: np.ndarray, levels: np.ndarray) -> Graph:
         self.block, self.levels = x, levels
+        self.links = [[[] for _ in range(n + 1)] for n in levels]
         for i in range(len(x)):
-            self.links.append([[] for _ in range(levels[i] + 1)])
-            if self.entry is None:
-                self.entry = i
-                continue
-            at = [self.entry]
-            for layer in range(levels[self.entry], levels[i], -1):
-                at = [self._beam(x[i], at, layer, 1)[0][1]]
-            for layer in range(min(levels[i], levels[self.entry]), -1, -1):
-                found = self._beam(x[i], at, layer, self.ef)
-                most = 2 * self.m if layer == 0 else self.m
-                self.links[i][layer] = self._diverse(found, self.m)
-                for j in self.links[i][layer]:
-                    own = self.links[j][layer]
-                    own.append(i)
-                    if len(own) > most:
-                        self.links[j][layer] = self._diverse(sorted(zip(self._d(x[j], own).tolist(), own, strict=True)), most)
-                at = [j for _, j in found]
-            if levels[i] > levels[self.entry]:
-                self.entry = i
+            self.insert(i)
         return self
 
-    def search(self, q: np.ndarray, k: int, ef: int = 150, allowed=None) -> list[tuple[float, int]]:
+    def insert(self, i: int) -> None:
+        """Link node i, whose vector and level are there already, into the graph of the nodes inserted before."""
+        x, levels = self.block, self.levels
         if self.entry is None:
-            return []
+            self.entry = i
+            return
         at = [self.entry]
+        for layer in range(levels[self.entry], levels[i], -1):
+            at = [self._beam(x[i], at, layer, 1)[0][1]]
+        for layer in range(min(levels[i], levels[self.entry]), -1, -1):
+            found = self._beam(x[i], at, layer, self.ef)
+            most = 2 * self.m if layer == 0 else self.m
+            self.links[i][layer] = self._diverse(found, self.m)
+            for j in self.links[i][layer]:
+                own = self.links[j][layer]
+                own.append(i)
+                if len(own) > most:
+                    self.links[j][layer] = self._diverse(sorted(zip(self._d(x[j], own).tolist(), own, strict=True)), most)
+            at = [j for _, j in found]
+        if levels[i] > levels[self.entry]:
+            self.entry = i
+
+    def _greedy(self, q, at: int, layer: int) -> tuple[int, int]:
+        """(nearest node a descent by neighbours reaches, steps taken)"""
+        best, hops = float(self._d(q, [at])[0]), 0
+        while True:
+            near = self.links[at][layer]
+            if not near:
+                return at, hops
+            d = self._d(q, near)
+            k = int(d.argmin())
+            if d[k] >= best:
+                return at, hops
+            at, best, hops = near[k], float(d[k]), hops + 1
+
+    def traced(self, q: np.ndarray, ef: int, allowed=None) -> tuple[list[tuple[float, int]], list[int], int]:
+        """(what a search of this breadth finds, steps on each upper layer, nodes looked at on the lowest)"""
+        if self.entry is None:
+            return [], [], 0
+        at, hops = self.entry, []
         for layer in range(self.levels[self.entry], 0, -1):
-            at = [self._beam(q, at, layer, 1)[0][1]]
-        return self._beam(q, at, 0, max(k, ef), allowed)[:k]
+            at, n = self._greedy(q, at, layer)
+            hops.append(n)
+        found = self._beam(q, [at], 0, ef, allowed)
+        return found, hops, self.explored
+
+    def search(self, q: np.ndarray, k: int, ef: int = 150, allowed=None) -> list[tuple[float, int]]:
+        return self.traced(q, max(k, ef), allowed)[0][:k]
 
 
 def ann(nodes: DataFrame, queries: DataFrame, k: int, ef: int = 150) -> DataFrame:
@@ -234,5 +296,5 @@ def ivf(vectors: DataFrame, queries: DataFrame, k: int, lists: int, probes: int,
     cells = vectors.sparkSession.createDataFrame([(i, [float(y) for y in c]) for i, c in enumerate(fit.clusterCenters())], "cell int, center array<double>")
     placed = fit.transform(vectors.withColumn("v", array_to_vector(F.col("embedding").cast("array<double>")))).drop("v")
     near = queries.crossJoin(F.broadcast(cells)).withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(V.squared_l2(F.col("query"), F.col("center")), "cell"))).where(F.col("n") <= probes)
-    hits = placed.join(F.broadcast(near.select("query_id", "query", "cell")), "cell").select("query_id", "partition_id", V.squared_l2(F.col("query"), F.col("embedding")).alias("distance"))
+    hits = placed.join(sized.small(near.select("query_id", "query", "cell"), 8 * 64), "cell").select("query_id", "partition_id", V.squared_l2(F.col("query"), F.col("embedding")).alias("distance"))
     return hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "partition_id"))).where(F.col("rank") <= k)

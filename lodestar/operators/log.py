@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,23 +27,37 @@ def coalesced(jobs: DataFrame, lane: str | None = None) -> DataFrame:
 def capped(jobs: DataFrame, lane: str, most: int = MAX_ITEMS) -> DataFrame:
     """As coalesced, but a batch of ``most`` items or more takes no further job; whole jobs are added, so it may exceed that.
 
-    The cap makes it a fold, over the jobs of a lane in order.
+    The cap makes it a fold. A lane is sorted by Spark and read as a stream by one
+    task, which keeps the batch at hand and nothing else.
     """
-    kind = "struct<first:bigint,last:bigint,owner_id:string,group_id:string,put:boolean,items:bigint>"
-    rows = jobs.groupBy(lane).agg(F.array_sort(F.collect_list(F.struct("seq", "owner_id", "group_id", (F.col("kind") == "put").alias("put"), F.col("items").cast("bigint").alias("items")))).alias("rows"))
-    start = F.named_struct(F.lit("done"), F.array().cast(f"array<{kind}>"), F.lit("now"), F.lit(None).cast(kind))
-
-    def step(s, r):
-        n = s["now"]
-        join = n.isNotNull() & n["put"] & r["put"] & n["owner_id"].eqNullSafe(r["owner_id"]) & n["group_id"].eqNullSafe(r["group_id"]) & (n["items"] < most)
-        make = lambda first, items: F.struct(first.alias("first"), r["seq"].alias("last"), r["owner_id"].alias("owner_id"), r["group_id"].alias("group_id"), r["put"].alias("put"), items.alias("items")).cast(kind)
-        return F.named_struct(
-            F.lit("done"), F.when(join | n.isNull(), s["done"]).otherwise(F.array_append(s["done"], n)),
-            F.lit("now"), F.when(join, make(n["first"], n["items"] + r["items"])).otherwise(make(r["seq"], r["items"])),
-        )
-
-    folded = rows.select(lane, F.explode(F.aggregate("rows", start, step, lambda s: F.array_append(s["done"], s["now"]))).alias("b"))
-    return folded.select(lane, "b.first", "b.last", "b.owner_id", "b.group_id", "b.items")
+    names = ["seq", "owner_id", "group_id", "kind", "items"]
+
+    def run(batches):
+        now, done, of = None, [], None  # [lane, first, last, owner, group, put, items]
+        for b in batches:
+            of = b.schema.field(lane).type
+            for key, seq, owner, group, kind, items in zip(*(b.column(c).to_pylist() for c in [lane, *names]), strict=True):
+                put = kind == "put"
+                if now and put and now[5] and now[0] == key and now[3] == owner and now[4] == group and now[6] < most:
+                    now[2], now[6] = seq, now[6] + items
+                else:
+                    if now:
+                        done.append(now)
+                    now = [key, seq, seq, owner, group, put, items]
+            if done:
+                yield _batches(done, lane, of)
+                done = []
+        if now:
+            yield _batches([now], lane, of)
+
+    slim = jobs.select(lane, F.col("seq").cast("long").alias("seq"), "owner_id", "group_id", "kind", F.col("items").cast("long").alias("items"))
+    kind = dict(jobs.dtypes)[lane]
+    return slim.repartition(lane).sortWithinPartitions(lane, "seq").mapInArrow(run, f"{lane} {kind}, first bigint, last bigint, owner_id string, group_id string, items bigint")
+
+
+def _batches(done: list[list], lane: str, of: pa.DataType) -> pa.RecordBatch:
+    kinds = {0: of, 1: pa.int64(), 2: pa.int64(), 3: pa.string(), 4: pa.string(), 6: pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in kinds.items()], [lane, "first", "last", "owner_id", "group_id", "items"])
 
 
 def valid(log: DataFrame) -> DataFrame:

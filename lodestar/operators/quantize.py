@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions import vector as V
+from lodestar.operators import sized
 
 SUB = V.SUBVECTORS
 STATIC_THRESHOLD = 0.5 * SUB
+#: Bytes of a codebook that is sent to all tasks.
+BOOK_BYTES = 256 << 20
 
 
 def _book(codebook: DataFrame) -> DataFrame:
-    """One row, (book): the centroids by subvector and code. Codes are 0 .. k - 1."""
+    """One row, (book): the centroids by subvector and code. Codes are 0 .. k - 1, and k is 65536 at most, so that a book of 1024 dimensions has 256 MB at most; larger than BOOK_BYTES it is refused."""
+    size = codebook.agg(F.sum(F.size("centroid")) * 4).first()[0] or 0
+    if size > BOOK_BYTES:
+        raise ValueError(f"a codebook of {size} bytes is too large to go along with each task; train by shard")
     per = codebook.groupBy("sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "centroid"))), lambda s: s["centroid"]).alias("cs"))
     return per.agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", "cs"))), lambda s: s["cs"]).alias("book"))
 
@@ -50,9 +56,9 @@ def lookup_table(queries: DataFrame, codebook: DataFrame, width: int) -> DataFra
 
 
 def asymmetric(codes: DataFrame, lut: DataFrame) -> DataFrame:
-    """(query_id, partition_id, distance): the sum over subvectors of the table's entries, a sum of norms. Tables are broadcast, codes only scanned."""
+    """(query_id, partition_id, distance): the sum over subvectors of the table's entries, a sum of norms. Tables are broadcast if they are few, codes only scanned."""
     d = F.aggregate(F.zip_with("codes", "lut", lambda c, t: F.get(t, c)), F.lit(0.0), lambda s, x: s + x)
-    return codes.crossJoin(F.broadcast(lut)).select("query_id", "partition_id", d.alias("distance"))
+    return codes.crossJoin(sized.small(lut, 1 << 16)).select("query_id", "partition_id", d.alias("distance"))
 
 
 def threshold(vectors: DataFrame, codes: DataFrame, codebook: DataFrame, width: int, by: str | None = None) -> DataFrame:
@@ -68,12 +74,13 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 20, still: float
     """k-means++ start, at most ``rounds`` Lloyd steps until no centroid moves by ``still``; an emptied one becomes a random vector."""
     r = np.random.default_rng(seed)
     c = [x[r.integers(len(x))]]
+    d = ((x - c[0]) ** 2).sum(1)
     while len(c) < k:
-        d = np.min([((x - y) ** 2).sum(1) for y in c], axis=0)
         c.append(x[r.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[r.integers(len(x))])
+        d = np.minimum(d, ((x - c[-1]) ** 2).sum(1))
     c = np.array(c)
     for _ in range(rounds):
-        own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        own = np.concatenate([np.argmin((c * c).sum(1) - 2 * x[a : a + 4096] @ c.T, axis=1) for a in range(0, len(x), 4096)])
         new = np.array([x[own == i].mean(0) if (own == i).any() else x[r.integers(len(x))] for i in range(k)])
         moved = np.sqrt(((new - c) ** 2).sum(1)).max()
         c = new
@@ -99,6 +106,14 @@ def train(vectors: DataFrame, by: str, width: int, seed: int = 0) -> DataFrame:
     return vectors.select(by, "embedding").groupBy(by).applyInPandas(fit, f"{by} {key}, sub int, code int, centroid array<float>")
 
 
+def retrained(old: DataFrame | None, new: DataFrame, by: str) -> DataFrame:
+    """Codebooks with their generation: those trained now come after the ones there are, which codes made with them still need."""
+    if old is None:
+        return new.withColumn("generation", F.lit(0))
+    last = old.groupBy(by).agg((F.max("generation") + 1).alias("generation"))
+    return old.unionByName(new.join(last, by, "left").withColumn("generation", F.coalesce("generation", F.lit(0))))
+
+
 def diversity_floor(adc: DataFrame, represented: DataFrame, views, limit: int, groups: list[str] | None = None) -> DataFrame:
     """(query_id, group_id, partition_id, distance): for available groups without a hit, by identifier and at most ``limit``, their best partition.
 
