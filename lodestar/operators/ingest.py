@@ -17,7 +17,7 @@ TOKENS = 512
 
 def tags(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, rank, word, n): the tags of each text, most frequent first; one projection of the scan."""
-    top = docs.select(key, F.posexplode(T.top_words(T.tag_words(F.col(text)))).alias("pos", "t"))
+    top = docs.select(key, F.posexplode(T.top_tags(F.col(text))).alias("pos", "t"))
     return top.select(key, (F.col("pos") + 1).alias("rank"), "t.word", "t.n")
 
 
@@ -28,7 +28,7 @@ def content_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", clean: bool = True, limit: int = T.MAX_CHARS) -> DataFrame:
     """(key, pos, chunk): without cleaning a text is one chunk, however long."""
-    parts = T.chunk(T.sanitize(F.col(text)), limit) if clean else F.array(F.col(text))
+    parts = T.chunk(F.col(text), limit, clean=True) if clean else F.array(F.col(text))
     return docs.select(key, F.posexplode(parts).alias("pos", "chunk")).where("chunk <> ''")
 
 
@@ -46,13 +46,16 @@ def gate(inputs: DataFrame, indexed: DataFrame, links: DataFrame) -> DataFrame:
     return x.withColumn("action", action).drop("__known", "__own", "__both")
 
 
-def outcome(gated: DataFrame) -> DataFrame:
+def outcome(gated: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(skipped, linked, prepared, failed, success); failed is one row with that count, of inputs that never came to the gate. Success is when all are accounted for."""
     n = lambda a: F.count_if(F.col("action") == a)
-    return gated.agg(n("skip").alias("skipped"), n("link").alias("linked"), n("index").alias("prepared"), (n("skip") + n("link") + n("index") == F.count(F.lit(1))).alias("success"))
+    out = gated.agg(n("skip").alias("skipped"), n("link").alias("linked"), n("index").alias("prepared"))
+    out = out.crossJoin(failed) if failed is not None else out.withColumn("failed", F.lit(0).cast("bigint"))
+    return out.withColumn("success", F.col("failed") == 0)
 
 
 def hashed_embedding(texts: list[str], dim: int = DIM) -> np.ndarray:
-    """A deterministic stand-in for a model: signed hashes of the first TOKENS words, of unit length."""
+    """A deterministic stand-in for a model: signed hashes of the first TOKENS words, of unit length. A model of this kind reads no more of an input; chunks are shorter."""
     import zlib
 
     out = np.zeros((len(texts), dim), np.float32)
@@ -78,12 +81,12 @@ def embed(rows: DataFrame, column: str, embedder=hashed_embedding, batch: int =
     return rows.join(distinct.mapInPandas(run, f"{column} string, embedding array<float>"), column, "left")
 
 
-def prepared(docs: DataFrame, owner: str, embedder=hashed_embedding) -> DataFrame:
+def prepared(docs: DataFrame, owner: str, embedder=hashed_embedding, clean: bool = True) -> DataFrame:
     """(document_id, pos, text, embedding, partition_id, owner_id) of (doc_id, text): one document each, one partition a chunk."""
     from lodestar.functions.vector import vector_digest
 
     ids = content_ids(docs).select("doc_id", F.col("content_id").alias("document_id"))
-    rows = embed(chunks(docs), "chunk", embedder).join(ids, "doc_id")
+    rows = embed(chunks(docs, clean=clean), "chunk", embedder).join(ids, "doc_id")
     rows = rows.where("size(embedding) > 0").dropDuplicates(["document_id", "pos"])
     return rows.select("document_id", "pos", F.col("chunk").alias("text"), "embedding", vector_digest()(F.col("embedding"), F.col("document_id")).alias("partition_id"), F.lit(owner.lower()).alias("owner_id"))
 
@@ -110,3 +113,30 @@ def tag_union(rows: DataFrame, key: str, column: str) -> DataFrame:
 def usage(texts: Column) -> Column:
     """Words, as the count of tokens an embedder would report."""
     return F.sum(F.size(F.split(F.trim(texts), r"\s+")))
+
+
+def http_embedder(url: str, key: str | None = None, model: str = "embed", send=None, timeout: float = 60):
+    """An embedder that asks a service: POST {model, input} to url, answered by {data: [{index, embedding}]}, embeddings as numbers or base64 float32.
+
+    To be given to embed(), which calls it with batches of 256 at most, once for
+    each distinct text. ``send`` (url, body, headers) -> (status, body) takes the place of the network in tests.
+    """
+    import base64
+    import json
+    import urllib.request
+
+    def post(url, body, headers):
+        with urllib.request.urlopen(urllib.request.Request(url, body, headers, method="POST"), timeout=timeout) as r:
+            return r.status, r.read()
+
+    def run(texts: list[str]) -> np.ndarray:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        status, raw = (send or post)(url, json.dumps({"model": model, "input": texts}).encode(), headers)
+        if not 200 <= status < 300:
+            raise RuntimeError(f"the embedding service answered {status}")
+        rows = sorted(json.loads(raw)["data"], key=lambda r: r["index"])
+        if [r["index"] for r in rows] != list(range(len(texts))):
+            raise RuntimeError("the embedding service left some inputs out")
+        return np.stack([np.frombuffer(base64.b64decode(r["embedding"]), "<f4") if isinstance(r["embedding"], str) else np.asarray(r["embedding"], np.float32) for r in rows])
+
+    return run

@@ -111,6 +111,26 @@ class Registry:
         member = self.document_group.join(gone.select("document_id", "group_id"), ["document_id", "group_id"], "left_anti").join(alive, "document_id", "left_semi")
         return replace(self, owner_document=left, document_group=member, document_access=self.document_access.join(alive, "document_id", "left_semi"))
 
+    def removal(self, links: DataFrame) -> DataFrame:
+        """(owner_id, document_id, authorised, fully_removed) of removals that are asked for: whether the caller owns the document, and whether nobody has it afterwards."""
+        own = self.owner_document.select("owner_id", "document_id").distinct().withColumn("own", F.lit(True))
+        asked = links.select("owner_id", "document_id").distinct().join(own, ["owner_id", "document_id"], "left")
+        left = self.unlinked(links).owner_document.select("document_id").distinct().withColumn("left", F.lit(True))
+        out = asked.join(left, "document_id", "left")
+        ok = F.coalesce("own", F.lit(False))
+        return out.select("owner_id", "document_id", ok.alias("authorised"), (ok & F.col("left").isNull()).alias("fully_removed"))
+
+    def owned(self, owner: str) -> DataFrame:
+        """(document_id, fully_removed): all documents of an owner, and whether they go with them."""
+        mine = self.owner_document.where(F.col("owner_id") == owner).select("owner_id", "document_id").distinct()
+        return self.removal(mine).select("document_id", "fully_removed")
+
+    def cleaned(self, indexed: DataFrame) -> Registry:
+        """Without documents that aren't indexed any more: their links, memberships and access go, groups stay."""
+        there = indexed.select("document_id").distinct()
+        keep = lambda df: df.join(there, "document_id", "left_semi")
+        return replace(self, owner_document=keep(self.owner_document), document_group=keep(self.document_group), document_access=keep(self.document_access))
+
     def without_owner(self, owner: str) -> Registry:
         """Drop all links of an owner, and the groups they own."""
         after = self.unlinked(self.owner_document.where(F.col("owner_id") == owner).select("owner_id", "document_id"))
@@ -129,26 +149,34 @@ class Registry:
         return replace(self, owner_document=links, document_group=member)
 
     def registered(self, new: DataFrame) -> Registry:
-        """Register (owner_id, document_id, group_id, label, tags, access) rows.
+        """Register (owner_id, document_id, group_id, label, tags, access) rows, in order of seq if there is such a column.
 
         A group takes effect if nobody or the caller owns it: the document joins
-        it and takes its stored access, tags are united. Otherwise, and without a
-        group, the document becomes restricted, even if it was available before.
+        it and takes its stored access, tags are united. Of several owners who claim
+        a group that nobody has, the first gets it, with that row's label and access.
+        Where a group has no effect, and without a
+        group, the document becomes restricted, even if it was available before. Of several rows of a document the last decides.
         """
+        seq = F.col("seq") if "seq" in new.columns else F.monotonically_increasing_id()
+        new = new.withColumn("__seq", seq)
         holder = self.groups.select("group_id", F.col("owner_id").alias("__holder"), F.col("access").alias("__access"))
-        n = new.join(holder, "group_id", "left").withColumn("__ok", F.col("group_id").isNotNull() & (F.col("__holder").isNull() | (F.col("__holder") == F.col("owner_id"))))
-        fresh = n.where("__ok AND __holder IS NULL").groupBy("group_id").agg(
-            F.min("owner_id").alias("owner_id"), F.min("label").alias("label"), F.min(F.coalesce("access", F.lit("restricted"))).alias("access"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags")
-        )
-        more = n.where("__ok AND __holder IS NOT NULL AND size(tags) > 0").groupBy("group_id").agg(F.flatten(F.collect_list("tags")).alias("__more"))
-        united = F.when(F.col("__more").isNull(), F.col("tags")).otherwise(F.array_sort(F.array_union("tags", "__more")))
-        groups = self.groups.join(more, "group_id", "left").withColumn("tags", united).drop("__more").unionByName(fresh, allowMissingColumns=True)
-        link = n.select("owner_id", "document_id", F.when(F.col("__ok"), F.col("group_id")).alias("group_id"))
-        known = self.owner_document.join(link.select("owner_id", "document_id", F.col("group_id").alias("__g")), ["owner_id", "document_id"], "left")
-        links = known.select("owner_id", "document_id", F.coalesce("__g", "group_id").alias("group_id")).union(link.join(self.owner_document, ["owner_id", "document_id"], "left_anti")).distinct()
+        first = F.min_by(F.struct("owner_id", "label", F.coalesce("access", F.lit("restricted")).alias("access")), F.struct("__seq", "owner_id")).alias("f")
+        claims = new.where("group_id IS NOT NULL").join(holder.select("group_id"), "group_id", "left_anti").groupBy("group_id").agg(first)
+        fresh = claims.select("group_id", "f.owner_id", "f.label", "f.access")
+        n = new.join(holder.unionByName(fresh.select("group_id", F.col("owner_id").alias("__holder"), F.col("access").alias("__access"))), "group_id", "left")
+        n = n.withColumn("__ok", F.col("group_id").isNotNull() & (F.col("__holder") == F.col("owner_id")))
+        n = n.withColumn("__ok", F.coalesce("__ok", F.lit(False)))
+        more = n.where("__ok AND size(tags) > 0").groupBy("group_id").agg(F.flatten(F.collect_list("tags")).alias("__more"))
+        every = self.groups.unionByName(fresh.withColumn("tags", F.array().cast("array<string>")), allowMissingColumns=True)
+        united = F.when(F.col("__more").isNull(), F.col("tags")).otherwise(F.array_sort(F.array_union(F.coalesce("tags", F.array().cast("array<string>")), "__more")))
+        groups = every.join(more, "group_id", "left").withColumn("tags", united).drop("__more")
+        # of an owner's rows for a document the last with a group decides which is the primary one
+        link = n.groupBy("owner_id", "document_id").agg(F.max_by("group_id", F.when(F.col("__ok"), F.col("__seq"))).alias("__g"))
+        both = self.owner_document.join(link, ["owner_id", "document_id"], "full")
+        links = both.select("owner_id", "document_id", F.coalesce("__g", "group_id").alias("group_id"))
         member = self.document_group.union(n.where("__ok").select("document_id", "group_id")).distinct()
-        access = F.when(F.col("__ok"), F.coalesce("__access", "access", F.lit("restricted"))).otherwise(F.lit("restricted"))
-        put = n.groupBy("document_id").agg(F.max_by(access, F.col("__ok").cast("int")).alias("__new"))
+        access = F.when(F.col("__ok"), F.coalesce("__access", F.lit("restricted"))).otherwise(F.lit("restricted"))
+        put = n.groupBy("document_id").agg(F.max_by(access, F.struct("__seq", access)).alias("__new"))
         table = self.document_access.join(put, "document_id", "full").select("document_id", F.coalesce("__new", "access").alias("access"))
         return Registry(links, member, groups, table)
 
@@ -192,10 +220,21 @@ class Registry:
         return claims.join(self.groups, ["group_id", "owner_id"], "left_semi")
 
 
-def accumulated(stats: DataFrame, delta: DataFrame, key: str, sums: list[str], last: str | None = None, seq: str | None = None) -> DataFrame:
+def accumulated(stats: DataFrame, delta: DataFrame, key: str | list[str], sums: list[str], last: str | None = None, seq: str | None = None) -> DataFrame:
     """Add to counters by key, making missing rows; ``last`` takes the latest non-null value by ``seq``, not the greatest."""
     rows = stats.unionByName(delta, allowMissingColumns=True)
     aggs: list[Column] = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in sums]
     if last:
         aggs.append(F.max_by(last, F.when(F.col(last).isNotNull(), F.col(seq))).alias(last))
-    return rows.groupBy(key).agg(*aggs)
+    return rows.groupBy(*([key] if isinstance(key, str) else key)).agg(*aggs)
+
+
+def accumulated_partitions(stats: DataFrame, delta: DataFrame) -> DataFrame:
+    """Counters of partitions, (document_id, partition_id, retrievals, sentiment, last_retrieved, seq), added up; of last_retrieved the latest non-null by seq."""
+    return accumulated(stats, delta, ["document_id", "partition_id"], ["retrievals", "sentiment"], "last_retrieved", "seq")
+
+
+def nested(partitions: DataFrame) -> DataFrame:
+    """(document_id, counts, sentiments): a document's partition counters as maps."""
+    entry = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("partition_id").alias("key"), v.alias("value")))))
+    return partitions.groupBy("document_id").agg(entry(F.col("retrievals")).alias("counts"), entry(F.struct("retrievals", "sentiment", "last_retrieved")).alias("sentiments"))

@@ -19,9 +19,9 @@ TAG_THRESHOLD = 0.85
 QUERY_BYTES = 64 << 20
 
 
-def _nearest(batches, queries: np.ndarray, ids: np.ndarray, k: int, keys: list[str]):
+def _nearest(batches, queries: np.ndarray, ids: np.ndarray, k: int, keys: list[str], carry: list[str]):
     """The k nearest rows of each batch for every query and value of ``keys``, by a matrix product over the batch."""
-    names = [*keys, "partition_id"]
+    names = [*keys, "partition_id", *carry]
     square = (queries * queries).sum(1)
     for b in batches:
         column = b.column("embedding")
@@ -33,7 +33,6 @@ def _nearest(batches, queries: np.ndarray, ids: np.ndarray, k: int, keys: list[s
             continue
         b = b.take(pa.array(ok))
         x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, queries.shape[1])
-        part = b.column("partition_id").to_numpy(zero_copy_only=False)
         group = np.zeros(len(x), np.int64) if not keys else np.unique(np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in keys]), axis=1, return_inverse=True)[1].ravel()
         near = square[:, None] - 2 * queries @ x.T + (x * x).sum(1)
         rows, qs = [], []
@@ -54,31 +53,30 @@ def _nearest(batches, queries: np.ndarray, ids: np.ndarray, k: int, keys: list[s
             s = slice(a, a + 65536)
             d = x[at[s]] - queries[qs[s]]
             exact[s] = (d * d).sum(1)
-        del part
         taken = b.take(pa.array(at))
         yield pa.RecordBatch.from_arrays([pa.array(ids[qs]), *(taken.column(c) for c in names), pa.array(exact)], ["query_id", *names, "distance"])
 
 
-def candidates(vectors: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, keys, partition_id, distance, rank): the k nearest vectors of each query within each value of ``keys``.
+def candidates(vectors: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, keys, partition_id, carry, distance, rank): the k nearest vectors of each query within each value of ``keys``.
 
     One scan; each task keeps its own k, and a window over those k decides, so
     what is shuffled grows with tasks and queries and not with the vectors. Ties
-    go by partition_id. Queries are requests and few; if they are large they are
-    cross-joined by Spark instead.
+    go by partition_id. Columns named in ``carry`` come along. Queries are
+    requests and few; if they are large they are cross-joined by Spark instead.
     """
     got = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).toArrow() if _small(queries) else None
     kinds = dict(vectors.dtypes)
+    schema = ", ".join(["query_id bigint", *(f"{c} {kinds[c]}" for c in (*keys, "partition_id", *carry)), "distance double"])
     if got is None:
         pairs = vectors.crossJoin(queries).where(F.size("embedding") == F.size("query"))
-        found = pairs.select("query_id", *keys, "partition_id", V.squared_l2(F.col("query"), F.col("embedding")).alias("distance"))
+        found = pairs.select("query_id", *keys, "partition_id", *carry, V.squared_l2(F.col("query"), F.col("embedding")).alias("distance"))
     elif not got.num_rows:
-        found = vectors.sparkSession.createDataFrame([], ", ".join(["query_id bigint", *(f"{c} {kinds[c]}" for c in (*keys, "partition_id")), "distance double"]))
+        found = vectors.sparkSession.createDataFrame([], schema)
     else:
         q, ids = np.array(got.column("query").to_pylist(), np.float64), got.column("query_id").to_numpy()
-        schema = ", ".join(["query_id bigint", *(f"{c} {kinds[c]}" for c in (*keys, "partition_id")), "distance double"])
-        slim = vectors.select(*keys, "partition_id", "embedding").where("embedding IS NOT NULL")
-        found = slim.mapInArrow(lambda b: _nearest(b, q, ids, k, list(keys)), schema)
+        slim = vectors.select(*keys, "partition_id", *carry, "embedding").where("embedding IS NOT NULL")
+        found = slim.mapInArrow(lambda b: _nearest(b, q, ids, k, list(keys), list(carry)), schema)
     rank = F.row_number().over(W.partitionBy("query_id", *keys).orderBy("distance", "partition_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -141,7 +139,8 @@ def search(views, queries: DataFrame, owner: str, scope: str = "personal", group
     are taken per shard, made comparable by the shard's threshold, boosted for the
     owner's private documents in global scope, pooled, reranked and cut. The order
     of the answer is by adjusted distance; norm and boost only decide who is in
-    the pool. ``bound`` is the table of thresholds(), if it is kept, as it should be for a large index.
+    the pool. ``bound`` is the table of thresholds(), if it is kept, as it should be for a large index;
+    it has a row a shard, and Spark broadcasts it while it is small.
 
     With ``adc`` (query_id, partition_id, document_id, distance), in global scope,
     available groups without any candidate get their best partition injected, at
@@ -150,12 +149,13 @@ def search(views, queries: DataFrame, owner: str, scope: str = "personal", group
     """
     nodes = live if live is not None else views.partition
     seen = scope_documents(views, owner, scope, groups, group, aggregate)
-    seen = tag_filter(seen.join(views.tags, "document_id", "left"), tags).select("document_id")
-    found = candidates(nodes.join(seen, "document_id", "left_semi"), queries, per_shard, ("shard_id",))
+    if tags is not None:
+        seen = tag_filter(seen.join(views.tags, "document_id", "left"), tags).select("document_id")
+    found = candidates(nodes.join(seen, "document_id", "left_semi"), queries, per_shard, ("shard_id",), ("document_id",))
     bound = thresholds(views.partition) if bound is None else bound
-    rows = found.join(F.broadcast(bound), "shard_id", "left").withColumn("norm", V.threshold_norm(F.col("distance"), F.coalesce("threshold", F.lit(float("inf")))))
+    rows = found.join(bound, "shard_id", "left").withColumn("norm", V.threshold_norm(F.col("distance"), F.coalesce("threshold", F.lit(float("inf")))))
     best = F.row_number().over(W.partitionBy("query_id", "partition_id").orderBy("norm", "shard_id"))
-    rows = rows.withColumn("best", best).where("best = 1").join(nodes.select("partition_id", "document_id"), "partition_id")
+    rows = rows.withColumn("best", best).where("best = 1")
     key = F.col("norm")
     if scope == "global":
         free = views.document_access.where("access = 'available'").select("document_id", F.lit(True).alias("free"))
@@ -179,18 +179,39 @@ def _diverse(views, rows: DataFrame, key: Column, adc: DataFrame, groups: list[s
     new = diversity_floor(adc, have, views, K, groups)
     new = new.join(views.partition.select("partition_id", "document_id"), "partition_id").select("query_id", "partition_id", "document_id", "distance", F.col("distance").alias("norm"))
     changed = new.select("query_id").distinct().withColumn("changed", F.lit(True))
-    rows = rows.withColumn("key", key).join(F.broadcast(changed), "query_id", "left").withColumn("key", F.when(F.col("changed"), F.col("norm")).otherwise(F.col("key")))
+    rows = rows.withColumn("key", key).join(changed, "query_id", "left").withColumn("key", F.when(F.col("changed"), F.col("norm")).otherwise(F.col("key")))
     cols = ["query_id", "partition_id", "document_id", "distance", "norm"]
     both = rows.select(*cols, "key").unionByName(new.withColumn("key", F.col("norm")))
     return both.withColumn("best", F.lit(1)), F.col("key")
 
 
+def average(ema: Column, value: Column, alpha: float) -> Column:
+    """Exponential moving average; the first value counts whole."""
+    return F.when(ema.isNull() | (ema == 0), value).otherwise((1 - alpha) * ema + alpha * value)
+
+
 def adjustments(pool: DataFrame) -> DataFrame:
     """What reranking did to each row of (distance, adjusted, threshold)."""
     a, b, t = F.col("distance"), F.col("adjusted"), F.col("threshold")
     return pool.withColumn("factor", V.adjustment_factor(a, b)).withColumn("status", V.adjustment_status(a, b, t))
 
 
+#: Hits that are held by the driver, to be looked up in one scan of the texts.
+HITS = 100_000
+
+
 def materialise(hits: DataFrame, content: DataFrame) -> DataFrame:
-    """Attach the text of the few rows that are left; content is (partition_id, text)."""
-    return content.join(F.broadcast(hits), "partition_id", "right")
+    """Attach the text of the few rows that are left; content is (partition_id, text).
+
+    The hits are an answer to requests and so few; they are counted, and the texts
+    are only scanned, never shuffled. Hits without text stay. An answer of more
+    than HITS rows is joined as Spark sees fit.
+    """
+    got = hits.limit(HITS + 1).toArrow()
+    if got.num_rows > HITS:
+        return hits.join(content, "partition_id", "left")
+    few = hits.sparkSession.createDataFrame(got)
+    ids = hits.sparkSession.createDataFrame(got.select(["partition_id"]).group_by("partition_id").aggregate([]))
+    found = content.join(F.broadcast(ids), "partition_id")
+    # at most as many rows as there are hits
+    return few.join(F.broadcast(found), "partition_id", "left")
