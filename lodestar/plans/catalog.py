@@ -107,30 +107,30 @@ SELECT {columns} FROM res"""
 
 @query(_search_sql(OWNED, False))
 def search_personal(v: Views) -> DataFrame:
-    return search.search(v, v.queries(), OWNER).select("query_id", "partition_id", "document_id", r6("distance"), "position")
+    return search.search(v, v.queries(), OWNER, bound=v.bound).select("query_id", "partition_id", "document_id", r6("distance"), "position")
 
 
 @query(_search_sql(f"({OWNED} OR {PUBLIC})", True))
 def search_global(v: Views) -> DataFrame:
-    return search.search(v, v.queries(), OWNER, "global").select("query_id", "partition_id", "document_id", r6("distance"), "position")
+    return search.search(v, v.queries(), OWNER, "global", bound=v.bound).select("query_id", "partition_id", "document_id", r6("distance"), "position")
 
 
 @query(_search_sql(f"({OWNED} OR {PUBLIC}) AND NOT (p.shard_id = 1 AND p.partition_id % 2 = 0)", True))
 def remove_then_search(v: Views) -> DataFrame:
     live = v.node.where("NOT is_deleted")
-    return search.search(v, v.queries(), OWNER, "global", live=live).select("query_id", "partition_id", "document_id", r6("distance"), "position")
+    return search.search(v, v.queries(), OWNER, "global", bound=v.bound, live=live).select("query_id", "partition_id", "document_id", r6("distance"), "position")
 
 
 @query(_search_sql(OWNED, False, "query_id, partition_id, round(d, 6) AS distance, round(d * (1 + (partition_id % 3 - 1) * 0.1), 6) AS adjusted, round(CASE WHEN d > 0 THEN d * (1 + (partition_id % 3 - 1) * 0.1) / d ELSE 1 END, 6) AS factor, "
        "CASE WHEN d * (1 + (partition_id % 3 - 1) * 0.1) >= threshold THEN 'dropped' WHEN d = 0 THEN 'unchanged' WHEN partition_id % 3 = 0 THEN 'boosted' WHEN partition_id % 3 = 2 THEN 'demoted' ELSE 'unchanged' END AS status"))
 def adjustment_report(v: Views) -> DataFrame:
-    hits = search.search(v, v.queries(), OWNER).withColumn("adjusted", F.col("distance") * (1 + (F.col("partition_id") % 3 - 1) * 0.1))
+    hits = search.search(v, v.queries(), OWNER, bound=v.bound).withColumn("adjusted", F.col("distance") * (1 + (F.col("partition_id") % 3 - 1) * 0.1))
     return search.adjustments(hits).select("query_id", "partition_id", r6("distance"), r6("adjusted"), r6("factor"), "status")
 
 
 @query(_search_sql(OWNED, False, "query_id, partition_id, position::INT AS position, left(x.text, 200) AS preview").replace("FROM res", "FROM res LEFT JOIN documents x ON x.doc_id = res.partition_id"))
 def search_late_materialise(v: Views) -> DataFrame:
-    hits = search.search(v, v.queries(), OWNER).select("query_id", "partition_id", "position")
+    hits = search.search(v, v.queries(), OWNER, bound=v.bound).select("query_id", "partition_id", "position")
     content = v.table("documents").select(F.col("doc_id").alias("partition_id"), T.preview(F.col("text")).alias("preview"))
     return search.materialise(hits, content).select("query_id", "partition_id", "position", "preview")
 
@@ -156,7 +156,7 @@ def tag_distance_filter(v: Views) -> DataFrame:
 @query(_search_sql(f"{OWNED} AND p.document_id IN (SELECT document_id FROM v_tags t WHERE t.tags_embedding IS NULL OR 1 - {dot_sql('t.tags_embedding', '(SELECT query FROM v_query WHERE query_id = 5)')} < 0.85)", False))
 def search_tagged(v: Views) -> DataFrame:
     tag = [float(x) for x in v.queries().where("query_id = 5").first()["query"]]
-    return search.search(v, v.queries(), OWNER, tags=F.array(*map(F.lit, tag))).select("query_id", "partition_id", "document_id", r6("distance"), "position")
+    return search.search(v, v.queries(), OWNER, bound=v.bound, tags=F.array(*map(F.lit, tag))).select("query_id", "partition_id", "document_id", r6("distance"), "position")
 
 
 @query(f"SELECT label, count(*) AS n, round(avg({l2_sql('p.embedding', 'q.query')}), 6) AS mean_distance FROM v_partition p, v_query q GROUP BY label")
@@ -240,7 +240,7 @@ z AS (SELECT *, d < (SELECT max(threshold) FROM v_threshold) AS keep FROM pool)
 SELECT query_id, partition_id, document_id, round(d, 6) AS distance FROM (SELECT *, bool_or(keep) OVER (PARTITION BY query_id) AS any_keep FROM z) WHERE keep OR NOT any_keep""")
 def search_global_diverse(v: Views) -> DataFrame:
     adc = _adc(v).join(v.partition.select("partition_id", "document_id"), "partition_id").withColumn("distance", F.round("distance", 9))
-    return search.search(v, v.queries(), OWNER, "global", adc=adc, per_shard=2).select("query_id", "partition_id", "document_id", r6("distance"))
+    return search.search(v, v.queries(), OWNER, "global", bound=v.bound, adc=adc, per_shard=2).select("query_id", "partition_id", "document_id", r6("distance"))
 
 
 @query()
@@ -253,11 +253,6 @@ def ann_ivf(v: Views) -> DataFrame:
     return graph.ivf(v.partition, v.queries(), 10, 16, 12)
 
 
-@query()
-def ann_graph(v: Views) -> DataFrame:
-    return graph.ann(v.node, v.queries(), 10)
-
-
 @query()
 def graph_layers(v: Views) -> DataFrame:
     return graph.graph_edges(v.node)
@@ -309,7 +304,7 @@ def doc_dedup_gate(v: Views) -> DataFrame:
     return gated.select("doc_id", "action")
 
 
-@query(f"WITH {CID} SELECT count(*) FILTER (action = 'link') AS linked, count(*) FILTER (action = 'index') AS prepared, count(*) FILTER (action = 'skip') AS skipped, true AS success FROM (SELECT CASE WHEN content_id IN (SELECT content_id FROM cid WHERE doc_id % 5 < 2) THEN 'link' ELSE 'index' END AS action FROM cid)", prefix=False)
+@query(f"WITH {CID} SELECT count(*) FILTER (action = 'link') AS linked, count(*) FILTER (action = 'index') AS prepared, count(*) FILTER (action = 'skip') AS skipped, 0::BIGINT AS failed, true AS success FROM (SELECT CASE WHEN content_id IN (SELECT content_id FROM cid WHERE doc_id % 5 < 2) THEN 'link' ELSE 'index' END AS action FROM cid)", prefix=False)
 def ingest_outcome(v: Views) -> DataFrame:
     ids = ingest.content_ids(v.table("documents")).select("doc_id", "content_id").withColumn("owner_id", F.lit("o")).withColumn("group_id", F.lit(None).cast("string"))
     return ingest.outcome(ingest.gate(ids, ids.where("doc_id % 5 < 2"), ids.limit(0)))
@@ -320,11 +315,6 @@ def coalesced_embed_inputs(v: Views) -> DataFrame:
     return v.table("documents").groupBy("text").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"))
 
 
-@query()
-def doc_chunks(v: Views) -> DataFrame:
-    return ingest.chunks(v.table("documents"))
-
-
 @query()
 def ingest_prepared(v: Views) -> DataFrame:
     return ingest.prepared(v.table("documents"), "Owner_1").select("document_id", "pos", "text", "partition_id", "owner_id")
@@ -364,11 +354,6 @@ def html_extract(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", T.html_text(F.col("html"), entities=False).alias("body"))
 
 
-@query()
-def html_extract_full(v: Views) -> DataFrame:
-    return v.table("pages").select("page_id", T.html_text(F.col("html")).alias("body"))
-
-
 @query("SELECT conv_id, count(*) AS parts, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id", prefix=False)
 def multi_part_inputs(v: Views) -> DataFrame:
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
@@ -476,14 +461,15 @@ def move_document(v: Views) -> DataFrame:
 
 
 NEW = """, new AS (SELECT owner_id, document_id, 'owner_' || (document_id % 2) || '-g0' AS group_id FROM v_owner_document WHERE document_id < 30),
-put AS (SELECT n.document_id, CASE WHEN bool_or(g.owner_id IS NULL OR g.owner_id = n.owner_id) THEN max(CASE WHEN g.owner_id = n.owner_id THEN g.access END) ELSE 'restricted' END AS access FROM new n LEFT JOIN v_group g USING (group_id) GROUP BY 1)
+put AS (SELECT n.document_id, arg_max(CASE WHEN g.owner_id = n.owner_id THEN g.access ELSE 'restricted' END, n.owner_id) AS access FROM new n LEFT JOIN v_group g USING (group_id) GROUP BY 1)
 """
 
 
 @query(NEW + "SELECT document_id, coalesce(p.access, a.access) AS access FROM v_document_access a FULL JOIN put p USING (document_id)")
 def register_documents(v: Views) -> DataFrame:
+    """In order of owner; the last row of a document decides."""
     new = v.owner_document.where("document_id < 30").select("owner_id", "document_id", F.concat(F.lit("owner_"), (F.col("document_id") % 2).cast("string"), F.lit("-g0")).alias("group_id"))
-    new = new.withColumn("label", F.lit("x")).withColumn("tags", F.array(F.lit("t"))).withColumn("access", F.lit(None).cast("string"))
+    new = new.withColumn("label", F.lit("x")).withColumn("tags", F.array(F.lit("t"))).withColumn("access", F.lit(None).cast("string")).withColumn("seq", F.substring("owner_id", -1, 1).cast("int"))
     return Registry.of(v).registered(new).document_access
 
 
@@ -603,11 +589,6 @@ def _jobs(v: Views) -> DataFrame:
     return v.table("events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 4).alias("lane"), F.col("event_type").alias("owner_id"), F.lit("g").alias("group_id"), kind.alias("kind"), F.lit(1).cast("long").alias("items"))
 
 
-@query()
-def queue_coalesce_capped(v: Views) -> DataFrame:
-    return log.capped(_jobs(v), "lane", 2)
-
-
 VALID = ", ok AS (SELECT * FROM v_log WHERE seq < (SELECT min(seq) FROM v_log WHERE corrupt))"
 
 
@@ -621,3 +602,6 @@ round(coalesce(sum(value) FILTER (op = 'earnings' AND value > 0), 0), 4) AS earn
 def wal_replay_registry(v: Views) -> DataFrame:
     twice = v.log.unionByName(v.log.where("seq % 7 = 0"))
     return log.replay(twice, 100).withColumn("sentiment", F.round("sentiment", 4)).withColumn("earned", F.round("earned", 4))
+
+
+from lodestar.plans import upkeep  # noqa: E402, F401

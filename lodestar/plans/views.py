@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -9,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import vector as V
+from lodestar.operators import search
+from lodestar.operators.index import Index
+from lodestar.sources.store import Store, shared_dir
 
+#: Of the stored tables; a new one makes them anew.
+FORMAT = 2
 PER_DOCUMENT, PER_SHARD = 5, 125
 
 
@@ -25,6 +31,39 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    # --- what an index keeps besides its rows ---------------------------------------
+    def _key(self) -> str:
+        """Changes with the table of vectors."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/embeddings.parquet")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        s = fs.getFileStatus(path)
+        files = [s] if s.isFile() else [x for x in fs.listStatus(path)]
+        stamp = "|".join(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files)
+        return hashlib.md5(f"{FORMAT}|{stamp}".encode()).hexdigest()
+
+    @cached_property
+    def store(self) -> Store:
+        return Store(self.spark, f"{shared_dir(self.spark)}/index-{self._key()}")
+
+    @cached_property
+    def graph(self) -> Index:
+        """The layered graph, which is built and stored when it is first asked for."""
+        got = Index.restore(self.store)
+        if got is None:
+            Index.build(self.node).save(self.store)
+            got = Index.restore(self.store)
+        return got
+
+    @cached_property
+    def bound(self) -> DataFrame:
+        """The shards' thresholds, likewise."""
+        got = self.store.restore("bound")
+        if got is None:
+            self.store.save("bound", search.thresholds(self.partition))
+            got = self.store.restore("bound")
+        return got
+
     @cached_property
     def partition(self) -> DataFrame:
         v = F.col("vec_id")
