@@ -94,7 +94,7 @@ def _apportion(batches, percent: int):
     if held:
         t = pa.Table.from_batches(held)
         supply = t.column("supply").to_numpy()
-        won = apportion(t.column("source").to_pylist(), supply, t.column("weight").to_numpy(), int(supply.sum()) * percent // 100)
+        won = apportion(t.column("source").to_pylist(), supply, t.column("weight").to_numpy(), -(-int(supply.sum()) * percent // 100))
         yield pa.RecordBatch.from_arrays([t.column("source").combine_chunks(), pa.array(won, pa.int64())], ["source", "won"])
 
 
@@ -102,7 +102,7 @@ def quotas(supply: DataFrame, weights: dict[str, int], default: int = TARGET_DEF
     """(source, shard, quota): blocks each shard of each source gives, of supply (source, shard, blocks).
 
     weights are integers by source, with a default for those that aren't named.
-    There are percent of all blocks to give, rounded down. First over sources:
+    There are percent of all blocks to give, rounded up, so that a small corpus keeps something. First over sources:
     seats go by highest quotient weight / (2k + 1), a tie to the source first by
     name; a source that runs out drops out and the others go on. A source of
     weight 0 gives none. Then within a source by the same rule over its shards,
@@ -215,7 +215,7 @@ supply AS (SELECT source, shard, greatest(1, ceil(sum(tokens) / {block_tokens}))
 laid AS (SELECT doc_id, source, tokens, shard, least(block, blocks - 1) AS block FROM placed JOIN supply USING (source, shard)),
 per AS (SELECT source, sum(blocks)::BIGINT AS supply, {weight} AS weight FROM supply GROUP BY source),
 seat AS (SELECT source, row_number() OVER (ORDER BY weight / (2 * k + 1) DESC, source) AS r FROM (SELECT *, unnest(range(0, supply)) AS k FROM per WHERE weight > 0)),
-won AS (SELECT source, count(*) AS won FROM seat WHERE r <= (SELECT sum(supply)::BIGINT * {percent} // 100 FROM per) GROUP BY source),
+won AS (SELECT source, count(*) AS won FROM seat WHERE r <= (SELECT (sum(supply)::BIGINT * {percent} + 99) // 100 FROM per) GROUP BY source),
 inner_seat AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY blocks / (2 * k + 1) DESC, shard) AS r
        FROM (SELECT *, unnest(range(0, blocks)) AS k FROM supply)),
 quota AS (SELECT source, shard, count(*) AS quota FROM inner_seat JOIN won USING (source) WHERE r <= won GROUP BY ALL),
