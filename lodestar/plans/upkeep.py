@@ -281,7 +281,7 @@ def request_encoding(v: Views) -> DataFrame:
 
 
 @query("""SELECT event_id, 'owner_' || (user_id % 7) AS owner_id, CASE WHEN event_id % 2 = 0 THEN 'global' ELSE 'personal' END AS scope, event_id % 3 = 0 AS aggregate, CASE WHEN event_id % 5 = 0 THEN 2 ELSE 0 END AS tags,
-CASE WHEN event_id % 4 = 0 THEN 'a,b' ELSE event_type END AS inputs, CASE event_id % 3 WHEN 0 THEN 2.5 * user_id WHEN 1 THEN 3.0 END AS vector FROM events""", prefix=False)
+CASE WHEN event_id % 4 = 0 THEN 'a,b' ELSE event_type END AS inputs, (CASE event_id % 3 WHEN 0 THEN 2.5 * user_id WHEN 1 THEN 3.0 END)::DOUBLE AS vector FROM events""", prefix=False)
 def request_decoding(v: Views) -> DataFrame:
     e, i = v.table("events"), F.col("event_id")
     part = lambda when, text: F.when(when, text).otherwise("")
