@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.operators.index import Index, replayed
 from lodestar.operators.registry import Registry
 from lodestar.sources.journal import Journal
+from lodestar.sources.store import spooled
 
 TABLES = ("nodes", "links", "states")
 
@@ -33,7 +34,8 @@ def recover(journal: Journal, registry: Registry, vectors: DataFrame, content: D
     shard of which any live node has none is taken out of search (entry -1); 4. documents
     that nobody registered are removed; 5. of partitions that are twice in a shard and
     documents in several shards one copy stays, and shards with too many dead nodes are
-    compacted; 6. routing is made anew from live nodes. None where there is neither
+    compacted; 6. routing is made anew from live nodes. Each step's tables are written
+    once. None where there is neither
     checkpoint nor log.
     """
     spark = vectors.sparkSession
@@ -50,15 +52,18 @@ def recover(journal: Journal, registry: Registry, vectors: DataFrame, content: D
         }
     nodes = state["nodes"].drop("embedding")
     index = replayed(nodes, state["links"], state["states"], tail) if tail is not None else Index(nodes, state["links"], state["states"])
+    index = Index(spooled(index.nodes), spooled(index.links), spooled(index.states))
     # an upsert leaves several nodes of a partition; they have one vector
     attached = index.nodes.join(vectors.select("shard_id", "partition_id", "embedding").dropDuplicates(["shard_id", "partition_id"]), ["shard_id", "partition_id"], "left")
     lacking = attached.where("NOT is_deleted AND embedding IS NULL").select("shard_id").distinct().withColumn("off", F.lit(True))
     index = Index(attached.select("shard_id", "local_idx", "partition_id", "document_id", "level", "is_deleted", "embedding"), index.links, index.states)
-    orphans = registry.orphans(index.nodes.where("NOT is_deleted"))
+    orphans = spooled(registry.orphans(index.nodes.where("NOT is_deleted")))
     clean = index.removed(orphans).without_copies()
+    clean = Index(spooled(clean.nodes), clean.links, spooled(clean.states))
     whole = clean.compacted(at)
     off = lambda c: F.when(F.col("off"), -1).otherwise(F.col(c)).alias(c)
     whole = Index(whole.nodes, whole.links, whole.states.join(lacking, "shard_id", "left").select("shard_id", off("entry"), off("max_level"), "ef", "ema"))
+    whole = Index(spooled(whole.nodes), spooled(whole.links), spooled(whole.states))
     live = lambda df: df.where("NOT is_deleted")
     n = lambda what, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
     after = live(whole.nodes)

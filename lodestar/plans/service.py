@@ -12,6 +12,7 @@ from lodestar.functions import text as T
 from lodestar.functions.vector import vector_digest
 from lodestar.operators import graph, ingest, search
 from lodestar.operators.registry import Registry
+from lodestar.sources.store import spooled
 
 
 INDEX = "document_id string, pos int, text string, embedding array<float>, partition_id string, owner_id string"
@@ -55,20 +56,21 @@ class Service:
         ids = ingest.content_ids(has).select("doc_id", "content_id")
         asked = ids.withColumn("owner_id", F.lit(owner)).withColumn("group_id", F.lit(group_id).cast("string"))
         links = self.registry.owner_document.select(F.col("document_id").alias("content_id"), "owner_id", "group_id")
-        gated = ingest.gate(asked, self.index.select(F.col("document_id").alias("content_id")), links)
+        gated = spooled(ingest.gate(asked, self.index.select(F.col("document_id").alias("content_id")), links))
         todo = gated.where("action = 'index'").select("doc_id", "content_id")
         # of inputs that are one document the first is put
         todo = todo.groupBy("content_id").agg(F.min("doc_id").alias("doc_id"))
         fresh = has.join(todo.select("doc_id"), "doc_id", "left_semi")
-        new = ingest.prepared(fresh, owner, self.embedder, clean)
+        new = spooled(ingest.prepared(fresh, owner, self.embedder, clean))  # the model is asked once
         own_tags = F.col("tags") if "tags" in inputs.columns else F.lit(None).cast("array<string>")
         made = ingest.tags(has).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("made"))
         given = has.select("doc_id", F.when(F.size(own_tags) > 0, own_tags).alias("given"))
         tags = given.join(made, "doc_id", "left").select("doc_id", F.coalesce("given", "made", F.array().cast("array<string>")).alias("tags"))
+        tags = spooled(tags)
         extra = lambda c, kind: (F.col(c) if c in inputs.columns else F.lit(None)).cast(kind).alias(c)
         info = todo.join(has.select("doc_id", extra("name", "string"), extra("metadata", "binary")), "doc_id").join(tags, "doc_id")
         info = ingest.embed(info.withColumn("line", T.tag_string(F.col("tags"))), "line", self.embedder)
-        info = info.select(F.col("content_id").alias("document_id"), "name", "metadata", F.lit(media_type).alias("media_type"), "tags", F.col("embedding").alias("tags_embedding"))
+        info = spooled(info.select(F.col("content_id").alias("document_id"), "name", "metadata", F.lit(media_type).alias("media_type"), "tags", F.col("embedding").alias("tags_embedding")))
         # a group gets the tags of all that is put into it, new or linked
         row = lambda g: g.select("owner_id", F.col("content_id").alias("document_id"), "group_id", F.col("group_id").alias("label"), "tags", F.lit(None).cast("string").alias("access"))
         put = row(gated.where("action = 'index'").join(tags, "doc_id")).dropDuplicates(["document_id"])
@@ -87,7 +89,7 @@ class Service:
         owner = (owner or nobody).lower()
         pos = F.col("pos") if "pos" in items.columns else F.lit(0)
         rows = items.where("text IS NOT NULL AND text <> ''").select("document_id", pos.cast("int").alias("pos"), "text")
-        rows = ingest.embed(rows, "text", self.embedder).where("size(embedding) > 0")
+        rows = spooled(ingest.embed(rows, "text", self.embedder).where("size(embedding) > 0"))
         new = rows.select("document_id", "pos", "text", "embedding", vector_digest()(F.col("embedding"), F.col("document_id")).alias("partition_id"), F.lit(owner).alias("owner_id"))
         none = F.lit(None).cast("string")
         put = new.select(F.lit(owner).alias("owner_id"), "document_id", F.lit(group_id).cast("string").alias("group_id"), F.lit(group_id).cast("string").alias("label"), F.array().cast("array<string>").alias("tags"), none.alias("access")).distinct()

@@ -32,6 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def spooled(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: made once however often it is used, whole if an executor is lost, and gone when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(fs.Path(path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Tables under a folder, each a series of versions.
 

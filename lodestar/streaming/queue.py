@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestar.functions import misc
 from lodestar.operators.registry import Registry
 from lodestar.plans.service import Service
-from lodestar.sources.store import Store
+from lodestar.sources.store import Store, spooled
 
 
 def put_stream(inputs: DataFrame, store: Store, owner: str, checkpoint: str, name: str = "index", trigger: dict | None = None, group_id: str | None = None, fold_at: int = 20) -> StreamingQuery:
@@ -34,7 +34,7 @@ def put_batch(df: DataFrame, store: Store, owner: str, name: str, number: int, g
     spark = df.sparkSession
     was = state(store, name)
     service = Service(was[0], was[1]) if was else Service.empty(spark)
-    after, _ = service.ingest(df, owner, group_id)
+    after, _ = service.ingest(spooled(df), owner, group_id)
     fresh = after.fresh.withColumn("generation", F.lit(number).cast("long"))
     r = after.registry
     tables = {"owner_document": r.owner_document, "document_group": r.document_group, "groups": r.groups, "document_access": r.document_access}
