@@ -38,6 +38,7 @@ _SEPARATORS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u200
 _TRIM = " \t\n\x0b\x0c\r" + _SEPARATORS
 _ID_SPLIT = re.compile(f"[ \\t\\n-\\r\\x85{_SEPARATORS}]+")
 _TAG_SPLIT = regex.compile(NOT_ALNUM)
+_MARK, _WORDS = regex.compile(r"\p{M}"), re.compile(r"[^\W_]+")
 _TOP = ArrayType(StructType().add("n", LongType()).add("word", StringType()))
 _ENDS = regex.compile(r"\A\p{P}+|\p{P}+\Z")
 
@@ -58,12 +59,19 @@ def _most(count: Counter, n: int) -> list[tuple[int, str]]:
     return heapq.nsmallest(n, ((-k, w) for w, k in count.items()))
 
 
+def _tag_words(t: str) -> list[str]:
+    """Runs of letters, marks and numbers; without marks the quicker class of word characters is the same but for the underscore."""
+    return _WORDS.findall(t) if t.isascii() or not _MARK.search(t) else _TAG_SPLIT.split(t)
+
+
 @F.arrow_udf(_TOP)
 def _top_tags(lowered: pa.Array) -> pa.Array:
     stop = frozenset(TAG_STOP_WORDS)
     out = []
     for t in lowered.to_pylist():
-        count = Counter(w for w in _TAG_SPLIT.split(t) if len(w) > 3 and w not in stop) if t is not None else {}
+        count = {} if t is None else Counter(_tag_words(t))
+        for w in [w for w in count if len(w) < 4 or w in stop]:
+            del count[w]
         out.append([{"n": -k, "word": w} for k, w in _most(count, MAX_TAGS)] if t is not None else None)
     return pa.array(out, pa.list_(pa.struct([("n", pa.int64()), ("word", pa.string())])))
 
