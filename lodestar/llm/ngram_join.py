@@ -26,8 +26,9 @@ frequency 2 and more can be shared, so overlaps counted on those are exact.
 
 Where only groups are wanted (representatives), steps 3 to 5 run twice: first
 each n-gram proposes pairs of its documents with one of them, the pivot, and
-then all pairs of documents that aren't in one group yet. A cluster of copies
-thus costs as much as it has members, and not as many pairs as there are in it.
+then all pairs of documents that aren't in one group yet. At a home a set is
+compared only with those it isn't connected to yet, without a trie. A cluster of
+copies thus costs as much as it has members, and not as many pairs as there are in it.
 """
 
 from __future__ import annotations
@@ -205,7 +206,7 @@ def _count(batches, parts: int):
         g = np.concatenate(grams)
         del grams
         if len(sig) < 1 << 24:
-            key = np.unique((g << np.uint64(24)) | doc.astype(np.uint64))
+            key = util.distinct((g << np.uint64(24)) | doc.astype(np.uint64))
             g, doc = key >> np.uint64(24), (key & np.uint64((1 << 24) - 1)).astype(np.int64)
             del key
         else:
@@ -251,7 +252,7 @@ def _hot_counts(hot: list[tuple]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndar
     gram, head, home = (np.concatenate([h[k] for h in hot]) for k in range(3))
     name, inverse = np.unique(gram, return_inverse=True)
     total = np.bincount(inverse, weights=head[:, 0], minlength=len(name)).astype(np.int64)
-    ask = np.unique((np.repeat(inverse, head[:, 1]).astype(np.uint64) << np.uint64(32)) | home.astype(np.uint64))
+    ask = util.distinct((np.repeat(inverse, head[:, 1]).astype(np.uint64) << np.uint64(32)) | home.astype(np.uint64))
     return name, total, ((ask >> np.uint64(32)).astype(np.int64), (ask & np.uint64(0xFFFFFFFF)).astype(np.int64))
 
 
@@ -364,10 +365,10 @@ def candidates(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndar
         found.append(np.minimum(a, b).astype(np.uint64) * docs + np.maximum(a, b).astype(np.uint64))
         held += len(a)
         if held > 4_000_000:
-            found = [np.unique(np.concatenate(found))]
+            found = [util.distinct(np.concatenate(found))]
             held = len(found[0]) // 2
         step += 1
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+    pairs = util.distinct(np.concatenate(found)) if found else np.empty(0, np.uint64)
     return (pairs // docs).astype(np.int64), (pairs % docs).astype(np.int64)
 
 
@@ -389,7 +390,7 @@ def pivots(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarray,
     at = np.flatnonzero(head)
     first = np.repeat(at, np.diff(np.concatenate([at, [len(g)]])))
     ok = _may(d[first], d, rest[first], rest, size, threshold)
-    pairs = np.unique(d[first][ok].astype(np.uint64) * np.uint64(len(size)) + d[ok].astype(np.uint64))
+    pairs = util.distinct(d[first][ok].astype(np.uint64) * np.uint64(len(size)) + d[ok].astype(np.uint64))
     return (pairs // np.uint64(len(size))).astype(np.int64), (pairs % np.uint64(len(size))).astype(np.int64)
 
 
@@ -419,7 +420,7 @@ def across(gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: np.ndarray,
         j = np.repeat(own[k], many[k]) + util.ranges(many[k])
         ok = _may(d[i], d[j], rest[i], rest[j], size, threshold)
         x, y = d[i[ok]].astype(np.uint64), d[j[ok]].astype(np.uint64)
-        found = [np.unique(np.concatenate([*found, np.minimum(x, y) * docs + np.maximum(x, y)]))]
+        found = [util.distinct(np.concatenate([*found, np.minimum(x, y) * docs + np.maximum(x, y)]))]
         at = end
     return (found[0] // docs).astype(np.int64), (found[0] % docs).astype(np.int64)
 
@@ -621,12 +622,10 @@ def trie_join(sets: list[np.ndarray], freq: list[np.ndarray], size: np.ndarray,
 _FOUND = "a array<bigint>, b array<bigint>, overlap int, either int"
 
 
-def _at_home(rows: pa.Table, threshold: float):
-    sig = rows.column("sig").to_numpy()
+def _at_home(rows: pa.Table):
+    """(signatures, sets of n-grams, sizes, which are compared here) of a home."""
     sets = [np.frombuffer(g.as_buffer(), np.uint64) for c in rows.column("gram").chunks for g in c]
-    freq = [np.frombuffer(g.as_buffer(), np.uint16) for c in rows.column("df").chunks for g in c]
-    size = rows.column("size").to_numpy().astype(np.int64)
-    return sig, size, trie_join(sets, freq, size, rows.column("mine").to_numpy(zero_copy_only=False), sig, threshold)
+    return rows.column("sig").to_numpy(), sets, rows.column("size").to_numpy().astype(np.int64), rows.column("mine").to_numpy(zero_copy_only=False)
 
 
 def _join(batches, threshold: float):
@@ -634,7 +633,9 @@ def _join(batches, threshold: float):
     for rows in util.runs_of(batches, "home"):
         if rows.num_rows < 2:
             continue
-        _, size, found = _at_home(rows, threshold)
+        sig, sets, size, mine = _at_home(rows)
+        freq = [np.frombuffer(g.as_buffer(), np.uint16) for c in rows.column("df").chunks for g in c]
+        found = trie_join(sets, freq, size, mine, sig, threshold)
         ids = rows.column("ids").to_pylist()
         held += [(ids[x], ids[y], c, int(size[x] + size[y] - c)) for x, y, c in found]
         if len(held) > 20_000:
@@ -644,28 +645,61 @@ def _join(batches, threshold: float):
         yield _rows(held, ["a", "b", "overlap", "either"], [pa.list_(pa.int64())] * 2 + [pa.int32()] * 2)
 
 
+#: N-grams that a comparison looks at once.
+AT_ONCE = 1 << 21
+
+
+def forest(sets: list[np.ndarray], size: np.ndarray, mine: np.ndarray, rank: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs that connect what those of trie_join connect, and no more of them.
+
+    A set is compared only with those it isn't connected to yet: in a group of
+    near copies the first takes in nearly all, and for the others little is left.
+    """
+    gram, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    long = np.array([len(s) for s in sets])
+    begin = np.cumsum(long) - long
+    marks = np.zeros(len(gram), np.bool_)
+    label = np.arange(len(sets))
+    tree = []
+    for x in np.flatnonzero(mine).tolist():
+        rest = np.flatnonzero((label != label[x]) & (rank > rank[x]))
+        need = np.maximum(1, least_overlap(size[x], size[rest], threshold))
+        may = np.minimum(long[x], long[rest]) >= need
+        rest, need = rest[may], need[may]
+        if not len(rest):
+            continue
+        own = flat[begin[x] : begin[x] + long[x]]
+        marks[own] = True
+        ends = np.cumsum(long[rest])
+        at = 0
+        while at < len(rest):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            some = rest[at:end]
+            hit = marks[flat[np.repeat(begin[some], long[some]) + util.ranges(long[some])]]
+            near = some[np.add.reduceat(hit, np.cumsum(long[some]) - long[some], dtype=np.int64) >= need[at:end]]
+            groups, first = np.unique(label[near], return_index=True)
+            new = groups != label[x]
+            if new.any():
+                tree += [(x, y) for y in near[first[new]].tolist()]
+                label[np.isin(label, groups)] = label[x]
+            at = end
+        marks[own] = False
+    return tree
+
+
 def _forest(batches, threshold: float):
-    """Edges (u, v) between sets that connect what the pairs at a home connect, and no more of them."""
+    """Edges (u, v) between sets that connect what the pairs at a home connect."""
+    held: list[tuple] = []
     for rows in util.runs_of(batches, "home"):
         if rows.num_rows < 2:
             continue
-        sig, _, found = _at_home(rows, threshold)
-        root = list(range(len(sig)))
-
-        def top(i, root=root):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        tree = []
-        for x, y, _ in found:
-            a, b = top(x), top(y)
-            if a != b:
-                root[a] = b
-                tree.append((int(sig[x]), int(sig[y])))
-        if tree:
-            yield _rows(tree, ["u", "v"], [pa.int64()] * 2)
+        sig, sets, size, mine = _at_home(rows)
+        held += [(int(sig[x]), int(sig[y])) for x, y in forest(sets, size, mine, sig, threshold)]
+        if len(held) > 20_000:
+            yield _rows(held, ["u", "v"], [pa.int64()] * 2)
+            held = []
+    if held:
+        yield _rows(held, ["u", "v"], [pa.int64()] * 2)
 
 
 def _sets(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:

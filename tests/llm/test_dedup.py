@@ -248,6 +248,56 @@ def test_trie(sets, threshold):
     assert sorted(got) == want
 
 
+def test_distinct_takes_as_long_as_a_sort():
+    import time
+
+    def seconds(f):
+        t = time.process_time()
+        f()
+        return time.process_time() - t
+
+    rng = np.random.default_rng(7)
+    for n, top in ((0, 9), (1, 9), (1000, 50)):
+        some = rng.integers(0, top, n).astype(np.uint64)
+        assert ngram_join.util.distinct(some).tolist() == sorted({*some.tolist()})
+    # keys as _count has them: n-gram and document
+    key = (rng.integers(0, 1 << 40, 1_000_000).astype(np.uint64) << np.uint64(24)) | np.arange(1_000_000, dtype=np.uint64)
+    assert min(seconds(lambda: ngram_join.util.distinct(key)) for _ in range(3)) < 8 * min(seconds(lambda: np.sort(key)) for _ in range(3))
+
+
+def joined(n, pairs):
+    label = list(range(n))
+    for x, y in pairs:
+        a, b = label[x], label[y]
+        label = [a if k == b else k for k in label]
+    return {frozenset(i for i in range(n) if label[i] == k) for k in label}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 15), min_size=1, max_size=9), st.booleans(), st.integers(0, 2)), min_size=2, max_size=14), st.sampled_from([0.2, 0.5, 0.8]), st.sampled_from([4, 1 << 21]))
+def test_forest_connects_what_pairs_connect(spec, threshold, at_once):
+    sets = [np.array(sorted(s), np.uint64) for s, *_ in spec]
+    mine = np.array([m for _, m, _ in spec])
+    size = np.array([len(s) + own for s, _, own in spec])  # some n-grams are a set's own
+    want = [(x, y) for x, y, _ in ngram_join.trie_join(sets, [np.ones(len(s), int) for s in sets], size, mine, np.arange(len(sets)), threshold)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ngram_join, "AT_ONCE", at_once)
+        got = ngram_join.forest(sets, size, mine, np.arange(len(sets)), threshold)
+    assert joined(len(sets), got) == joined(len(sets), want)
+    assert len(got) == len(sets) - len(joined(len(sets), want)) and {*got} <= {*want}
+
+
+def test_a_home_of_near_copies_is_gone_through_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    seen = []
+    ranges = ngram_join.util.ranges
+    monkeypatch.setattr(ngram_join.util, "ranges", lambda n: seen.append(int(n.sum())) or ranges(n))
+    sets = [np.flatnonzero(rng.random(400) < 0.9).astype(np.uint64) for _ in range(600)]
+    size = np.array([len(s) for s in sets])
+    tree = ngram_join.forest(sets, size, np.ones(600, bool), np.arange(600), 0.35)
+    assert len(tree) == 599 and sum(seen) <= size.sum()  # all pairs are 300 times as much
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), min_size=1, max_size=30))
 def test_candidates_have_all_pairs(spec):
