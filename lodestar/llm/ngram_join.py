@@ -24,7 +24,7 @@ the driver or broadcast):
 Documents with equal sets are one entry of the join throughout. Only n-grams of
 frequency 2 and more can be shared, so overlaps counted on those are exact.
 
-Where only groups are wanted (representatives), steps 3 to 5 run twice: first
+Where only groups are wanted (representatives, classes), steps 3 to 5 run twice: first
 each n-gram proposes pairs of its documents with one of them, the pivot, and
 then all pairs of documents that aren't in one group yet. At a home a set is
 compared only with those it isn't connected to yet, without a trie. A cluster of
@@ -769,8 +769,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(root, id, mark): rows that chains of near pairs link to another, as identifier and hash of the text, and the name of their group."""
+def _classes(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(all sets, (sig, root) of those that chains of near pairs link to another set)."""
     sets = _sets(docs, n, threshold, id_col, text_col)
     may = sets.where("gram IS NOT NULL")
     step = lambda labels, how: _meet(may, labels, threshold, how).mapInArrow(util.frugal(lambda b: _forest(b, threshold)), "u bigint, v bigint")
@@ -778,11 +778,115 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: st
     labels = may.join(first.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("root", "sig"))
     second = util.spool(step(labels, "across"), "across")
     whole = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second)) if not second.isEmpty() else first
-    whole = whole.unionByName(whole.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "sig")
+    return sets, whole.unionByName(whole.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "sig")
+
+
+def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(root, id, mark): rows that chains of near pairs link to another, as identifier and hash of the text, and the name of their group."""
+    sets, whole = _classes(docs, n, threshold, id_col, text_col)
     rows = sets.select("sig", "ids", "marks").join(whole, "sig", "left").where("root IS NOT NULL OR size(ids) > 1")
     return rows.select(F.coalesce("root", "sig").alias("root"), F.explode(F.arrays_zip("ids", "marks")).alias("r")).select("root", F.col("r.ids").alias("id"), F.col("r.marks").alias("mark"))
 
 
+#: Sets and n-grams of a piece of a class, about; pieces are compared two by two.
+PIECE_SETS = 2048
+PIECE_GRAMS = 1 << 20
+
+
+def overlaps(gram: np.ndarray, doc: np.ndarray, first: int, many: int) -> np.ndarray:
+    """Common n-grams of each of the sets below ``first`` (rows) with each of the others, up to ``many`` (columns); doc: the set that has gram.
+
+    N-grams of few pairs are counted pair by pair and the others as products of matrices of 0 and 1.
+    """
+    rows, cols = first, many - first
+    _, g = np.unique(gram, return_inverse=True)
+    left = doc < first
+    (ga, da), (gb, db) = ((x[o], y[o]) for x, y, o in ((g[k], doc[k] - shift, np.argsort(g[k], kind="stable")) for k, shift in ((left, 0), (~left, first))))
+    top = int(g.max()) + 1 if len(g) else 0
+    fa, fb = np.bincount(ga, minlength=top), np.bincount(gb, minlength=top)
+    at = np.cumsum(fb) - fb
+    often = fa * fb > max(16, rows * cols // 64)
+    out = np.zeros(rows * cols, np.float32)
+    # pair by pair
+    few = np.flatnonzero(~often[ga])
+    ends = np.cumsum(fb[ga[few]])
+    k = 0
+    while k < len(few):
+        end = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + AT_ONCE, "right")))
+        some = few[k:end]
+        each = fb[ga[some]]
+        i = np.repeat(da[some], each)
+        j = db[np.repeat(at[ga[some]], each) + util.ranges(each)]
+        out += np.bincount(i * cols + j, minlength=rows * cols)
+        k = end
+    out = out.reshape(rows, cols)
+    place = np.cumsum(often) - 1
+    for k in range(0, int(often.sum()), 512):
+        a, b = (often[x] & (place[x] >= k) & (place[x] < k + 512) for x in (ga, gb))
+        x, y = np.zeros((rows, 512), np.float32), np.zeros((cols, 512), np.float32)
+        x[da[a], place[ga[a]] - k] = 1
+        y[db[b], place[gb[b]] - k] = 1
+        out += x @ y.T
+    return out
+
+
+def _count_links(batches, threshold: float):
+    """By pair of pieces: (sig, rows of other sets that are near)."""
+    for rows in util.runs_of(batches, "key"):
+        rows = rows.sort_by([("right", "ascending"), ("sig", "ascending")])
+        sig, size, uses = (rows.column(c).to_numpy().astype(np.int64) for c in ("sig", "size", "uses"))
+        right = rows.column("right").to_numpy(zero_copy_only=False)
+        one = not right.any()  # a piece with itself
+        if one and len(sig) < 2 or right.all():
+            continue
+        sets = [np.frombuffer(g.as_buffer(), np.uint64) for c in rows.column("gram").chunks for g in c]
+        doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        gram, first = np.concatenate(sets), len(sig) if one else int((~right).sum())
+        if one:
+            gram, doc, size = np.tile(gram, 2), np.concatenate([doc, doc + first]), np.tile(size, 2)
+        shared = overlaps(gram, doc, first, len(size))
+        near = np.zeros(shared.shape, np.bool_)
+        for k in range(0, first, 256):
+            near[k : k + 256] = shared[k : k + 256] >= np.maximum(1, least_overlap(size[k : min(first, k + 256), None], size[None, first:], threshold))
+        if one:
+            np.fill_diagonal(near, False)
+            links = near @ uses.astype(np.float64)
+        else:
+            links = np.concatenate([near @ uses[first:].astype(np.float64), near.T @ uses[:first].astype(np.float64)])
+        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(links.astype(np.int64))], ["sig", "links"])
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, links) for each row of docs: the smallest identifier that chains of near pairs link it to, and how many other rows are near to it.
+
+    Near is as in join, rows are told apart by identifier and text, and a row
+    repeated whole counts once but is there as often as it was. Copies count
+    as links, two texts of an identifier as well. A row that matches nothing (null
+    and wordless texts too) is its own class and has no links, and one without
+    identifier no class. An empty table gives no rows.
+
+    All pairs of a class are compared, but none is listed: it is cut into
+    pieces, each two of which are a task's matrices.
+    """
+    parts = util.parts(docs.sparkSession)
+    sets, whole = _classes(docs, n, threshold, id_col, text_col)
+    whole = util.spool(whole, "classes")
+    may = sets.where("gram IS NOT NULL").select("sig", "size", F.size("ids").alias("uses"), "gram")
+    long = may.select("sig", (F.length("gram") / 8).alias("long")).join(whole, "sig")
+    pieces = long.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PIECE_SETS, F.sum("long") / PIECE_GRAMS)).cast("int").alias("pieces"))
+    members = may.join(whole.join(pieces, "root"), "sig").withColumn("piece", F.pmod(F.xxhash64(F.lit("piece"), "sig"), F.col("pieces")).cast("int"))
+    sent = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    sent = sent.select("sig", "size", "uses", "gram", F.xxhash64("root", F.least("piece", "other"), F.greatest("piece", "other")).alias("key"), (F.col("piece") > F.col("other")).alias("right"))
+    counted = sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(util.frugal(lambda b: _count_links(b, threshold)), "sig bigint, links bigint")
+    links = counted.groupBy("sig").agg(F.sum("links").alias("links"))
+    rows = sets.select("sig", "ids", "marks").join(whole, "sig", "left").where("root IS NOT NULL OR size(ids) > 1").join(links, "sig", "left")
+    rows = rows.select(F.coalesce("root", "sig").alias("root"), (F.coalesce("links", F.lit(0)) + F.size("ids") - 1).alias("links"), F.explode(F.arrays_zip("ids", "marks")).alias("r"))
+    rows = util.spool(rows.select("root", "links", F.col("r.ids").alias("__id"), F.col("r.marks").alias("__mark")), "links")
+    rows = rows.join(rows.groupBy("root").agg(F.min("__id").alias("least")), "root")
+    all_rows = docs.select(F.col(id_col).cast("long").alias("__id"), _mark(F.col(text_col)).alias("__mark"))
+    return all_rows.join(rows, ["__id", "__mark"], "left").select(F.col("__id").alias("doc_id"), F.coalesce("least", "__id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def representatives(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group that chains of near pairs link, the row of the smallest identifier; all columns of docs stay.
 
@@ -800,9 +904,10 @@ def representatives(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, i
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(util.table(spark, sf_dir, "documents"))
+    return classes(util.table(spark, sf_dir, "documents"))
 
 
+#: All pairs, as of join.
 SQL = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9_]|[^\\x00-\\x7f])+') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' '))
@@ -812,3 +917,14 @@ o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g
 SELECT doc_a, doc_b, o / (x.n + y.n - o) AS jaccard FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
 WHERE o / (x.n + y.n - o) >= {THRESHOLD}
 """
+
+#: As of classes: what each document is linked to, from those on that have no smaller neighbour.
+CLASSES_SQL = f"""
+WITH RECURSIVE pairs AS MATERIALIZED ({SQL}),
+both_ways AS MATERIALIZED (SELECT doc_a AS a, doc_b AS b FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents WHERE doc_id NOT IN (SELECT doc_b FROM pairs)
+  UNION SELECT b, root FROM reach JOIN both_ways ON a = node),
+roots AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS links FROM both_ways GROUP BY a)
+SELECT doc_id, class_id, coalesce(links, 0) AS links FROM documents LEFT JOIN roots ON node = doc_id LEFT JOIN counts ON a = doc_id
+"""

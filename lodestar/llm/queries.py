@@ -20,7 +20,7 @@ QUERIES = {
 #: Where SQL can express the operator.
 ORACLE_SQL = {
     "op7_suffix_dedup": suffix_dedup.SQL,
-    "op6_ngram_join": ngram_join.SQL,
+    "op6_ngram_join": ngram_join.CLASSES_SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
 }

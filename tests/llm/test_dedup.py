@@ -232,7 +232,50 @@ def test_pairs_across_labels(spec, most):
     assert {*zip(a.tolist(), b.tolist(), strict=True)} == want
 
 
+def near_classes(rows, n, threshold):
+    """(identifier, class, links) of each row, by comparing all pairs of (identifier, text)."""
+    sets = {(i, t): grams(t, n) for i, t, *_ in rows if i is not None}
+    items = list(sets)
+    pairs = [(x, y) for x in items for y in items if x != y and sets[x] and sets[y] and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= threshold - 1e-12]
+    least, links = {r: r[0] for r in items}, defaultdict(int)
+    for x, _ in pairs:
+        links[x] += 1
+    for _ in range(len(items)):
+        before = dict(least)
+        for x, y in pairs:
+            least[x] = min(least[x], least[y])
+        if before == least:
+            break
+    return sorted(((r[0], least.get(r[:2]), links.get(r[:2], 0)) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize(("n", "threshold", "clash", "piece"), [(5, 0.35, True, 2048), (3, 0.6, False, 2), (1, 0.1, False, 5)])
+def test_classes_and_links(spark, monkeypatch, n, threshold, clash, piece):
+    monkeypatch.setattr(ngram_join, "PIECE_SETS", piece)
+    x = "a b c d e f g h"
+    rows = [*corpus(), *[(i, t, "en", "s", i) for i, t in ((500, x), (501, x), (501, x + " i"), (501, x + " i"), (502, x.upper()), (502, x))]]
+    got = ngram_join.classes(frame(spark, rows, clash), n, threshold)
+    assert got.columns == ["doc_id", "class_id", "links"] and rows_of(got) == near_classes(rows, n, threshold)
+
+
+def test_no_more_rows_than_documents(spark, tmp_path):
+    frame(spark, [(i, "one text that very many documents have", "en", "s", i) for i in range(300)]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows_of(ngram_join.query(spark, str(tmp_path))) == sorted(((i, 0, 299) for i in range(300)), key=repr)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=12), min_size=2, max_size=30), st.integers(1, 29), st.sampled_from([3, 1 << 21]))
+def test_overlaps(sets, first, at_once):
+    first = min(first, len(sets) - 1)
+    gram, doc = (np.array(c) for c in zip(*[(g, d) for d, s in enumerate(sets) for g in s], strict=True))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ngram_join, "AT_ONCE", at_once)
+        got = ngram_join.overlaps(gram.astype(np.uint64), doc, first, len(sets))
+    assert got.tolist() == [[len(a & b) for b in sets[first:]] for a in sets[:first]]
+
+
 def test_near_empty(spark):
+    assert ngram_join.classes(frame(spark, [])).count() == 0
     assert ngram_join.join(frame(spark, [])).count() == 0
     assert ngram_join.representatives(frame(spark, [])).count() == 0
 
