@@ -86,15 +86,15 @@ def _small(queries: DataFrame) -> bool:
     return n <= QUERY_BYTES
 
 
-def thresholds(nodes: DataFrame) -> DataFrame:
+def thresholds(nodes: DataFrame, least: int = 11) -> DataFrame:
     """(shard_id, threshold): the running distance threshold of each shard, from (shard_id, local_idx, embedding).
 
     A proposal is mean + 1.5 standard deviations of the distances from a node to
     at most 150 evenly strided nodes before it. One is made for the 64th node, or
-    the last of a smaller shard of more than ten, and takes effect whole; then for
-    every 64th, and counts a tenth.
+    the last of a smaller shard, and takes effect whole; then for every 64th, and
+    counts a tenth. Shards of fewer nodes than ``least`` have none.
     """
-    n = nodes.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n")).where("n > 10")
+    n = nodes.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     at = nodes.join(n, "shard_id").where("local_idx + 1 = least(n, 64) OR (local_idx + 1 > 64 AND (local_idx + 1) % 64 = 0)")
     at = at.select("shard_id", F.col("local_idx").alias("m"), F.col("embedding").alias("node"))
     step = F.greatest(F.lit(1), F.floor(F.col("m") / F.least(F.lit(150), F.col("m"))))

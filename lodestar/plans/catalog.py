@@ -91,7 +91,7 @@ def shard_topk_merge(v: Views) -> DataFrame:
 
 @query("SELECT shard_id, round(threshold, 6) AS threshold FROM v_threshold")
 def shard_threshold(v: Views) -> DataFrame:
-    return search.thresholds(v.partition).select("shard_id", r6("threshold"))
+    return v.thresholds.select("shard_id", r6("threshold"))
 
 
 def _search_sql(where: str, boost: bool, columns: str = "query_id, partition_id, document_id, round(d, 6) AS distance, position::INT AS position") -> str:

@@ -38,6 +38,24 @@ def test_query(spark, duck, name):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
 
 
+@pytest.mark.parametrize("rest", [6, 11, 32, 63, 64, 65])
+def test_thresholds_where_the_last_shard_is_small(spark, tmp_path, rest):
+    import numpy as np
+
+    r = np.random.default_rng(rest)
+    # the last shard is nearer to all than the others, so that its norm decides who is in the pool
+    rows = [(i, (r.standard_normal(64) * (0.2 if i >= 375 else 0.3)).tolist(), i % 3) for i in range(375 + rest)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        c.execute("CREATE TABLE events (event_id BIGINT, event_type VARCHAR, user_id BIGINT, ts TIMESTAMP, value DOUBLE)")
+        for name in ("shard_threshold", "search_global"):
+            df = catalog.QUERIES[name](spark, str(tmp_path))
+            rel = c.execute(catalog.ORACLE_SQL[name])
+            at = [[x[0] for x in rel.description].index(k) for k in df.columns]
+            assert sorted(tuple(map(plain, x)) for x in df.collect()) == sorted(tuple(plain(x[i]) for i in at) for x in rel.fetchall()), name
+
+
 def test_no_row_at_a_time_udfs(spark):
     for name in catalog.QUERIES:
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
