@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +32,21 @@ EDGES = r"(?<![^\p{Z}\n-\r\x85\t])\p{P}+|\p{P}+(?![^\p{Z}\n-\r\x85\t])"
 NOT_ALNUM = r"[^\p{L}\p{M}\p{N}]+"
 
 
+#: Texts of an Arrow batch that are Python strings at a time: a batch holds up to 64 MB, and strings of it twice that and more.
+TEXTS_AT_ONCE = 64
+
+
+def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        yield texts.slice(at, TEXTS_AT_ONCE).to_pylist()
+
+
+def _mapped(f: Callable[[str], object], texts: pa.Array, kind: pa.DataType) -> pa.Array:
+    """f of each text that isn't null."""
+    parts = [pa.array([None if t is None else f(t) for t in some], kind) for some in _slices(texts)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 # --- content identity ---------------------------------------------------------------
 #: White space and separators that trim() takes off, as characters.
 _SEPARATORS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -67,32 +82,34 @@ def _tag_words(t: str) -> list[str]:
 @F.arrow_udf(_TOP)
 def _top_tags(lowered: pa.Array) -> pa.Array:
     stop = frozenset(TAG_STOP_WORDS)
-    out = []
-    for t in lowered.to_pylist():
-        count = {} if t is None else Counter(_tag_words(t))
+
+    def one(t: str) -> list[dict]:
+        count = Counter(_tag_words(t))
         for w in [w for w in count if len(w) < 4 or w in stop]:
             del count[w]
-        out.append([{"n": -k, "word": w} for k, w in _most(count, MAX_TAGS)] if t is not None else None)
-    return pa.array(out, pa.list_(pa.struct([("n", pa.int64()), ("word", pa.string())])))
+        return [{"n": -k, "word": w} for k, w in _most(count, MAX_TAGS)]
+
+    return _mapped(one, lowered, pa.list_(pa.struct([("n", pa.int64()), ("word", pa.string())])))
 
 
 @F.arrow_udf(StringType())
 def _signature(lowered: pa.Array) -> pa.Array:
-    stop = frozenset(ID_STOP_WORDS)
-    out, bare = [], {}
-    for t in lowered.to_pylist():
+    stop, bare = frozenset(ID_STOP_WORDS), {}
+
+    def one(t: str) -> str:
         count: Counter = Counter()
         for w, k in Counter(_ID_SPLIT.split(t)).items():
             # most words are letters and have nothing to trim
             if not w.isalnum():
-                if len(bare) > 100_000:
-                    bare = {}
+                if len(bare) > 20_000:
+                    bare.clear()
                 got = bare.get(w)
                 w = bare.setdefault(w, _ENDS.sub("", w)) if got is None else got
             if w and w not in stop:
                 count[w] += k
-        out.append(" ".join(sorted(w for _, w in _most(count, MAX_TAGS))))
-    return pa.array(out, pa.string())
+        return " ".join(sorted(w for _, w in _most(count, MAX_TAGS)))
+
+    return _mapped(one, lowered, pa.string())
 
 
 def top_tags(text: Column) -> Column:
@@ -207,7 +224,7 @@ def sanitized(t: str) -> str:
 
 @F.arrow_udf(StringType())
 def _sanitize(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else sanitized(t) for t in texts.to_pylist()], pa.string())
+    return _mapped(sanitized, texts, pa.string())
 
 
 def sanitize(t: Column) -> Column:
@@ -319,6 +336,6 @@ def chunk(t: Column, limit: int = MAX_CHARS, clean: bool = False) -> Column:
 
     @F.arrow_udf(ArrayType(StringType()))
     def split(texts: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else chunked(sanitized(x) if clean else x, limit) for x in texts.to_pylist()], pa.list_(pa.string()))
+        return _mapped(lambda x: chunked(sanitized(x) if clean else x, limit), texts, pa.list_(pa.string()))
 
     return split(t)

@@ -12,6 +12,7 @@ from lodestar.functions import misc, text as T, vector as V
 from lodestar.operators import graph, ingest, log, quantize, search
 from lodestar.operators.registry import Registry, accumulated
 from lodestar.plans.views import PREFIX, Views, dot_sql, l2_sql
+from lodestar.sources.store import spooled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -297,7 +298,8 @@ SELECT doc_id, CASE WHEN content_id NOT IN (SELECT content_id FROM n) THEN 'inde
   WHEN EXISTS (SELECT 1 FROM l WHERE l.content_id = i.content_id AND l.owner_id = i.owner_id AND (i.group_id IS NULL OR l.group_id = i.group_id)) THEN 'skip' ELSE 'link' END AS action FROM i""", prefix=False)
 def doc_dedup_gate(v: Views) -> DataFrame:
     d = F.col("doc_id")
-    ids = ingest.content_ids(v.table("documents")).select("doc_id", "content_id")
+    # asked for by inputs, index and links: the texts are read and identified once
+    ids = spooled(ingest.content_ids(v.table("documents")).select("doc_id", "content_id"))
     rows = ids.withColumn("owner_id", F.concat(F.lit("owner_"), (d % 3).cast("string"))).withColumn("g", F.concat(F.lit("g"), (d % 2).cast("string")))
     links = rows.where(d % 5 == 0).select("content_id", "owner_id", F.col("g").alias("group_id"))
     gated = ingest.gate(rows.withColumn("group_id", F.when(d % 4 > 0, F.col("g"))).drop("g"), rows.where(d % 5 < 2), links)
@@ -306,7 +308,7 @@ def doc_dedup_gate(v: Views) -> DataFrame:
 
 @query(f"WITH {CID} SELECT count(*) FILTER (action = 'link') AS linked, count(*) FILTER (action = 'index') AS prepared, count(*) FILTER (action = 'skip') AS skipped, 0::BIGINT AS failed, true AS success FROM (SELECT CASE WHEN content_id IN (SELECT content_id FROM cid WHERE doc_id % 5 < 2) THEN 'link' ELSE 'index' END AS action FROM cid)", prefix=False)
 def ingest_outcome(v: Views) -> DataFrame:
-    ids = ingest.content_ids(v.table("documents")).select("doc_id", "content_id").withColumn("owner_id", F.lit("o")).withColumn("group_id", F.lit(None).cast("string"))
+    ids = spooled(ingest.content_ids(v.table("documents")).select("doc_id", "content_id")).withColumn("owner_id", F.lit("o")).withColumn("group_id", F.lit(None).cast("string"))
     return ingest.outcome(ingest.gate(ids, ids.where("doc_id % 5 < 2"), ids.limit(0)))
 
 

@@ -71,3 +71,9 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     assert "TakeOrderedAndProject" in plan
     plan = search.candidates(v.partition, v.queries(), 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_identities_are_computed_once(spark):
+    for name in ("doc_dedup_gate", "ingest_outcome"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and "documents.parquet" not in plan, name

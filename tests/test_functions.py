@@ -155,3 +155,23 @@ def test_json_of_requests(spark):
     assert body == '{"a":"x","b":1}'
     assert one_row.select(misc.query_items({"b": F.lit("x y&z"), "a": F.lit(2)}).alias("v")).first().v == "a=2&b=x%20y%26z"
     assert misc.snake("partitionId") == "partition_id"
+
+
+@pytest.mark.parametrize("name", ["_signature", "_top_tags", "_sanitize"])
+def test_texts_of_a_batch_are_not_all_python_strings_at_once(name):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, ""] + [f"word{i} other " * 2000 for i in range(1000)])
+    f = getattr(T, name).func
+    few = [f(texts.slice(i, 1)).to_pylist()[0] for i in (0, 1, 2, 700)]
+    tracemalloc.start()
+    try:
+        got = f(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(got) == len(texts) and [got[i].as_py() for i in (0, 1, 2, 700)] == few
+    assert len(f(texts.slice(0, 0))) == 0
+    assert peak < texts.nbytes / 4
