@@ -17,6 +17,13 @@ from lodestar.operators import sized
 M = 16
 COMPACT_AT = 0.35
 CAPACITY = 2500
+#: Up to this many nodes a graph's distances from a node or query are computed for all nodes at once, and kept for nodes.
+TABLE = 1024
+
+
+def by_shard(rows: DataFrame) -> DataFrame:
+    """rows divided by shard into spark.sql.shuffle.partitions, which aren't put together: a shard is work out of proportion to its bytes, by which Spark would give many to one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard_id")
 
 
 def knn_edges(nodes: DataFrame, m: int = M) -> DataFrame:
@@ -154,16 +161,31 @@ class Graph:
     """A layered proximity graph of one shard, built in order of insertion; used inside a task."""
 
     def __init__(self, m: int = M, ef_build: int = 200):
-        self.m, self.ef, self.links, self.entry, self.explored = m, ef_build, [], None, 0
+        self.m, self.ef, self.links, self.entry, self.explored, self.rows = m, ef_build, [], None, 0, {}
 
     def _d(self, q, ids):
         d = self.block[ids] - q
         return (d * d).sum(1)
 
-    def _beam(self, q, start: list[int], layer: int, ef: int, allowed=None) -> list[tuple[float, int]]:
-        """Best-first search; nodes that aren't allowed are walked through and not returned."""
-        d0 = self._d(q, start)
-        seen, heap, best = set(start), [*zip(d0.tolist(), start, strict=True)], []
+    def _far(self, q):
+        """Distances from q to nodes, as a function of their numbers: the same floats, whether computed for all nodes or for those asked for."""
+        if len(self.block) > TABLE:
+            return lambda ids: self._d(q, ids).tolist()
+        row = self._d(q, slice(None)).tolist()
+        return lambda ids: [row[j] for j in ids]
+
+    def _far_from(self, i: int):
+        """The same from a node."""
+        if len(self.block) > TABLE:
+            return self._far(self.block[i])
+        row = self.rows.get(i)
+        if row is None:
+            row = self.rows[i] = self._d(self.block[i], slice(None)).tolist()
+        return lambda ids: [row[j] for j in ids]
+
+    def _beam(self, far, start: list[int], layer: int, ef: int, allowed=None) -> list[tuple[float, int]]:
+        """Best-first search by the distances ``far``; nodes that aren't allowed are walked through and not returned."""
+        seen, heap, best = set(start), [*zip(far(start), start, strict=True)], []
         heapq.heapify(heap)
         for d, i in list(heap):
             if allowed is None or allowed[i]:
@@ -176,7 +198,7 @@ class Graph:
             if not new:
                 continue
             seen.update(new)
-            for dj, j in zip(self._d(q, new).tolist(), new, strict=True):
+            for dj, j in zip(far(new), new, strict=True):
                 if len(best) < ef or dj < -best[0][0]:
                     heapq.heappush(heap, (dj, j))
                     if allowed is None or allowed[j]:
@@ -190,12 +212,14 @@ class Graph:
         """Neighbours nearer to the node than to those already taken, filled up with the nearest of the rest."""
         out: list[int] = []
         for d, i in found:
-            if len(out) < m and (not out or self._d(self.block[i], out).min() > d):
+            if len(out) == m:
+                break
+            if not out or min(self._far_from(i)(out)) > d:
                 out.append(i)
         return out + [i for _, i in found if i not in out][: m - len(out)]
 
     def build(self, x: np.ndarray, levels: np.ndarray) -> Graph:
-        self.block, self.levels = x, levels
+        self.block, self.levels, self.rows = x, levels, {}
         self.links = [[[] for _ in range(n + 1)] for n in levels]
         for i in range(len(x)):
             self.insert(i)
@@ -203,48 +227,48 @@ class Graph:
 
     def insert(self, i: int) -> None:
         """Link node i, whose vector and level are there already, into the graph of the nodes inserted before."""
-        x, levels = self.block, self.levels
+        levels = self.levels
         if self.entry is None:
             self.entry = i
             return
-        at = [self.entry]
+        at, far = [self.entry], self._far_from(i)
         for layer in range(levels[self.entry], levels[i], -1):
-            at = [self._beam(x[i], at, layer, 1)[0][1]]
+            at = [self._beam(far, at, layer, 1)[0][1]]
         for layer in range(min(levels[i], levels[self.entry]), -1, -1):
-            found = self._beam(x[i], at, layer, self.ef)
+            found = self._beam(far, at, layer, self.ef)
             most = 2 * self.m if layer == 0 else self.m
             self.links[i][layer] = self._diverse(found, self.m)
             for j in self.links[i][layer]:
                 own = self.links[j][layer]
                 own.append(i)
                 if len(own) > most:
-                    self.links[j][layer] = self._diverse(sorted(zip(self._d(x[j], own).tolist(), own, strict=True)), most)
+                    self.links[j][layer] = self._diverse(sorted(zip(self._far_from(j)(own), own, strict=True)), most)
             at = [j for _, j in found]
         if levels[i] > levels[self.entry]:
             self.entry = i
 
-    def _greedy(self, q, at: int, layer: int) -> tuple[int, int]:
+    def _greedy(self, far, at: int, layer: int) -> tuple[int, int]:
         """(nearest node a descent by neighbours reaches, steps taken)"""
-        best, hops = float(self._d(q, [at])[0]), 0
+        best, hops = far([at])[0], 0
         while True:
             near = self.links[at][layer]
             if not near:
                 return at, hops
-            d = self._d(q, near)
-            k = int(d.argmin())
+            d = far(near)
+            k = min(range(len(d)), key=d.__getitem__)
             if d[k] >= best:
                 return at, hops
-            at, best, hops = near[k], float(d[k]), hops + 1
+            at, best, hops = near[k], d[k], hops + 1
 
     def traced(self, q: np.ndarray, ef: int, allowed=None) -> tuple[list[tuple[float, int]], list[int], int]:
         """(what a search of this breadth finds, steps on each upper layer, nodes looked at on the lowest)"""
         if self.entry is None:
             return [], [], 0
-        at, hops = self.entry, []
+        at, hops, far = self.entry, [], self._far(q)
         for layer in range(self.levels[self.entry], 0, -1):
-            at, n = self._greedy(q, at, layer)
+            at, n = self._greedy(far, at, layer)
             hops.append(n)
-        found = self._beam(q, [at], 0, ef, allowed)
+        found = self._beam(far, [at], 0, ef, allowed)
         return found, hops, self.explored
 
     def search(self, q: np.ndarray, k: int, ef: int = 150, allowed=None) -> list[tuple[float, int]]:
@@ -266,7 +290,7 @@ def ann(nodes: DataFrame, queries: DataFrame, k: int, ef: int = 150) -> DataFram
         return pd.DataFrame(out, columns=["query_id", "shard_id", "partition_id", "distance"])
 
     cols = nodes.select("shard_id", "local_idx", "partition_id", "embedding", "level", "is_deleted")
-    return cols.groupBy("shard_id").applyInPandas(one, "query_id bigint, shard_id int, partition_id bigint, distance double")
+    return by_shard(cols).groupBy("shard_id").applyInPandas(one, "query_id bigint, shard_id int, partition_id bigint, distance double")
 
 
 def graph_edges(nodes: DataFrame) -> DataFrame:
@@ -280,7 +304,7 @@ def graph_edges(nodes: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["shard_id", "layer", "src", "dst", "pos"])
 
     cols = nodes.select("shard_id", "local_idx", "partition_id", "embedding", "level")
-    return cols.groupBy("shard_id").applyInPandas(one, "shard_id int, layer int, src bigint, dst bigint, pos int")
+    return by_shard(cols).groupBy("shard_id").applyInPandas(one, "shard_id int, layer int, src bigint, dst bigint, pos int")
 
 
 def ivf(vectors: DataFrame, queries: DataFrame, k: int, lists: int, probes: int, seed: int = 0) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.operators.graph import CAPACITY, COMPACT_AT, M, Graph
+from lodestar.operators.graph import CAPACITY, COMPACT_AT, M, Graph, by_shard
 
 EF, EF_MIN, EF_MAX, ALPHA = 150, 50, 800, 0.15
 NODE = "shard_id int, local_idx int, partition_id bigint, document_id bigint, level int, is_deleted boolean, embedding array<float>"
@@ -67,7 +67,7 @@ class Index:
             return link_rows(int(shard["shard_id"].iloc[0]), g)
 
         nodes = nodes.select(*columns)
-        links = nodes.groupBy("shard_id").applyInPandas(one, LINK)
+        links = by_shard(nodes).groupBy("shard_id").applyInPandas(one, LINK)
         return cls(nodes, links, elected(nodes))
 
     def inserted(self, new: DataFrame, m: int = M) -> Index:
@@ -105,7 +105,7 @@ class Index:
                 g.insert(i)
             return link_rows(int(key[0]), g)
 
-        grown = rows.groupBy("shard_id").cogroup(links.groupBy("shard_id")).applyInPandas(one, LINK)
+        grown = by_shard(rows).groupBy("shard_id").cogroup(by_shard(links).groupBy("shard_id")).applyInPandas(one, LINK)
         kept = self.links.join(touched, "shard_id", "left_anti")
         return Index(nodes, kept.unionByName(grown), _states(nodes, self.states))
 
@@ -177,7 +177,7 @@ class Index:
                     out.append((i, int(key[0]), len(shard), top, wide, hops, explored, len(found), ema, breadth, hits))
             return pd.DataFrame(out, columns=[c.split()[0] for c in HIT.split(", ")])
 
-        return rows.groupBy("shard_id").cogroup(links.groupBy("shard_id")).applyInPandas(one, HIT)
+        return by_shard(rows).groupBy("shard_id").cogroup(by_shard(links).groupBy("shard_id")).applyInPandas(one, HIT)
 
     def learned(self, searched: DataFrame) -> Index:
         """With the breadths that a search has left its shards with."""

@@ -219,3 +219,32 @@ def test_texts_are_attached_without_a_shuffle_of_them(spark, views):
     assert out.count() == hits.count() and out.where("text IS NULL").count() > 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_shards_are_divided_among_tasks(spark):
+    tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    nodes = small(spark, shards=12, n=20)
+    _, queries = asked(spark)
+    index = Index.build(nodes)
+    assert tasks(index.links) > 1
+    index = held(index)
+    assert tasks(index.search(queries, 3)) > 1
+    new = nodes.where("local_idx < 3").withColumn("seq", F.col("local_idx")).select("shard_id", "seq", (F.col("partition_id") + 500).alias("partition_id"), "document_id", "level", "embedding")
+    assert tasks(index.inserted(new).links.where("local_idx >= 20")) > 1
+    assert tasks(graph.graph_edges(nodes)) > 1
+
+
+def test_graph_is_the_same_with_and_without_table(monkeypatch):
+    def made():
+        out = []
+        for seed, n in enumerate((1, 2, 40, 160)):
+            r = np.random.default_rng(seed)
+            x = r.standard_normal((n, 8)).astype(np.float32).astype(np.float64)
+            x[n // 2 :] = x[: n - n // 2] if seed % 2 else x[n // 2 :]
+            g = graph.Graph().build(x, np.minimum(np.floor(-np.log(r.random(n)) / np.log(4)).astype(int), 3))
+            out.append((g.links, g.entry, [g.traced(q, ef, ok) for q in r.standard_normal((5, 8)) for ef in (5, 50) for ok in (None, r.random(n) < 0.5)]))
+        return out
+
+    with_table = made()
+    monkeypatch.setattr(graph, "TABLE", 0)
+    assert made() == with_table
