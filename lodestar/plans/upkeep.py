@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from lodestar.operators.registry import Registry, accumulated_partitions
 from lodestar.plans.catalog import CID, EDGES, OWNED, OWNER, PUBLIC, QD, _search_sql, query, r6
 from lodestar.plans.recovery import merged
 from lodestar.plans.views import Views
+from lodestar.sources.store import spooled
 
 SHARD_TOP = f"SELECT query_id, shard_id, partition_id, document_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id, shard_id ORDER BY d, partition_id) AS r FROM (SELECT query_id, shard_id, partition_id, document_id, {QD} AS d FROM v_node p, v_query q WHERE NOT is_deleted AND {{}})) WHERE r <= 10"
 LIVE = "SELECT shard_id, max(level) AS max_level, count(*) AS live FROM v_node WHERE NOT is_deleted GROUP BY shard_id"
@@ -50,6 +53,8 @@ def ann_after_removal(v: Views) -> DataFrame:
 def ann_after_insert(v: Views) -> DataFrame:
     """A graph of part of the nodes, into which a batch is inserted."""
     first = Index.build(v.node.where("shard_id > 1 OR shard_id = 0 AND local_idx < 100"))
+    # links of shards that are touched and of those that aren't: built once for both
+    first = replace(first, links=spooled(first.links))
     new = v.node.where("shard_id = 1 AND local_idx < 60").select(F.lit(0).alias("shard_id"), F.col("local_idx").alias("seq"), (F.col("partition_id") + 1000000).alias("partition_id"), (F.col("document_id") + 1000000).alias("document_id"), "level", "embedding")
     return _hits(first.inserted(new).search(v.queries(), 10))
 

@@ -248,3 +248,8 @@ def test_graph_is_the_same_with_and_without_table(monkeypatch):
     with_table = made()
     monkeypatch.setattr(graph, "TABLE", 0)
     assert made() == with_table
+
+
+def test_insertion_builds_the_first_graph_once(spark):
+    plan = catalog.QUERIES["ann_after_insert"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
