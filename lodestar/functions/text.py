@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -69,9 +68,10 @@ def tag_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_ALNUM), lambda w: (F.length(w) > 3) & ~w.isin(*TAG_STOP_WORDS))
 
 
-def _most(count: Counter, n: int) -> list[tuple[int, str]]:
+def _most(count: dict[str, int], n: int) -> list[tuple[int, str]]:
     """The n most frequent, by name (in order of its UTF-8 bytes, which is that of its characters) on a tie."""
-    return heapq.nsmallest(n, ((-k, w) for w, k in count.items()))
+    least = sorted(count.values())[-n] if len(count) > n else 0
+    return sorted((-k, w) for w, k in count.items() if k >= least)[:n]
 
 
 def _tag_words(t: str) -> list[str]:
@@ -97,7 +97,7 @@ def _signature(lowered: pa.Array) -> pa.Array:
     stop, bare = frozenset(ID_STOP_WORDS), {}
 
     def one(t: str) -> str:
-        count: Counter = Counter()
+        count: dict[str, int] = {}
         for w, k in Counter(_ID_SPLIT.split(t)).items():
             # most words are letters and have nothing to trim
             if not w.isalnum():
@@ -106,7 +106,7 @@ def _signature(lowered: pa.Array) -> pa.Array:
                 got = bare.get(w)
                 w = bare.setdefault(w, _ENDS.sub("", w)) if got is None else got
             if w and w not in stop:
-                count[w] += k
+                count[w] = count.get(w, 0) + k
         return " ".join(sorted(w for _, w in _most(count, MAX_TAGS)))
 
     return _mapped(one, lowered, pa.string())
@@ -206,7 +206,9 @@ def trim(t: Column) -> Column:
 
 
 _CHARS = {ord(a): b for a, b in LIGATURES} | {0xAD: ""} | {ord(c): " " for c in SPACES} | {c: "" for c in [*range(9), 0x0B, 0x0C, *range(0x0E, 0x20)]}
+_ODD = re.compile("[" + re.escape("".join(map(chr, _CHARS))) + "]")
 _LINE_END = re.compile(r"\r\n?")
+_OTHER_LINE_END = re.compile("[\x85\u2028\u2029]")
 # line ends are those that trimming by line looks at
 _EDGE = re.compile("(?:(?<=[\n\x85\u2028\u2029])|\\A)[ \t]+|[ \t]+(?=[\n\x85\u2028\u2029]|\\Z)")
 _SPACES, _BLANKS = re.compile(" {2,}"), re.compile("\n{4,}")
@@ -214,12 +216,14 @@ _SPACES, _BLANKS = re.compile(" {2,}"), re.compile("\n{4,}")
 
 def sanitized(t: str) -> str:
     """trim(lines(dehyphenate(controls(plain_spaces(soft_hyphens(ligatures(t)))))))"""
-    t = t.translate(_CHARS)
+    # most texts have none of these
+    t = _ODD.sub(lambda m: _CHARS[ord(m[0])], t)
     if "-\n" in t:
         t = re.sub(r"([a-z])-\n([a-z])", r"\1\2", t)
     if "\r" in t:
         t = _LINE_END.sub("\n", t)
-    return _BLANKS.sub("\n\n\n", _SPACES.sub(" ", _EDGE.sub("", t))).strip(_TRIM)
+    t = _EDGE.sub("", t) if _OTHER_LINE_END.search(t) else "\n".join([line.strip(" \t") for line in t.split("\n")])
+    return _BLANKS.sub("\n\n\n", _SPACES.sub(" ", t)).strip(_TRIM)
 
 
 @F.arrow_udf(StringType())

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from lodestar.functions import text as T
 
 DIM = 64
 TOKENS = 512
+#: Rows that embed() puts out at a time.
+ROWS_OUT = 1024
 
 
 def tags(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,8 +31,12 @@ def content_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", clean: bool = True, limit: int = T.MAX_CHARS) -> DataFrame:
     """(key, pos, chunk): without cleaning a text is one chunk, however long."""
-    parts = T.chunk(F.col(text), limit, clean=True) if clean else F.array(F.col(text))
-    return docs.select(key, F.posexplode(parts).alias("pos", "chunk")).where("chunk <> ''")
+    # an inner one is filtered by the size of the list before, for which every text is cut twice
+    return docs.select(key, F.posexplode_outer(_parts(text, limit, clean)).alias("pos", "chunk")).where("chunk <> ''")
+
+
+def _parts(text: str, limit: int = T.MAX_CHARS, clean: bool = True) -> Column:
+    return T.chunk(F.col(text), limit, clean=True) if clean else F.array(F.col(text))
 
 
 def gate(inputs: DataFrame, indexed: DataFrame, links: DataFrame) -> DataFrame:
@@ -58,35 +65,61 @@ def hashed_embedding(texts: list[str], dim: int = DIM) -> np.ndarray:
     """A deterministic stand-in for a model: signed hashes of the first TOKENS words, of unit length. A model of this kind reads no more of an input; chunks are shorter."""
     import zlib
 
+    class Slots(dict):
+        def __missing__(self, word: str) -> int:
+            h = zlib.crc32(word.encode())
+            self[word] = slot = 2 * (h % dim) + (h >> 16 & 1)
+            return slot
+
+    slots = Slots()
     out = np.zeros((len(texts), dim), np.float32)
     for i, t in enumerate(texts):
-        for w in (t or "").lower().split()[:TOKENS]:
-            h = zlib.crc32(w.encode())
-            out[i, h % dim] += 1.0 if h >> 16 & 1 else -1.0
+        words = (t or "").lower().split()[:TOKENS]
+        if words:
+            n = np.bincount([slots[w] for w in words], minlength=2 * dim)
+            out[i] = n[1::2] - n[::2]
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
 
 
 def embed(rows: DataFrame, column: str, embedder=hashed_embedding, batch: int = 256) -> DataFrame:
-    """rows with an embedding of ``column``; each distinct text is embedded once, in batches, by a model that a task makes once."""
-    distinct = rows.select(column).where(F.col(column).isNotNull() & (F.col(column) != "")).distinct()
+    """rows with an embedding of ``column``, which comes first; each distinct text is embedded once, in batches, by a model that a task makes once.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), batch):
-                part = f.iloc[at : at + batch].copy()
-                part["embedding"] = list(embedder(part[column].tolist()))
-                yield part
-
-    return rows.join(distinct.mapInPandas(run, f"{column} string, embedding array<float>"), column, "left")
+    Equal texts meet in one task, one behind the other: the rows are shuffled once
+    and read once, and of a text that goes on in the next batch the vector is kept.
+    """
+    names = [column, *(c for c in rows.columns if c != column)]
+    schema = StructType([StructField(c, rows.schema[c].dataType) for c in names] + [StructField("embedding", ArrayType(FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = vector = None
+        for b in batches:
+            texts = b.column(column).dictionary_encode()
+            vectors = []
+            for at in range(0, len(texts.dictionary), batch):
+                some = texts.dictionary.slice(at, batch).to_pylist()
+                new = [t for t in some if t != "" and t != last]
+                got = iter(embedder(new) if new else ())
+                for t in some:
+                    if t != "":
+                        vector = vector if t == last else np.asarray(next(got), np.float32)
+                        last = t
+                    vectors.append(vector if t != "" else None)
+            vectors = pa.array(vectors, pa.list_(pa.float32()))
+            for at in range(0, b.num_rows, ROWS_OUT):
+                part = b.slice(at, ROWS_OUT)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), vectors.take(texts.indices.slice(at, ROWS_OUT))], [*names, "embedding"])
+
+    return rows.repartition(column).sortWithinPartitions(column).mapInArrow(run, schema)
 
 
 def prepared(docs: DataFrame, owner: str, embedder=hashed_embedding, clean: bool = True) -> DataFrame:
-    """(document_id, pos, text, embedding, partition_id, owner_id) of (doc_id, text): one document each, one partition a chunk."""
+    """(document_id, pos, text, embedding, partition_id, owner_id) of (doc_id, text): one document each, one partition a chunk. A text is identified and cut in one pass."""
     from lodestar.functions.vector import vector_digest
 
-    ids = content_ids(docs).select("doc_id", F.col("content_id").alias("document_id"))
-    rows = embed(chunks(docs, clean=clean), "chunk", embedder).join(ids, "doc_id")
+    both = docs.where("doc_id IS NOT NULL").select(T.let(T.signature(F.col("text")), T.numeric_hash).alias("document_id"), _parts("text", clean=clean).alias("parts"))
+    each = both.select("document_id", F.posexplode_outer("parts").alias("pos", "chunk"))
+    rows = embed(each.where("chunk <> ''"), "chunk", embedder)
     rows = rows.where("size(embedding) > 0").dropDuplicates(["document_id", "pos"])
     return rows.select("document_id", "pos", F.col("chunk").alias("text"), "embedding", vector_digest()(F.col("embedding"), F.col("document_id")).alias("partition_id"), F.lit(owner.lower()).alias("owner_id"))
 

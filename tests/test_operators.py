@@ -240,6 +240,29 @@ def test_embedding_is_made_once_for_a_text(spark):
     assert got[1] == got[2] != got[3] and got[4] is None and abs(sum(x * x for x in got[1]) - 1) < 1e-5
 
 
+def test_embedding_is_the_same_wherever_a_text_goes_on_in_the_next_batch(spark):
+    rows = [(i, {"k": [i]}, (["a", "b", "", None] + [f"t{j}" for j in range(9)])[i % 13]) for i in range(130)]
+    df = spark.createDataFrame(rows, "i int not null, m map<string,array<int>>, t string").withColumn("n", F.array(F.lit(1)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        # another vector at each call; too many texts at a time or an empty one are errors
+        got = ingest.embed(df, "t", lambda texts: [np.random.rand(3) for t in texts if len(texts) <= 3 and t], batch=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.i, r.m, r.t, r.n) for r in got) == [(*r, [1]) for r in rows]
+    assert len({(r.t, tuple(r.embedding)) for r in got if r.t}) == 11 and all(r.embedding is None for r in got if not r.t)
+
+
+def test_texts_are_read_and_shuffled_once_when_prepared(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = ingest.prepared(docs, "o").groupBy("document_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    # a null identifier isn't one; texts with the same words are one document with the places of the longest
+    some = spark.createDataFrame([(1, "b a"), (2, "a b"), (None, "c"), (3, None), (4, "a b" + " a b" * 1000)], "doc_id int, text string")
+    got = [(r.document_id, r.pos) for r in ingest.prepared(some, "O").collect()]
+    assert len(set(got)) == len(got) == 3 and {p for _, p in got} == {0, 1, 2}
+
+
 # --- queue and log ------------------------------------------------------------------
 JOBS = "lane int, seq bigint, owner_id string, group_id string, kind string, items bigint"
 
